@@ -1,0 +1,17 @@
+"""Broadcast only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
+
+    For joins that adaptive execution cannot re-plan (a stream with a static table). The count reads at most
+    ``max_rows + 1`` rows.
+    """
+    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
