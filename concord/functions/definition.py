@@ -52,12 +52,16 @@ ARTIFACT_SCHEMA = (
 )
 
 
-def parse_workload(json: Column) -> Column:
-    """The workload struct with defaults filled in.
+def read_workload(json: Column) -> Column:
+    """The document as written."""
+    return F.from_json(json, WORKLOAD_SCHEMA)
+
+
+def with_defaults(raw: Column) -> Column:
+    """The workload struct with defaults filled in, from a column that holds :func:`read_workload`.
 
     ``outputs`` keeps the declared order, which decides the output used when none is named.
     """
-    raw = F.from_json(json, WORKLOAD_SCHEMA)
     refs = lambda side: F.coalesce(raw["datasets"][side], F.create_map().cast(_REFS))
     number = lambda col: col.try_cast("int")
     size = lambda col: F.struct(number(col["cores"]).alias("cores"), col["memory"].alias("memory"))

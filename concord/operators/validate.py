@@ -13,7 +13,10 @@ _FLAGS = [offer for offer, _ in D.REQUIREMENTS.values()]
 
 
 def parse_definitions(df: DataFrame, json: str = "definition", out: str = "definition") -> DataFrame:
-    return df.withColumn(out, D.parse_workload(F.col(json)))
+    """Parse JSON workload documents. Each document is read once: the raw struct is a column of its own, so
+    the optimizer does not turn every field access into another parse."""
+    raw = df.withColumn("__raw", D.read_workload(F.col(json)))
+    return raw.withColumn(out, D.with_defaults(F.col("__raw"))).drop("__raw")
 
 
 def validate_definitions(

@@ -232,6 +232,7 @@ def stream_latency(
     state: str = "to_state",
     order: Sequence[str] = ("created_at", "id"),
     terminal: Sequence[str] = TERMINAL_STATES,
+    canceling: str = "CANCELING",
 ) -> DataFrame:
     """Drain the stream and return the latencies of all its events: ``key, order, latency, micros, epoch``.
 
@@ -256,7 +257,7 @@ def stream_latency(
         )
         seen = batch.select(*columns, F.lit(True).alias("__new")).unionByName(known.withColumn("__new", F.lit(False)))
         # the flag travels in the order columns: it never decides the order because they are unique
-        measured = latencies(seen, spec, key, state, [*order, "__new"], hot_rows=HOT_BATCH_ROWS)
+        measured = latencies(seen, spec, key, state, [*order, "__new"], canceling, HOT_BATCH_ROWS)
         measured.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{root}/log/epoch={epoch}")
         _snapshot(seen.select(*columns), key, state, order, starts, terminal).write.mode("overwrite").parquet(
             f"{root}/state-{epoch % 2}"
