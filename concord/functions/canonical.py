@@ -7,7 +7,8 @@ NULL, '' and 'None' stay distinct.
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
-
+# first argument of the second row hash
+SALT = "second"
 _FRACTIONAL = (T.DoubleType, T.FloatType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
@@ -76,3 +77,11 @@ def hash_inputs(schema: T.StructType, columns: list[str] | None = None, round_fl
             continue
         parts += [value, column(field.name).isNull()]
     return parts
+
+
+def row_hash128(schema: T.StructType, columns: list[str] | None = None, round_floats: int | None = None) -> Column:
+    """32 hex digits from two 64-bit hashes. Much cheaper than :func:`row_sha`: no text is built."""
+    inputs = hash_inputs(schema, columns, round_floats)
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.concat(digits(F.xxhash64(*inputs)), digits(F.xxhash64(F.lit(SALT), *inputs)))
+

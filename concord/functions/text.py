@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of a text, without empty ones."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    """Lower-cased pieces of a text between white space; the first and last may be empty."""
+    return F.split(F.lower(text), r"\s+")
 
 
 def normalize_name(name: Column) -> Column:

@@ -12,10 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from concord.functions.canonical import canonical, column, hash_inputs, quoted, row_sha
+from concord.functions.canonical import SALT, canonical, column, hash_inputs, quoted, row_hash128, row_sha
 from concord.functions.exact import exact_sum, is_narrow, join_limbs, limb_sums, to_micro
 
-_SALT = "second"
 _CHECK = "struct<ord:int,check:string,column:string,left:string,right:string>"
 
 
@@ -24,7 +23,7 @@ _CHECK = "struct<ord:int,check:string,column:string,left:string,right:string>"
 
 def _hashes(schema: T.StructType, columns: list[str] | None, round_floats: int | None) -> tuple[Column, Column]:
     inputs = hash_inputs(schema, columns, round_floats)
-    return F.xxhash64(*inputs), F.xxhash64(F.lit(_SALT), *inputs)
+    return F.xxhash64(*inputs), F.xxhash64(F.lit(SALT), *inputs)
 
 
 def _hash_aggregates(prefix: str, first: str, second: str) -> list[Column]:
@@ -180,9 +179,14 @@ def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
 # -- row level ------------------------------------------------------------------------------------------------
 
 
-def row_hash_counts(df: DataFrame, columns: list[str] | None = None, round_floats: int | None = None) -> DataFrame:
+_ROW_HASHES = {"sha256": row_sha, "xxhash128": row_hash128}
+
+
+def row_hash_counts(
+    df: DataFrame, columns: list[str] | None = None, round_floats: int | None = None, digest: str = "sha256"
+) -> DataFrame:
     """``row_hash, n``: how often each distinct row occurs."""
-    hashed = df.select(row_sha(df.schema, columns, round_floats).alias("row_hash"))
+    hashed = df.select(_ROW_HASHES[digest](df.schema, columns, round_floats).alias("row_hash"))
     return hashed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -200,33 +204,42 @@ def _side_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def multiset_diff(
-    left: DataFrame, right: DataFrame, columns: list[str] | None = None, round_floats: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    columns: list[str] | None = None,
+    round_floats: int | None = None,
+    digest: str = "xxhash128",
 ) -> DataFrame:
     """Row hashes that do not occur equally often: ``row_hash, left_n, right_n``.
 
-    Both sides go through one aggregation, so copies of a row are counted before they are shuffled.
+    Both sides go through one aggregation, so copies of a row are counted before they are shuffled, and only
+    the hash of a row is shuffled. ``digest="sha256"`` hashes the canonical row text instead.
     """
-    hashed = [df.select(row_sha(df.schema, columns, round_floats).alias("row_hash")) for df in (left, right)]
+    hashed = [
+        df.select(_ROW_HASHES[digest](df.schema, columns, round_floats).alias("row_hash")) for df in (left, right)
+    ]
     return _side_counts(*hashed, ["row_hash"]).filter(F.col("left_n") != F.col("right_n"))
 
 
-def row_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+def _groupable(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    kinds = (T.MapType, T.VariantType)
+    form = lambda n, t: canonical(column(n), t) if isinstance(t, kinds) else column(n)
+    return df.select(*[form(n, df.schema[n].dataType).alias(n) for n in names])
+
+
+def row_diff(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows of the multiset difference in both directions with their surplus: ``side, copies, <columns>``.
 
-    Map and variant columns come out as sorted entries or text, the form in which they can be grouped.
+    With ``by`` the sides are first compared per group, which shuffles no rows, and only rows of differing
+    groups are diffed. Map and variant columns come out as sorted entries or text, the form in which they can
+    be grouped.
     """
     names = left.columns
-
-    def groupable(df: DataFrame) -> DataFrame:
-        kinds = (T.MapType, T.VariantType)
-        return df.select(
-            *[
-                (canonical(column(n), df.schema[n].dataType) if isinstance(df.schema[n].dataType, kinds) else column(n)).alias(n)
-                for n in names
-            ]
-        )
-
-    counts = _side_counts(groupable(left), groupable(right), names)
+    if by:
+        differing = partition_level_compare(left, right, by).select(*[F.col(c).alias(f"__{c}") for c in by])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+        left, right = (df.join(differing, same, "left_semi") for df in (left, right))
+    counts = _side_counts(_groupable(left, names), _groupable(right, names), names)
     surplus = F.col("left_n") - F.col("right_n")
     return counts.filter(surplus != 0).select(
         F.when(surplus > 0, "left").otherwise("right").alias("side"), F.abs(surplus).alias("copies"), *names

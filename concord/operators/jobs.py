@@ -10,7 +10,8 @@ from concord.functions.text import amount, amount_band, normalize_name, words
 
 
 def tokenize(lines: DataFrame, column: str = "value") -> DataFrame:
-    return lines.select(F.explode(words(F.col(column))).alias("word"))
+    """One row per word. Empty pieces are dropped after the explode, inside generated code."""
+    return lines.select(F.explode(words(F.col(column))).alias("word")).filter(F.col("word") != "")
 
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -13,10 +13,14 @@ _FLAGS = [offer for offer, _ in D.REQUIREMENTS.values()]
 
 
 def parse_definitions(df: DataFrame, json: str = "definition", out: str = "definition") -> DataFrame:
-    """Parse JSON workload documents. Each document is read once: the raw struct is a column of its own, so
-    the optimizer does not turn every field access into another parse."""
-    raw = df.withColumn("__raw", D.read_workload(F.col(json)))
-    return raw.withColumn(out, D.with_defaults(F.col("__raw"))).drop("__raw")
+    """Parse JSON workload documents, each exactly once.
+
+    The raw struct comes out of a one-element generator. Field accesses and filters further up are not pushed
+    through a generator, which would turn every one of them into another parse of the document.
+    """
+    raw = F.struct(D.read_workload(F.col(json)).alias("__raw"))
+    kept = [F.col(c) for c in df.columns if c != out]
+    return df.select("*", F.inline(F.array(raw))).select(*kept, D.with_defaults(F.col("__raw")).alias(out))
 
 
 def validate_definitions(

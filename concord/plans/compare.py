@@ -110,24 +110,34 @@ _DAMAGED = """(SELECT * REPLACE (CASE WHEN l_returnflag = 'R' AND l_shipdate >=
 )
 def multiset_diff(spark, d):
     lines = table(spark, d, "lineitem")
-    return C.multiset_diff(lines, _damaged(lines))
+    return C.multiset_diff(lines, _damaged(lines), digest="sha256")
+
+
+@query(
+    f"""WITH x AS (SELECT *, 1 AS l, 0 AS r FROM lineitem UNION ALL SELECT *, 0, 1 FROM {_DAMAGED}),
+    g AS (SELECT * EXCLUDE (l, r), sum(l) AS l, sum(r) AS r FROM x GROUP BY ALL HAVING sum(l) <> sum(r))
+    SELECT CAST(l AS BIGINT) AS left_n, CAST(r AS BIGINT) AS right_n, count(*) AS distinct_rows FROM g GROUP BY 1, 2"""
+)
+def multiset_diff_counts(spark, d):
+    """The same difference on the cheap row hash, summed up by how often the rows occur."""
+    lines = table(spark, d, "lineitem")
+    diff = C.multiset_diff(lines, _damaged(lines))
+    return diff.groupBy("left_n", "right_n").agg(F.count(F.lit(1)).alias("distinct_rows"))
 
 
 _ROW = "l_orderkey, l_linenumber, l_returnflag, l_shipdate, l_discount"
-_ROW_OUT = """l_orderkey, l_linenumber, l_returnflag, CAST(l_shipdate AS DATE) AS ship_date,
-    CAST(round(l_discount * 100) AS BIGINT) AS discount_pct"""
 
 
-@query(
-    f"""WITH b AS (SELECT {_ROW}, 1 AS l, 0 AS r FROM lineitem UNION ALL SELECT {_ROW}, 0, 1 FROM {_DAMAGED}),
+_ROW_DIFF = f"""WITH b AS (SELECT {_ROW}, 1 AS l, 0 AS r FROM lineitem UNION ALL SELECT {_ROW}, 0, 1 FROM {_DAMAGED}),
     g AS (SELECT {_ROW}, sum(l) - sum(r) AS n FROM b GROUP BY ALL HAVING sum(l) <> sum(r))
     SELECT CASE WHEN n > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(n) AS BIGINT) AS copies,
     l_orderkey, l_linenumber, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS ship_date,
     CAST(round(l_discount * 100) AS BIGINT) AS discount_pct FROM g"""
-)
-def row_diff(spark, d):
+
+
+def _row_diff(spark, d, by):
     lines = table(spark, d, "lineitem").select(*_ROW.split(", "))
-    diff = C.row_diff(lines, _damaged(lines))
+    diff = C.row_diff(lines, _damaged(lines), by)
     return diff.select(
         "side",
         "copies",
@@ -139,6 +149,17 @@ def row_diff(spark, d):
     )
 
 
+@query(_ROW_DIFF)
+def row_diff(spark, d):
+    return _row_diff(spark, d, ())
+
+
+@query(_ROW_DIFF)
+def row_diff_by_partition(spark, d):
+    """Only ship dates whose fingerprints differ are diffed row by row."""
+    return _row_diff(spark, d, ["l_shipdate"])
+
+
 # -- whole comparisons ------------------------------------------------------------------------------------
 
 

@@ -7,11 +7,11 @@ which slices hot runs. Only delivery retries are folded row by row, and a delive
 
 from __future__ import annotations
 
-import pickle
+import heapq
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from concord.functions.state import STATES, TERMINAL_STATES, event_type
@@ -91,28 +91,26 @@ class _StuckProcessor(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_us bigint, state string, alerted boolean")
 
-    def _alert(self, key, since_us: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "stuck_since_us": [since_us]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slots = pd.concat(list(rows)).sort_values("first_us")
-        last = self.last.get() if self.last.exists() else None
-        for slot in slots.itertuples(index=False):
-            if last is not None and last[1] == self.watched and not last[2]:
-                if slot.first_us - last[0] > self.grace_ms * 1000:
-                    yield self._alert(key, last[0])
-            last = (int(slot.last_us), slot.last_state, False)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last[1] == self.watched:
-            self.handle.registerTimer(last[0] // 1000 + self.grace_ms + 1)
-        self.last.update(last)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()
-        if last is not None and last[1] == self.watched and not last[2]:
-            self.last.update((last[0], last[1], True))
-            yield self._alert(key, last[0])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last_us, last_state, alerted = self.last.get() or (None, None, False)
+        if last_state == self.watched and not alerted:
+            self.handle.deleteTimer(self._due(last_us))
+        for slot in sorted(rows, key=lambda r: r["first_us"]):
+            if last_state == self.watched and not alerted and slot["first_us"] - last_us > self.grace_ms * 1000:
+                yield Row(**{self.key: key[0], "stuck_since_us": last_us})
+            last_us, last_state, alerted = slot["last_us"], slot["last_state"], False
+        if last_state == self.watched:
+            self.handle.registerTimer(self._due(last_us))
+        self.last.update((last_us, last_state, alerted))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last_us, last_state, alerted = self.last.get()
+        if last_state == self.watched and not alerted:
+            self.last.update((last_us, last_state, True))
+            yield Row(**{self.key: key[0], "stuck_since_us": last_us})
+
+    def _due(self, last_us: int) -> int:
+        return last_us // 1000 + self.grace_ms + 1
 
     def close(self) -> None:
         pass
@@ -151,7 +149,7 @@ def stuck_runs(
             "last_state",
         )
     )
-    return slots.groupBy(key).transformWithStateInPandas(
+    return slots.groupBy(key).transformWithState(
         statefulProcessor=_StuckProcessor(key, watched, grace_seconds * 1000),
         outputStructType=T.StructType([events.schema[key], T.StructField("stuck_since_us", T.LongType())]),
         outputMode="Append",
@@ -162,6 +160,9 @@ def stuck_runs(
 # -- delivery retries -------------------------------------------------------------------------------------
 
 
+_TRY = "at_us:bigint,tie:bigint,won:boolean,tried:boolean"
+
+
 class _RetryProcessor(StatefulProcessor):
     """Per delivery: its earliest tries, as many as count."""
 
@@ -169,28 +170,25 @@ class _RetryProcessor(StatefulProcessor):
         self.key, self.cap = key, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tries = handle.getValueState("tries", "tries binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = pickle.loads(self.tries.get()[0]) if self.tries.exists() else []
-        for chunk in rows:
-            # only the earliest tries can matter, whatever order they arrive in
-            first = chunk.nsmallest(self.cap, ["at_us", "tie"])
-            kept = sorted(kept + list(first[["at_us", "tie", "won", "tried"]].itertuples(index=False, name=None)))
-            kept = kept[: self.cap]
-        self.tries.update((pickle.dumps(kept),))
-        status, attempts = "pending", 0
-        for _, _, won, tried in kept:
+        self.tries = handle.getValueState("tries", f"tries array<struct<{_TRY}>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.tries.get()
+        seen = [tuple(t) for t in known[0]] if known else []
+        # only the earliest tries can matter, whatever order they arrive in: memory is ``cap`` rows
+        arriving = ((r["at_us"], r["tie"], r["won"], r["tried"]) for r in rows)
+        kept = heapq.nsmallest(self.cap, chain(seen, arriving))
+        self.tries.update((kept,))
+        status, attempts = self._outcome(kept)
+        yield Row(**{self.key: key[0], "status": status, "attempts": attempts})
+
+    def _outcome(self, tries: Sequence[tuple]) -> tuple[str, int]:
+        for attempts, (_, _, won, tried) in enumerate(tries):
             if not tried:
-                status = "failed"
-                break
-            attempts += 1
+                return "failed", attempts
             if won:
-                status = "delivered"
-                break
-        else:
-            status = "failed" if attempts >= self.cap else "pending"
-        yield pd.DataFrame({self.key: [key[0]], "status": [status], "attempts": [attempts]})
+                return "delivered", attempts + 1
+        return ("failed" if len(tries) >= self.cap else "pending"), len(tries)
 
     def close(self) -> None:
         pass
@@ -212,7 +210,7 @@ def delivery_retry(
         F.expr(f"coalesce({enabled}, false) AND coalesce({success}, false)").alias("won"),
         F.expr(f"coalesce({enabled}, false)").alias("tried"),
     )
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(key).transformWithState(
         statefulProcessor=_RetryProcessor(key, cap),
         outputStructType=T.StructType(
             [tries.schema[key], T.StructField("status", T.StringType()), T.StructField("attempts", T.LongType())]
