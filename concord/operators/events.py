@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.state import STATES, event_type
+from concord.operators.sizes import broadcast_if_small
 
 WILDCARD = "run.state_changed"
 
@@ -40,7 +41,7 @@ def match_subscriptions(
     if message is not None:
         events = events.filter(~F.col(message).eqNullSafe(F.lit("claimed for submission")))
     typed = events.withColumn("event_type", event_type(F.col(state)))
-    return typed.join(subscription_index(subscriptions, states), "event_type")
+    return typed.join(broadcast_if_small(subscription_index(subscriptions, states)), "event_type")
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -109,4 +110,4 @@ def sign(payload: Column, key: Column) -> Column:
 def signed_deliveries(deliveries: DataFrame, subscriptions: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``signature`` to deliveries (``subscription_id``); the secret never leaves the key computation."""
     keys = subscriptions.select("subscription_id", signing_key(F.col("secret")).alias("__key"))
-    return deliveries.join(keys, "subscription_id").withColumn("signature", sign(F.col(payload), F.col("__key"))).drop("__key")
+    return deliveries.join(broadcast_if_small(keys), "subscription_id").withColumn("signature", sign(F.col(payload), F.col("__key"))).drop("__key")

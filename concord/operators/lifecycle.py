@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.state import TERMINAL_STATES
-from concord.operators.ordered import HOT_ROWS, LastBefore, Previous, RunningSum, scan
+from concord.operators.ordered import HOT_ROWS, First, LastBefore, Previous, RunningSum, scan
 
 MAX_ATTEMPTS = 5
 STUCK_GRACE = "30 seconds"
@@ -224,15 +224,14 @@ def run_failure(
 
 
 def idempotent_first(
-    df: DataFrame, key: str, run: str, order: Sequence[str]
+    df: DataFrame, key: str, run: str, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``winner`` (the first run that used the key) and ``created`` (is this row that run?).
 
-    Rows without a key always create their own run and stay out of the join.
+    Rows without a key always create their own run and are not shuffled.
     """
     keyed, unkeyed = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
-    first = keyed.groupBy(key).agg(F.min_by(run, F.struct(*order)).alias("winner"))
-    merged = keyed.join(first, key).select(*df.columns, "winner")
+    merged = scan(keyed, [key], order, {"winner": First(run)}, hot_rows)
     return merged.unionByName(unkeyed.withColumn("winner", F.col(run))).withColumn(
         "created", F.col("winner").eqNullSafe(F.col(run))
     )
@@ -350,18 +349,25 @@ def enrich(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Mapping[str, s
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Child rows whose reference points at nothing."""
-    return _probe(child, parent, on, "left_anti")
+    """Child rows whose reference points at nothing. A hot reference is split by adaptive execution."""
+    return _probe(child, _keys(parent, on), on, "left_anti")
 
 
 def in_use(parent: DataFrame, child: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Parent rows that a child still refers to (``on`` maps parent to child columns)."""
-    return _probe(parent, child, on, "left_semi")
+    """Parent rows that a child still refers to (``on`` maps parent to child columns).
+
+    References are made distinct before the join: a parent with a huge number of children costs one row per
+    task.
+    """
+    return _probe(parent, _keys(child, on).distinct(), on, "left_semi")
+
+
+def _keys(df: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    return df.select(*[F.col(r).alias(f"__{l}") for l, r in on.items()])
 
 
-def _probe(df: DataFrame, other: DataFrame, on: Mapping[str, str], how: str) -> DataFrame:
-    probe = other.select(*[F.col(r).alias(f"__{l}") for l, r in on.items()])
+def _probe(df: DataFrame, keys: DataFrame, on: Mapping[str, str], how: str) -> DataFrame:
     condition = F.lit(True)
     for left in on:
         condition = condition & (F.col(left) == F.col(f"__{left}"))
-    return df.join(probe, condition, how)
+    return df.join(keys, condition, how)

@@ -1,12 +1,13 @@
 """Per-key ordered scans that split hot keys.
 
 A window partitioned by run id puts a whole run into one task. :func:`scan` keeps that plan for ordinary keys
-and cuts every key with more than ``hot_rows`` rows into consecutive time slices. Slices are scanned on their
-own and joined with a carry: the scan's value at the end of the earlier slices, computed from one partial
-aggregate per slice. Both side tables are bounded by the row count divided by ``hot_rows`` (times the slices
-per ``hot_rows`` rows), which is why they may be broadcast.
+and cuts every key with more than ``hot_rows`` rows into consecutive slices of its first order column. Slices
+are scanned on their own and joined with a carry: the scan's value at the end of the earlier slices, computed
+from one partial aggregate per slice. The carry join reuses the window's partitioning, so rows are shuffled
+once, as for a plain window.
 
-Slice borders come from exact counts, minima and maxima, so a recomputed task sees the same borders.
+Slice borders come from exact counts, minima and maxima, so a recomputed task sees the same borders. The table
+of hot keys has at most (rows / ``hot_rows``) entries, which is why it may be broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HOT_ROWS = 2_000_000
 # slices are cut evenly in time; a finer cut keeps bursts small
@@ -29,6 +30,13 @@ class Previous:
     value: str
 
 
+@dataclass(frozen=True)
+class First:
+    """The value on the key's first row."""
+
+    value: str
+
+
 @dataclass(frozen=True)
 class LastBefore:
     """The latest value among earlier rows for which ``when`` holds; NULL if there is none."""
@@ -44,102 +52,130 @@ class RunningSum:
     value: str
 
 
+Spec = Previous | First | LastBefore | RunningSum
+
+
 def _position(df: DataFrame, name: str) -> Column:
-    """The order column as a whole number that time slices can be cut from."""
-    kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
+    """The order column as a whole number that slices can be cut from; NULL if it has none."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name).cast("bigint")
+    if isinstance(dtype, T.IntegralType):
+        return F.col(name).cast("bigint")
+    return F.lit(None).cast("bigint")
+
+
+def _key_columns(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Keys as never-NULL columns (value and NULL flag), so that joins on them are plain equalities and reuse
+    the window's partitioning."""
+    columns: dict[str, Column] = {}
+    for i, key in enumerate(keys):
+        dtype, value = df.schema[key].dataType, F.col(key)
+        if isinstance(dtype, T.IntegralType):
+            columns[f"__k{i}"] = F.coalesce(value, F.lit(0).cast(dtype))
+        else:
+            columns[f"__k{i}"] = F.coalesce(value.cast("string"), F.lit(""))
+        columns[f"__n{i}"] = value.isNull()
+    return columns
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-    return condition
+def _keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    columns = _key_columns(df, keys)
+    second = _position(df, order[1]) if len(order) > 1 else F.lit(None).cast("bigint")
+    return df.withColumns({**columns, "__at": _position(df, order[0]), "__tie": second}), list(columns)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the width of their time slices."""
-    counted = df.select(*keys, _position(df, order).alias("__at")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi")
+def _hot(keyed: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
+    counted = keyed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.min("__at").alias("__lo_at"),
+        F.max("__at").alias("__hi_at"),
+        F.min("__tie").alias("__lo_tie"),
+        F.max("__tie").alias("__hi_tie"),
     )
-    slices = F.ceil(F.col("__n") * F.lit(SLICES_PER_HOT_ROWS) / F.lit(hot_rows))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1) / slices)).cast("bigint")
-    return counted.filter(F.col("__n") > hot_rows).select(*keys, "__lo", width.alias("__width"))
-
-
-def _sliced(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
-    hot = F.broadcast(hot_keys(df, keys, order, hot_rows)).alias("h")
-    slice_no = F.expr("div(__at - __lo, __width)")
-    return (
-        df.withColumn("__at", _position(df, order))
-        .alias("d")
-        .join(hot, _same("d", "h", keys), "left")
-        .select("d.*", F.coalesce(slice_no, F.lit(-1)).cast("bigint").alias(_SLICE))
-        .drop("__at")
+    # a key whose rows all carry one time is cut by the second order column
+    one_time = F.col("__lo_at").eqNullSafe(F.col("__hi_at"))
+    low = F.when(one_time, F.col("__lo_tie")).otherwise(F.col("__lo_at"))
+    high = F.when(one_time, F.col("__hi_tie")).otherwise(F.col("__hi_at"))
+    slices = F.ceil(F.col("__rows") * F.lit(SLICES_PER_HOT_ROWS) / F.lit(hot_rows))
+    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / slices)).cast("bigint")
+    return counted.filter(F.col("__rows") > hot_rows).select(
+        *by, one_time.alias("__by_tie"), low.alias("__lo"), width.alias("__width")
     )
 
 
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int) -> tuple[DataFrame, list[str]]:
+    keyed, by = _keyed(df, keys, order)
+    hot = F.broadcast(_hot(keyed.select(*by, "__at", "__tie"), by, hot_rows))
+    slice_no = F.expr("div(CASE WHEN __by_tie THEN __tie ELSE __at END - __lo, __width)")
+    sliced = keyed.join(hot, by, "left").withColumn(_SLICE, F.coalesce(slice_no, F.lit(-1)).cast("bigint"))
+    return sliced.select(*df.columns, *by, _SLICE), by
+
+
 def _boxed(value: str) -> str:
     return f"named_struct('v', {value})"
 
 
-def _local(spec, window) -> Column:
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+def _local(spec: Spec, window) -> Column:
     if isinstance(spec, Previous):
         return F.lag(F.expr(_boxed(spec.value))).over(window)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if isinstance(spec, First):
+        return F.first(F.expr(_boxed(spec.value))).over(upto)
     if isinstance(spec, LastBefore):
         boxed = F.expr(f"CASE WHEN {spec.when} THEN {_boxed(spec.value)} END")
-        return F.last(boxed, ignorenulls=True).over(earlier)
-    return F.sum(F.expr(spec.value)).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        return F.last(boxed, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return F.sum(F.expr(spec.value)).over(upto)
 
 
-def _slice_end(spec, order: Sequence[str]) -> Column:
+def _slice_end(spec: Spec, order: Sequence[str]) -> Column:
     at = f"struct({', '.join(order)})"
     if isinstance(spec, Previous):
         return F.expr(f"max_by({_boxed(spec.value)}, {at})")
+    if isinstance(spec, First):
+        return F.expr(f"min_by({_boxed(spec.value)}, {at})")
     if isinstance(spec, LastBefore):
         return F.expr(f"max_by({_boxed(spec.value)}, {at}) FILTER (WHERE {spec.when})")
     return F.sum(F.expr(spec.value))
 
 
+def _carried(spec: Spec, name: str, before) -> Column:
+    end = f"__c_{name}"
+    if isinstance(spec, RunningSum):
+        return F.sum(end).over(before)
+    if isinstance(spec, First):
+        return F.first(end, ignorenulls=True).over(before)
+    return F.last(end, ignorenulls=True).over(before)
+
+
+def _combined(spec: Spec, name: str) -> Column:
+    local, prior = F.col(f"__l_{name}"), F.col(f"__c_{name}")
+    if isinstance(spec, RunningSum):
+        return F.coalesce(prior, F.lit(0)) + F.coalesce(local, F.lit(0))
+    if isinstance(spec, First):
+        return F.coalesce(prior, local)["v"]
+    return F.coalesce(local, prior)["v"]
+
+
 def scan(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, Spec], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add one column per entry of ``specs``; rows of a key are taken in ``order``, which must be unique.
 
-    One shuffle of the rows, as for a plain window. Hot keys add a narrow scan that counts rows per key and
-    a partial aggregate per slice.
+    Hot keys add a narrow scan that counts rows per key and a partial aggregate per slice. Spec expressions
+    are SQL text over the columns of ``df``.
     """
-    keys, order = list(keys), list(order)
-    sliced = _sliced(df, keys, order[0], hot_rows)
+    sliced, by = _sliced(df, list(keys), list(order), hot_rows)
+    by = [*by, _SLICE]
     ends = (
         sliced.filter(F.col(_SLICE) >= 0)
-        .groupBy(*keys, _SLICE)
+        .groupBy(*by)
         .agg(*[_slice_end(spec, order).alias(f"__c_{name}") for name, spec in specs.items()])
     )
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [
-        (
-            F.sum(f"__c_{name}").over(before)
-            if isinstance(spec, RunningSum)
-            else F.last(f"__c_{name}", ignorenulls=True).over(before)
-        ).alias(f"__c_{name}")
-        for name, spec in specs.items()
-    ]
-    carry = F.broadcast(ends.select(*keys, _SLICE, *carried)).alias("c")
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*order)
+    before = Window.partitionBy(*by[:-1]).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*by, *[_carried(spec, name, before).alias(f"__c_{name}") for name, spec in specs.items()])
+    window = Window.partitionBy(*by).orderBy(*order)
     scanned = sliced.select("*", *[_local(spec, window).alias(f"__l_{name}") for name, spec in specs.items()])
-    out = []
-    for name, spec in specs.items():
-        local, prior = F.col(f"s.__l_{name}"), F.col(f"c.__c_{name}")
-        if isinstance(spec, RunningSum):
-            out.append((F.coalesce(prior, F.lit(0)) + F.coalesce(local, F.lit(0))).alias(name))
-        else:
-            out.append(F.coalesce(local, prior)["v"].alias(name))
-    return (
-        scanned.alias("s")
-        .join(carry, _same("s", "c", [*keys, _SLICE]), "left")
-        .select(*[F.col(f"s.`{c}`") for c in df.columns], *out)
+    return scanned.join(carry, by, "left").select(
+        *df.columns, *[_combined(spec, name).alias(name) for name, spec in specs.items()]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.uri import dataset_key, parse_artifact
+from concord.operators.sizes import broadcast_if_small
 
 DEFAULT_CATALOG = "lakehouse"
 # What registers an Iceberg REST catalog with a Spark session.
@@ -48,8 +49,8 @@ def resolve_datasets(
         ),
     )
     return (
-        refs.join(bound, ["dataset", environment], "left")
-        .join(known, "dataset", "left")
+        refs.join(broadcast_if_small(bound), ["dataset", environment], "left")
+        .join(broadcast_if_small(known), "dataset", "left")
         .select(
             *refs.columns,
             "kind",
@@ -85,7 +86,7 @@ def resolve_artifacts(
         F.lit("' has no binding for environment '"), F.col(environment), F.lit("'"),
     )
     error = F.when(logical, F.coalesce(F.col("__p.error"), F.when(F.col("__uri").isNull(), missing)))
-    return parsed.join(bound, on, "left").select(
+    return parsed.join(broadcast_if_small(bound), on, "left").select(
         *refs.columns,
         F.when(logical, F.col("__uri")).otherwise(F.col(reference)).alias("resolved"),
         error.alias("error"),

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
 
-    For joins that adaptive execution cannot re-plan (a stream with a static table). The count reads at most
-    ``max_rows + 1`` rows.
+    For configuration tables joined on a column with few values (a provider, an event type): without the hint
+    the large side would be shuffled on those few values before adaptive execution sees how small the other
+    side is. The count reads at most ``max_rows + 1`` rows; a larger table is left to adaptive execution, which
+    splits skewed partitions.
     """
     rows = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
