@@ -102,6 +102,7 @@ def _column_aggregates(i: int, field: T.StructField) -> list[Column]:
         wide = f"CASE WHEN NOT {is_narrow(number)} THEN {number} END"
         aggregates += limb_sums(to_micro(number), f"c{i}_s")
         aggregates += [F.expr(f"count({wide}) AS c{i}_wide"), F.expr(f"sum({wide}) AS c{i}_wide_sum")]
+        col = f"({col} + CAST(0 AS {field.dataType.simpleString()}))"  # -0.0 and 0.0 are one value
     else:
         return aggregates
     return aggregates + [F.expr(f"min({col}) AS c{i}_min"), F.expr(f"max({col}) AS c{i}_max")]
@@ -302,7 +303,7 @@ def profile_mismatches(left: Column, right: Column, rtol: float = 1e-9) -> Colum
     lc, rc = left["columns"], right["columns"]
     none = F.lit(None).cast("string")
     paired = F.filter(
-        F.transform(lc, lambda c: F.struct(c.alias("l"), F.filter(rc, lambda d: d["name"] == c["name"])[0].alias("r"))),
+        F.transform(lc, lambda c: F.struct(c.alias("l"), F.get(F.filter(rc, lambda d: d["name"] == c["name"]), F.lit(0)).alias("r"))),
         lambda p: p["r"].isNotNull(),
     )
     numeric = F.filter(paired, lambda p: p["l"]["numeric"] & p["r"]["numeric"])

@@ -104,12 +104,17 @@ def _hot(keyed: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
     )
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int) -> tuple[DataFrame, list[str]]:
+def _sliced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(all rows, rows of hot keys only, key columns); ordinary keys are one slice, numbered -1."""
     keyed, by = _keyed(df, keys, order)
     hot = F.broadcast(_hot(keyed.select(*by, "__at", "__tie"), by, hot_rows))
     slice_no = F.expr("div(CASE WHEN __by_tie THEN __tie ELSE __at END - __lo, __width)")
-    sliced = keyed.join(hot, by, "left").withColumn(_SLICE, F.coalesce(slice_no, F.lit(-1)).cast("bigint"))
-    return sliced.select(*df.columns, *by, _SLICE), by
+    kept = [*df.columns, *by]
+    every = keyed.join(hot, by, "left").select(*kept, F.coalesce(slice_no, F.lit(-1)).cast("bigint").alias(_SLICE))
+    heavy = keyed.join(hot, by).select(*kept, F.coalesce(slice_no, F.lit(-1)).cast("bigint").alias(_SLICE))
+    return every, heavy, by
 
 
 def _boxed(value: str) -> str:
@@ -165,12 +170,10 @@ def scan(
     Hot keys add a narrow scan that counts rows per key and a partial aggregate per slice. Spec expressions
     are SQL text over the columns of ``df``.
     """
-    sliced, by = _sliced(df, list(keys), list(order), hot_rows)
+    sliced, heavy, by = _sliced(df, list(keys), list(order), hot_rows)
     by = [*by, _SLICE]
-    ends = (
-        sliced.filter(F.col(_SLICE) >= 0)
-        .groupBy(*by)
-        .agg(*[_slice_end(spec, order).alias(f"__c_{name}") for name, spec in specs.items()])
+    ends = heavy.groupBy(*by).agg(
+        *[_slice_end(spec, order).alias(f"__c_{name}") for name, spec in specs.items()]
     )
     before = Window.partitionBy(*by[:-1]).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*by, *[_carried(spec, name, before).alias(f"__c_{name}") for name, spec in specs.items()])

@@ -30,16 +30,16 @@ def stream_fold_run_state(spark, d):
 
 
 _STUCK_SECONDS = 1800
-_CLOSED = f"""epoch_us(ts) // {_STUCK_SECONDS * 1_000_000} < (SELECT epoch_us(max(ts)) - {3600 * 1_000_000} FROM events)
-    // {_STUCK_SECONDS * 1_000_000}"""
+_SLOT = _STUCK_SECONDS * 1_000_000
+_WATERMARK = f"(SELECT epoch_us(max(ts)) - {3600 * 1_000_000} FROM events)"
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM events WHERE {_CLOSED}),
+    f"""WITH c AS (SELECT * FROM events WHERE (epoch_us(ts) // {_SLOT} + 1) * {_SLOT} <= {_WATERMARK}),
     g AS (SELECT user_id, event_type, epoch_us(ts) AS t,
         epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS n FROM c)
     SELECT user_id, t AS stuck_since_us FROM g WHERE event_type = 'error'
-    AND coalesce(n, (SELECT epoch_us(max(ts)) - {3600 * 1_000_000} FROM events)) - t > {_STUCK_SECONDS * 1_000_000}"""
+    AND CASE WHEN n IS NULL THEN ((t + {_SLOT}) // {_SLOT} + 1) * {_SLOT} <= {_WATERMARK} ELSE n - t > {_SLOT} END"""
 )
 def stream_stuck_runs(spark, d):
     """Alerts for everything the watermark (one hour behind the newest event) has passed."""

@@ -40,15 +40,19 @@ def local_session(app: str = "concord", cores: str = "*", partitions: int = 8) -
     )
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def _shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="concord-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="concord-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -110,7 +110,8 @@ class _StuckProcessor(StatefulProcessor):
             yield Row(**{self.key: key[0], "stuck_since_us": last_us})
 
     def _due(self, last_us: int) -> int:
-        return last_us // 1000 + self.grace_ms + 1
+        """Close of the slot the grace ends in: only then have all events within the grace arrived."""
+        return ((last_us // 1000 + self.grace_ms) // self.grace_ms + 1) * self.grace_ms
 
     def close(self) -> None:
         pass
@@ -129,8 +130,9 @@ def stuck_runs(
 
     Two steps. A windowed aggregate keeps first event, last event and last state per run and slot of one
     grace period (two events in one slot are never further apart than that). A stateful step compares
-    neighbouring slots and sets an event-time timer for the open end. The state sees at most one row per run
-    and grace period, however many events a run has. Late events beyond the watermark are dropped.
+    neighbouring slots and sets an event-time timer for the open end, due when the slot in which the grace
+    ends is closed. The state sees at most one row per run and grace period, however many events a run has.
+    Late events beyond the watermark are dropped.
     """
     ts = order[0]
     slots = (
