@@ -224,7 +224,7 @@ def compare_semantic(spark, d):
     return verdict.select(
         "matched",
         F.size("mismatches").cast("bigint").alias("mismatches"),
-        F.lit(copy.count()).alias("rows"),
+        F.lit(copy.count()).cast("bigint").alias("rows"),
     )
 
 

@@ -250,6 +250,7 @@ def stream_latency(
 
     def process(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
+        batch = batch.persist()  # read several times below; recomputed from the source if an executor is lost
         known = (
             session.read.schema(schema).parquet(f"{root}/state-{(epoch - 1) % 2}")
             if epoch
@@ -262,6 +263,7 @@ def stream_latency(
         _snapshot(seen.select(*columns), key, state, order, starts, terminal).write.mode("overwrite").parquet(
             f"{root}/state-{epoch % 2}"
         )
+        batch.unpersist()
 
     run_available(events.select(*columns), f"{root}/checkpoint", process)
     out = T.StructType(
