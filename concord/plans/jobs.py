@@ -133,13 +133,13 @@ def table_roundtrip(spark, d):
 def materialize_view(spark, d):
     """Two views, the second computed from the first."""
     schema = _schema_in_scratch(spark, "views")
-    table(spark, d, "orders").createOrReplaceTempView("mv_orders")
-    table(spark, d, "customer").createOrReplaceTempView("mv_customer")
+    for name in ("orders", "customer"):
+        table(spark, d, name).createOrReplaceTempView(f"{schema}_{name}")
     S.materialize_views(
         spark,
         {
-            f"{schema}.finished": """SELECT c_mktsegment, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
-                FROM mv_orders JOIN mv_customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
+            f"{schema}.finished": f"""SELECT c_mktsegment, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+                FROM {schema}_orders JOIN {schema}_customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
             f"{schema}.by_segment": f"""SELECT c_mktsegment, count(*) AS orders, sum(cents) AS cents
                 FROM {schema}.finished GROUP BY c_mktsegment""",
         },

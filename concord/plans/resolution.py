@@ -111,9 +111,9 @@ _ARTIFACT_BINDINGS = """SELECT DISTINCT p_brand AS artifact_name, concat(p_type,
 )
 def resolve_artifacts(spark, d):
     parts = table(spark, d, "part")
-    parts.createOrReplaceTempView("part")
     refs = parts.select("p_partkey", F.expr(_REFERENCE).alias("reference"), F.col("p_brand").alias("environment_name"))
-    return R.resolve_artifacts(refs, spark.sql(_ARTIFACT_BINDINGS)).select("p_partkey", "resolved", "error")
+    bindings = spark.sql(_ARTIFACT_BINDINGS.replace("FROM part", "FROM {part}"), part=parts)
+    return R.resolve_artifacts(refs, bindings).select("p_partkey", "resolved", "error")
 
 
 @query(

@@ -81,5 +81,4 @@ BINDINGS = """SELECT p_type AS dataset_name, p_brand AS environment_name,
 
 
 def bindings(spark, d) -> DataFrame:
-    table(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql(BINDINGS)
+    return spark.sql(BINDINGS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from concord.operators import jobs as J
+from concord import session
 from concord.session import scratch
 from concord.sources import datasets as S
 
@@ -91,3 +92,12 @@ def test_scratch_follows_the_session(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch(_Conf(spark_master="yarn"), "x")
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_shuffles_follow_the_input(spark, sf_dir, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert session.size_shuffles(spark, sf_dir) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1000)
+    wanted = session.size_shuffles(spark, sf_dir)
+    assert wanted > 100 and spark.conf.get(key) == str(wanted)
+    spark.conf.unset(key)
