@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from concord.operators import compare as C
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def words(spark, rows, schema="word string, count int"):
     return spark.createDataFrame(rows, schema)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import definition as D
@@ -9,6 +10,8 @@ from concord.functions import uri as U
 from concord.operators import resolve as R
 from concord.operators import validate as V
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 GOLDEN = {
     "apiVersion": "runtime/v1",
     "kind": "SparkWorkload",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from concord.operators import lifecycle as L
 from concord.operators.ordered import First, LastBefore, Previous, RunningSum, scan
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 T0 = dt.datetime(2024, 1, 1)
 
 

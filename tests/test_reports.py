@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from concord.operators import events as E
 from concord.operators import reports as R
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def certification(spark, environments, execution, storage, worst=False):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
