@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.functions.state import TERMINAL_STATES
 from concord.functions.uri import storage_protocol
-from concord.operators.compare import mismatch_text, profile_mismatches, profile_row
+from concord.operators.compare import compare_tables, mismatch_text, profile_mismatches, profile_row
+from concord.sources.datasets import scan
 
 # -- counts -----------------------------------------------------------------------------------------------
 
@@ -312,6 +313,33 @@ def compare_runs(
     )
 
 
+def conformance_report(
+    spark: SparkSession,
+    run_ids: Sequence[str],
+    runs: DataFrame,
+    definitions: DataFrame,
+    bindings: DataFrame,
+    output: str | None = None,
+    format: str = "parquet",
+) -> DataFrame:
+    """Compare the outputs of the named runs pair by pair: from run ids to PASS / FAIL / BLOCKED rows.
+
+    ``definitions`` hold parsed workload documents; tables are read by the identifier in ``bindings``.
+    """
+    pairs = run_pairs(spark, run_ids)
+    requested = spark.createDataFrame(list(enumerate(run_ids)), "position int, run_id string")
+    legs = resolve_legs(requested, runs, definitions, bindings, output)
+    profiles = profile_locations(spark, legs, lambda kind, location: scan(spark, kind, location, format))
+    return compare_runs(legs, pairs, profiles)
+
+
+def compare_semantic(
+    spark: SparkSession, left: str, right: str, kind: str = "path", format: str = "parquet", **options
+) -> DataFrame:
+    """:func:`~concord.operators.compare.compare_tables` for two locations or two table identifiers."""
+    return compare_tables(*[scan(spark, kind, location, format) for location in (left, right)], **options)
+
+
 def equivalence_classes(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``class`` (the smallest key with the same schema and content) and ``members`` to profiled datasets.
 

@@ -28,10 +28,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "concord", cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(app: str = "concord", cores: str = "*", partitions: int = 8, **settings: str) -> SparkSession:
     """A one-machine session for tests and the benchmark."""
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    for key, value in settings.items():
+        builder = builder.config(key, value)
     return configure(
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
         .appName(app)
         .config("spark.driver.memory", os.environ.get("CONCORD_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))

@@ -10,7 +10,7 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(__file__)), os.path.dirname(__fi
 def spark():
     from concord.session import local_session
 
-    session = local_session("concord-tests", "8", 4)
+    session = local_session("concord-tests", "8", 2, **{"spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

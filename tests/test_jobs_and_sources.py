@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from concord.operators import jobs as J
+from concord import jobs as runnable
 from concord import session
 from concord.session import scratch
 from concord.sources import datasets as S
@@ -101,3 +102,33 @@ def test_shuffles_follow_the_input(spark, sf_dir, monkeypatch):
     wanted = session.size_shuffles(spark, sf_dir)
     assert wanted > 100 and spark.conf.get(key) == str(wanted)
     spark.conf.unset(key)
+
+
+def test_jobs_end_to_end(spark):
+    root = scratch(spark, "jobs")
+    S.sink(claims(spark), "path", f"{root}/claims", format="csv")
+    S.sink(reference(spark), "path", f"{root}/reference", format="csv")
+    S.sink(spark.createDataFrame([("b a b",)], "value string"), "path", f"{root}/lines", format="text")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS job_tables LOCATION '{root}/tables'")
+    places = {
+        "claims.raw.uri": f"{root}/claims",
+        "provider.reference.uri": f"{root}/reference",
+        "claims.normalized.uri": f"{root}/normalized",
+        "wordcount.raw.uri": f"{root}/lines",
+        "wordcount.counts.uri": f"{root}/counts",
+        "demo.table.identifier": "job_tables.demo",
+        "demo.readback.uri": f"{root}/readback",
+    }
+    argv = [f"--spark.portable.dataset.{name}={place}" for name, place in places.items()]
+    options = {"environ": {}, "argv": argv}
+    runnable.normalize_claims(spark, **options)
+    assert S.scan(spark, "path", f"{root}/normalized").filter("provider_matched").count() == 3
+    runnable.count_words(spark, **options)
+    assert {tuple(r) for r in S.scan(spark, "path", f"{root}/counts").collect()} == {("b", 2), ("a", 1)}
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, label string")
+    runnable.write_table(spark, rows, **options)
+    with pytest.raises(PySparkException):
+        runnable.write_table(spark, rows, **options)
+    runnable.dump_table(spark, **options)
+    assert sorted(map(tuple, S.scan(spark, "path", f"{root}/readback", "json").select("id", "label").collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    spark.sql("DROP TABLE job_tables.demo")
