@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from concord.functions import messages as M
+
 # Document versions and closed vocabularies.
 STABLE_VERSION = "runtime/v1"
 DEPRECATED_VERSION = "runtime/v1alpha1"
@@ -134,13 +136,10 @@ def workload_errors(w: Column, api_versions: Sequence[str] = API_VERSIONS, types
         )
         + _one_of("application.type", app["type"], types)
         + [
-            F.when(
-                pipeline & empty(app["pipelineSpec"]),
-                F.lit("pipelineSpec is required when type is 'spark-declarative-pipeline'"),
-            ),
+            F.when(pipeline & empty(app["pipelineSpec"]), F.lit(M.PIPELINE_NEEDS_SPEC)),
             F.when(
                 app["type"].isin(*types) & ~pipeline & (empty(app["artifact"]) | empty(app["entryPoint"])),
-                F.concat(F.lit("artifact and entryPoint are required when type is '"), app["type"], F.lit("'")),
+                M.say(M.BUILD_NEEDS_ENTRY, type=app["type"]),
             ),
             F.when(~w["hasDatasets"], F.lit("missing datasets")),
         ]
@@ -240,18 +239,18 @@ def capability_errors(
     rules = [
         F.when(
             ~F.coalesce(F.array_contains(capability["spark_versions"], spark_version), F.lit(False)),
-            F.concat(F.lit("unsupported Spark version: "), spark_version),
+            M.say(M.UNSUPPORTED_SPARK, version=spark_version),
         ),
         F.when(
             ~F.coalesce(F.array_contains(capability["languages"], language), F.lit(False)),
-            F.concat(F.lit("unsupported language: "), language),
+            M.say(M.UNSUPPORTED_LANGUAGE, language=language),
         ),
     ]
     for need, (offer, label) in REQUIREMENTS.items():
         rules.append(
             F.when(
                 requirements[need] & ~F.coalesce(capability[offer], F.lit(False)),
-                F.lit(f"workload requires {label}, provider does not support it"),
+                M.say(M.UNSUPPORTED_FEATURE, feature=F.lit(label)),
             )
         )
     return _collected(rules)

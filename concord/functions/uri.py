@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from concord.functions import messages as M
+
 _ARTIFACT = r"^artifact://([^/]+)/(.+)$"
 _URI = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 
@@ -11,11 +13,8 @@ _URI = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 def parse_artifact(reference: Column) -> Column:
     """struct(name, version, error). The version is everything after the first slash of the reference."""
     part = lambda i: F.nullif(F.regexp_extract(reference, _ARTIFACT, i), F.lit(""))
-    error = F.when(
-        ~reference.startswith("artifact://"), F.concat(F.lit("not an artifact:// reference: "), reference)
-    ).when(
-        part(1).isNull(),
-        F.concat(F.lit("malformed artifact reference (expected artifact://<name>/<version>): "), reference),
+    error = F.when(~reference.startswith("artifact://"), M.say(M.NOT_AN_ARTIFACT, reference=reference)).when(
+        part(1).isNull(), M.say(M.MALFORMED_ARTIFACT, reference=reference)
     )
     return F.struct(part(1).alias("name"), part(2).alias("version"), error.alias("error"))
 

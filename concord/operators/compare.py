@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from concord.functions import messages as M
 from concord.functions.canonical import SALT, canonical, column, hash_inputs, quoted, row_hash128, row_sha
 from concord.functions.exact import exact_sum, is_narrow, join_limbs, limb_sums, to_micro
 
@@ -336,23 +337,24 @@ def profile_mismatches(left: Column, right: Column, rtol: float = 1e-9) -> Colum
     )
 
 
+_TEXTS = {
+    "schema": M.SCHEMA,
+    "row_count": M.ROW_COUNT,
+    "null_count": M.NULL_COUNT,
+    "partition_coverage": M.COVERAGE,
+    "invariant": M.INVARIANT,
+    "row_content": M.ROW_CONTENT,
+}
+
+
 def mismatch_text(mismatch: Column) -> Column:
     """One line per mismatch for reports."""
-    label = F.when(mismatch["check"] == "schema", F.lit("schema mismatch"))
-    label = label.when(mismatch["check"] == "row_count", F.lit("row count mismatch"))
-    label = label.when(
-        mismatch["check"] == "null_count", F.concat(F.lit("null count mismatch on '"), mismatch["column"], F.lit("'"))
-    )
-    label = label.when(mismatch["check"] == "partition_coverage", F.lit("partition coverage mismatch"))
-    label = label.when(
-        mismatch["check"] == "invariant", F.concat(F.lit("invariant violated: "), mismatch["column"])
-    )
-    label = label.when(mismatch["check"] == "row_content", F.lit("row content mismatch"))
-    label = label.otherwise(F.concat(mismatch["check"], F.lit("('"), mismatch["column"], F.lit("') mismatch")))
-    shown = lambda side: F.coalesce(mismatch[side], F.lit("NULL"))
-    return F.when(
-        mismatch["check"] == "row_content", F.lit("row content mismatch: deterministic row hashes differ")
-    ).otherwise(F.concat(label, F.lit(": left="), shown("left"), F.lit(" right="), shown("right")))
+    shown = lambda name: F.coalesce(mismatch[name], F.lit("NULL"))
+    parts = {name: shown(name) for name in ("check", "column", "left", "right")}
+    text = M.say(M.AGGREGATE, **parts)
+    for check, template in _TEXTS.items():
+        text = F.when(mismatch["check"] == check, M.say(template, **parts)).otherwise(text)
+    return text
 
 
 def _missing(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -418,7 +420,8 @@ def _coverage_mismatch(left: DataFrame, right: DataFrame, columns: Sequence[str]
 def compare_tables(left: DataFrame, right: DataFrame, **options) -> DataFrame:
     """One row: ``matched boolean, mismatches array<string>``. Options as in :func:`compare_detail`."""
     detail = compare_detail(left, right, **options)
-    order = F.struct("ord", F.coalesce("column", F.lit("")), "check")
+    within = F.array_position(F.lit(["sum", "min", "max"]), F.col("check"))
+    order = F.struct("ord", F.coalesce("column", F.lit("")), within.alias("within"))
     listed = detail.select(F.struct(order.alias("o"), mismatch_text(F.struct("*")).alias("text")).alias("m"))
     return listed.agg(F.array_sort(F.collect_list("m")).alias("ms")).select(
         (F.size("ms") == 0).alias("matched"), F.transform("ms", lambda m: m["text"]).alias("mismatches")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.functions.messages import CLAIMED
 from concord.functions.state import STATES, event_type
 from concord.operators.sizes import broadcast_if_small
 
@@ -39,7 +40,7 @@ def match_subscriptions(
     if from_state is not None:
         events = events.filter(F.col(from_state).isNotNull())
     if message is not None:
-        events = events.filter(~F.col(message).eqNullSafe(F.lit("claimed for submission")))
+        events = events.filter(~F.col(message).eqNullSafe(F.lit(CLAIMED)))
     typed = events.withColumn("event_type", event_type(F.col(state)))
     return typed.join(broadcast_if_small(subscription_index(subscriptions, states)), "event_type")
 

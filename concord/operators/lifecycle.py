@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.functions.messages import CLAIMED
 from concord.functions.state import TERMINAL_STATES
 from concord.operators.ordered import HOT_ROWS, First, LastBefore, Previous, RunningSum, scan
 
@@ -322,7 +323,7 @@ def claimable_runs(
             F.col(run).alias("run_id"),
             F.col(state).alias("from_state"),
             F.lit("SUBMITTING").alias("to_state"),
-            F.lit("claimed for submission").alias("message"),
+            F.lit(CLAIMED).alias("message"),
         )
     )
 

@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from concord.functions import messages as M
 from concord.functions.state import TERMINAL_STATES
 from concord.functions.uri import storage_protocol
 from concord.operators.compare import compare_tables, mismatch_text, profile_mismatches, profile_row
@@ -151,7 +152,7 @@ def certification_report(
     none = F.lit(None).cast("string")
     broken = F.when(
         F.coalesce(F.size("spark_versions"), F.lit(0)) <= 0,
-        F.lit("execution provider reports no supported Spark versions"),
+        F.lit(M.NO_SPARK_VERSIONS),
     ).otherwise(none)
     execution = execution_profiles.select(
         F.col("name").alias("execution_profile_name"), F.col("provider").alias("execution_provider"), broken.alias("broken")
@@ -173,7 +174,7 @@ def certification_report(
     status = F.when(F.col("broken").isNotNull(), "FAIL").when(F.col("proven"), "PASS").otherwise("BLOCKED")
     detail = F.coalesce(
         F.col("broken"),
-        F.when(F.col("proven").isNull(), F.lit("this exact pair has no live evidence")),
+        F.when(F.col("proven").isNull(), F.lit(M.NO_EVIDENCE)),
     )
     return decided.join(proven, pair, "left").select(*pair, status.alias("status"), detail.alias("detail"))
 
@@ -246,16 +247,13 @@ def resolve_legs(
         F.col("dataset_name").alias("__dataset"), "environment_name", F.col("kind").alias("__kind"), F.col("uri").alias("__uri")
     )
     joined = found.withColumn("__dataset", dataset).join(bound, ["__dataset", "environment_name"], "left")
-    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    unbound = M.say(M.UNBOUND_OUTPUT, dataset=F.col("__dataset"), environment=F.col("environment_name"))
     reason = (
-        F.when(F.col("__state").isNull(), say("run '", F.col("run_id"), "' not found"))
-        .when(F.col("__state") != "SUCCEEDED", say("run not SUCCEEDED (state=", F.col("__state"), ")"))
-        .when(F.coalesce(F.size("__outputs"), F.lit(0)) <= 0, "workload declares no output datasets")
-        .when(F.col("__dataset").isNull(), f"workload has no output named '{output}'")
-        .when(
-            F.col("__uri").isNull(),
-            say("no dataset binding for '", F.col("__dataset"), "' in '", F.col("environment_name"), "'"),
-        )
+        F.when(F.col("__state").isNull(), M.say(M.RUN_NOT_FOUND, run=F.col("run_id")))
+        .when(F.col("__state") != "SUCCEEDED", M.say(M.RUN_NOT_SUCCEEDED, state=F.col("__state")))
+        .when(F.coalesce(F.size("__outputs"), F.lit(0)) <= 0, M.NO_OUTPUTS)
+        .when(F.col("__dataset").isNull(), M.say(M.NO_SUCH_OUTPUT, output=F.lit(output)))
+        .when(F.col("__uri").isNull(), unbound)
     )
     ready = lambda c: F.when(reason.isNull(), F.col(c))
     return joined.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.functions import messages as M
 from concord.functions.uri import dataset_key, parse_artifact
 from concord.operators.sizes import broadcast_if_small
 
@@ -40,13 +41,8 @@ def resolve_datasets(
         F.col("dataset_name").alias("dataset"), F.col("environment_name").alias(environment), "kind", "uri"
     )
     located = F.when(F.col("kind") == "table", F.concat(F.lit(f"{catalog}."), F.col("uri"))).otherwise(F.col("uri"))
-    error = F.when(
-        F.col("__known").isNull(), F.concat(F.lit("no Dataset definition found for '"), F.col("dataset"), F.lit("'"))
-    ).when(
-        F.col("uri").isNull(),
-        F.concat(
-            F.lit("dataset '"), F.col("dataset"), F.lit("' has no binding for environment '"), F.col(environment), F.lit("'")
-        ),
+    error = F.when(F.col("__known").isNull(), M.say(M.UNKNOWN_DATASET, dataset=F.col("dataset"))).when(
+        F.col("uri").isNull(), M.say(M.UNBOUND_DATASET, dataset=F.col("dataset"), environment=F.col(environment))
     )
     return (
         refs.join(broadcast_if_small(bound), ["dataset", environment], "left")
@@ -81,9 +77,8 @@ def resolve_artifacts(
         & (F.col("__p.version") == F.col("__version"))
         & (F.col(environment) == F.col("__env"))
     )
-    missing = F.concat(
-        F.lit("artifact '"), F.col("__p.name"), F.lit("/"), F.col("__p.version"),
-        F.lit("' has no binding for environment '"), F.col(environment), F.lit("'"),
+    missing = M.say(
+        M.UNBOUND_ARTIFACT, name=F.col("__p.name"), version=F.col("__p.version"), environment=F.col(environment)
     )
     error = F.when(logical, F.coalesce(F.col("__p.error"), F.when(F.col("__uri").isNull(), missing)))
     return parsed.join(broadcast_if_small(bound), on, "left").select(
@@ -117,7 +112,7 @@ def catalog_requirement(
         row(
             F.lit(None).cast("string"),
             F.lit(None),
-            F.lit("a table dataset binding is present but the environment's storage profile has no catalog uri or warehouse"),
+            F.lit(M.NO_CATALOG),
         )
     )
     fixed = {key.format(root=root): F.lit(value) for key, value in CATALOG_CONFIG.items()}

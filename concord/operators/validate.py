@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions import definition as D
+from concord.functions import messages as M
 from concord.functions.text import supported_versions
 from concord.operators.sizes import broadcast_if_small
 
@@ -123,9 +124,9 @@ def resolve_runtimes(
 
 
 def _drift(key: Column, name: Column, version: Column) -> Column:
-    unknown = F.concat(F.lit("runtime key '"), key, F.lit("' (curated for Spark "), version, F.lit(") was not found in the workspace"))
-    renamed = F.concat(F.lit("runtime key '"), key, F.lit("' is known as '"), name, F.lit("', which does not mention Spark "), version)
-    return F.when(key.isNotNull() & name.isNull(), unknown).when(~name.contains(version), renamed)
+    stale = M.say(M.STALE_RUNTIME, key=key, version=version)
+    renamed = M.say(M.RENAMED_RUNTIME, key=key, name=name, version=version)
+    return F.when(key.isNotNull() & name.isNull(), stale).when(~name.contains(version), renamed)
 
 
 def access_review(
