@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.session import configure, scratch
@@ -33,6 +35,13 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which nulls are equal; the result has the keys once, from the left side."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def as_row(df: DataFrame, **derived: Column) -> DataFrame:
     """All columns of ``df`` in one struct ``row`` beside ``derived``, so that no name can clash."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in derived.items()])

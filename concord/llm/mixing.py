@@ -19,16 +19,14 @@ kept apart from those made here.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from concord.llm.base import as_row, prepared, unrow, written
+from concord.llm.base import as_row, join_null_safe, prepared, unrow, written
 
 LEVELS = ("domain", "lang", "source")
 SEED = 17
 MAX_EPOCHS = 2
-BUCKETS = 4096
+BUCKET_BITS = 12
 #: 15 hex digits of the hash are a number below this.
 ORDER_DIGITS = 15
 
@@ -93,41 +91,51 @@ def divide(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, weights: DataFrame, levels: int, share: float, max_epochs: int) -> DataFrame:
-    """Leaves (level0 .. , tokens) with ``target``. ``weights``: depth, path (array of names), weight.
+    """Leaves (level0 .. , tokens) with ``target``. ``weights``: path (array of names), weight.
 
     The budget is ``share`` of all tokens. A weight belongs to the node at its path, among that node's siblings.
     """
     path = _path(levels)
-    capacity = leaves.select(*path, "tokens", (F.col("tokens") * max_epochs).alias("capacity"))
+    capacity = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * share).cast("bigint").alias("budget"))
     parents = None
     for depth in range(levels):
         known = path[: depth + 1]
-        nodes = capacity.groupBy(*known).agg(F.sum("capacity").alias("capacity"))
-        here = weights.where(F.size("path") == depth + 1).groupBy("path").agg(F.max("weight").alias("given"))
-        nodes = nodes.withColumn("path", F.array(*known)).join(
-            here, reduce(lambda x, y: x & y, [F.col("path")[k].eqNullSafe(here["path"][k]) for k in range(depth + 1)]), "left"
+        given = (
+            weights.where(F.size("path") == depth + 1)
+            .select(*[F.col("path")[k].alias(n) for k, n in enumerate(known)], "weight")
+            .groupBy(*known)
+            .agg(F.max("weight").alias("given"))
         )
-        nodes = nodes.select(
-            *known, "capacity", F.greatest(F.coalesce("given", F.lit(1.0)), F.lit(0.0)).alias("weight"), F.col(known[-1]).alias("name")
+        nodes = capacity.groupBy(*known).agg(F.sum("capacity").alias("capacity"))
+        nodes = join_null_safe(nodes, given, known, "left").select(
+            *known,
+            "capacity",
+            F.greatest(F.coalesce("given", F.lit(1.0)), F.lit(0.0)).alias("weight"),
+            F.col(known[-1]).alias("name"),
         )
         if parents is None:
             nodes = nodes.withColumn("budget", total.scalar())
         else:
-            above = [nodes[c].eqNullSafe(parents[c]) for c in known[:-1]]
-            nodes = nodes.join(parents, reduce(lambda x, y: x & y, above)).select(
-                *[nodes[c] for c in known], "capacity", "weight", "name", parents["target"].alias("budget")
-            )
+            nodes = join_null_safe(nodes, parents.withColumnRenamed("target", "budget"), known[:-1])
         parents = divide(nodes, known[:-1]).select(*known, "target")
-    matches = reduce(lambda x, y: x & y, [leaves[c].eqNullSafe(parents[c]) for c in path])
-    return leaves.join(parents, matches).select(*[leaves[c] for c in path], "tokens", "target")
+    return join_null_safe(leaves, parents, path)
+
 
+def plan(
+    docs: DataFrame, levels: list[Column], weights: DataFrame, share: float, seed: int, max_epochs: int
+) -> tuple[DataFrame, DataFrame]:
+    """Written tables: documents (doc_id, levels, tokens) and leaves (levels, tokens, target, epochs, end).
 
-def plan(docs: DataFrame, levels: list[Column], weights: DataFrame, share: float, seed: int, max_epochs: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: documents (doc_id, levels, tokens) and leaves (levels, tokens, target, epochs, last place)."""
+    A leaf is taken in whole in each of its ``epochs`` and up to the place ``end`` in the one after.
+    """
     path = _path(len(levels))
     narrow = written(
-        docs.select("doc_id", *[c.cast("string").alias(n) for c, n in zip(levels, path, strict=True)], tokens(F.col("text")).alias("tokens")),
+        docs.select(
+            "doc_id",
+            *[c.cast("string").alias(n) for c, n in zip(levels, path, strict=True)],
+            tokens(F.col("text")).alias("tokens"),
+        ),
         "mixing-docs",
     )
     leaves = narrow.groupBy(*path).agg(F.sum("tokens").alias("tokens"))
@@ -138,46 +146,43 @@ def plan(docs: DataFrame, levels: list[Column], weights: DataFrame, share: float
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")),
         "mixing-leaves",
     )
-    # the epoch that is cut: places in it, tokens per bucket of places, the bucket in which the rest ends
-    bucket = F.shiftright(F.col("place"), 4 * ORDER_DIGITS - 12)
+    # the epoch that is cut: tokens per bucket of its places show in which bucket the rest ends
     cut = planned.where((F.col("epochs") < max_epochs) & (F.col("rest") > 0)).select(*path, "epochs", "rest")
-    same = reduce(lambda x, y: x & y, [narrow[c].eqNullSafe(cut[c]) for c in path])
+    at = place(F.col("doc_id"), F.col("epochs"), seed)
     placed = (
-        narrow.join(cut, same)
-        .select(*[narrow[c] for c in path], "tokens", "rest", place(F.col("doc_id"), F.col("epochs"), seed).alias("place"))
-        .withColumn("bucket", bucket)
+        join_null_safe(narrow, cut, path)
+        .select(*path, "tokens", "rest", at.alias("place"))
+        .withColumn("bucket", F.shiftright("place", 4 * ORDER_DIGITS - BUCKET_BITS))
     )
-    in_order = Window.partitionBy(*path).orderBy("bucket")
     sums = placed.groupBy(*path, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
-    sums = sums.withColumn("before", F.sum("tokens").over(in_order) - F.col("tokens"))
-    last = written(
-        sums.where("before <= rest AND before + tokens > rest").select(*path, F.col("bucket").alias("last_bucket"), (F.col("rest") - F.col("before")).alias("left")),
-        "mixing-cuts",
+    upto = F.sum("tokens").over(Window.partitionBy(*path).orderBy("bucket"))
+    last = (
+        sums.withColumn("before", upto - F.col("tokens"))
+        .where("before <= rest AND before + tokens > rest")
+        .select(*path, "bucket", (F.col("rest") - F.col("before")).alias("left"))
+    )
+    # in that bucket alone: the first place that no longer fits, equal places together
+    inner = (
+        join_null_safe(placed.drop("rest"), last, [*path, "bucket"])
+        .groupBy(*path, "left", "place")
+        .agg(F.sum("tokens").alias("tokens"))
+        .withColumn("upto", F.sum("tokens").over(Window.partitionBy(*path).orderBy("place")))
     )
-    in_bucket = reduce(lambda x, y: x & y, [placed[c].eqNullSafe(last[c]) for c in path]) & (F.col("bucket") == F.col("last_bucket"))
-    inner = placed.join(last, in_bucket).groupBy(*[placed[c] for c in path], "left", "place").agg(F.sum("tokens").alias("tokens"))
-    inner = inner.withColumn("upto", F.sum("tokens").over(Window.partitionBy(*path).orderBy("place")))
-    # the first place that does not fit; everything before it is taken
-    first_out = inner.where("upto > left").groupBy(*path).agg(F.min("place").alias("end"))
-    ends = reduce(lambda x, y: x & y, [planned[c].eqNullSafe(first_out[c]) for c in path])
-    # a rest that covers a whole epoch is no rest, so without a cut there are no tokens left to give
+    ends = inner.where("upto > left").groupBy(*path).agg(F.min("place").alias("end"))
+    leaves = join_null_safe(planned, ends, path, "left")
     return narrow, written(
-        planned.join(first_out, ends, "left").select(*[planned[c] for c in path], "tokens", "target", "epochs", F.coalesce("end", F.lit(0).cast("bigint")).alias("end")),
+        leaves.select(*path, "tokens", "target", "epochs", F.coalesce("end", F.lit(0).cast("bigint")).alias("end")),
         "mixing-plan",
     )
 
 
 def _taken(rows: DataFrame, leaves: DataFrame, levels: list[str], seed: int, max_epochs: int) -> DataFrame:
     """``rows`` (doc_id, level columns and others) once per epoch that takes them, with ``epoch``."""
-    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(leaves[c]) for c in levels])
     inside = F.col("epoch") < F.col("epochs")
     cut = (F.col("epoch") == F.col("epochs")) & (place(F.col("doc_id"), F.col("epoch"), seed) < F.col("end"))
     epochs = F.array(*[F.lit(k) for k in range(max_epochs)])
-    return (
-        rows.join(leaves.select(*levels, "epochs", "end"), same)
-        .select(*[rows[c] for c in rows.columns], "epochs", "end", F.explode(epochs).alias("epoch"))
-        .where(inside | cut)
-    )
+    joined = join_null_safe(rows, leaves.select(*levels, "epochs", "end"), levels)
+    return joined.withColumn("epoch", F.explode(epochs)).where(inside | cut)
 
 
 def mixed(docs: DataFrame, levels: list[Column], weights: DataFrame, share: float, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:

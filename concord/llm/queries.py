@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, ctph, ftrl, mixing, rules, simhash, urlfilter
+from concord.llm import bpe, chat, ctph, ftrl, kdtree, mixing, patience, rules, simhash, urlfilter
 from concord.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def mix_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MIX_WEIGHTS, "path array<string>, weight double")
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = [kdtree.prefix(F.col("lang")), kdtree.prefix(F.col("source")), kdtree.number(F.col("n_chars"))]
+    return kdtree.shard(table(spark, sf_dir, "documents"), dims)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +89,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), known)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patience.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,13 +101,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(spark), MIX_SHARE)
 
 
+#: host and path of a DuckDB ``url``, as the contract of the rules reads it.
+_HOST = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
+_PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+URL_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM pages),
+n AS (SELECT row_number() OVER () AS k, * FROM u),
+f AS (
+  SELECT n.*, r.host || r.path AS rule, r.verdict, row_number() OVER (
+    PARTITION BY k ORDER BY length(r.host || r.path) DESC NULLS LAST, length(r.host) DESC, r.verdict DESC) AS best
+  FROM n LEFT JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, '{urlfilter.DEFAULT}') AS verdict FROM f WHERE best = 1
+"""
+
+
 def queries() -> dict[str, Query]:
+    """Name -> query."""
     found = [
+        op1_chat_rotation,
         op2_document_fingerprints,
         op3_quality_classifier,
         op4_bpe,
+        op5_kdtree_sharding,
         op6_quality_rules,
         op7_url_filters,
+        op8_license_scan,
         op9_simhash,
         op10_mixing,
     ]
@@ -102,4 +135,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """Name -> the same in SQL; the other operators are tested against brute force."""
+    return {"op1_chat_rotation": chat.SQL, "op7_url_filters": URL_SQL}
