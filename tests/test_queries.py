@@ -6,8 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from concord import plans
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in plans.registered()}
+ORACLES = plans.oracles()
 
 
 @pytest.fixture(scope="module")
