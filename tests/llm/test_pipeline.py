@@ -1,0 +1,70 @@
+"""The pipeline against its operators, stage by stage."""
+
+from collections import Counter
+
+import corpus_pipeline
+from concord.llm import bpe, ftrl, mixing, queries, rules, simhash
+from concord.llm.base import table
+
+
+def test_stages_do_what_their_operators_say(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    seen, columns = {}, docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        seen[name] = (before, rows, out.columns)
+        docs = spark.createDataFrame(rows, out.schema)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    whole = table(spark, sf_dir, "documents")
+
+    before, rows, found = seen[names[0]]
+    good = {r.doc_id for r in ftrl.judge(whole, ftrl.fit(whole, labels)).collect() if r.predicted}
+    assert found == columns
+    assert Counter(rows) == Counter(r for r in before if r.doc_id in good)
+    assert 0 < len(rows) < len(before)
+
+    before, rows, found = seen[names[1]]
+    good = {r.doc_id for r in rules.judge(whole, rules.fit(whole, labels)).collect() if r.kept}
+    assert found == columns
+    assert Counter(rows) == Counter(r for r in before if r.doc_id in good)
+
+    before, rows, found = seen[names[2]]
+    groups = simhash.near_duplicates(spark.createDataFrame(before, whole.schema)).collect()
+    assert found == columns
+    assert Counter(r.doc_id for r in rows) == Counter({g.component_id for g in groups})
+    assert set(rows) <= set(before)
+
+    before, rows, found = seen[names[3]]
+    given = spark.createDataFrame(before, whole.schema)
+    taken = mixing.mixed(given, queries.mix_levels(), queries.mix_weights(spark), queries.MIX_SHARE).collect()
+    assert found == columns
+    assert Counter(r.doc_id for r in rows) == Counter(t.doc_id for t in taken)
+    assert set(rows) <= set(before)
+
+    before, rows, _ = seen[names[4]]
+    given = spark.createDataFrame(before, whole.schema)
+    expected = bpe.encode_digests(given, queries.tokenizer_path()).collect()
+    assert Counter(rows) == Counter(expected)
+
+
+def test_run_is_the_stages_in_order(spark, sf_dir):
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert Counter(rows) == Counter(docs.collect())
+    assert len(rows) > 0
+
+
+def test_awkward_documents(spark, documents, empty_documents):
+    odd = [(1, "a b"), (1, "a b"), (2, None), (None, ""), (None, "x " * 5000), (5, "word " * 20_000), (6, "y" * 60_000)]
+    for docs in (documents(odd), empty_documents):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            assert out.count() <= 2 * docs.count()
+            assert out.columns == docs.columns or stage is corpus_pipeline.bpe_tokens
