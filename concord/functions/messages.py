@@ -40,11 +40,12 @@ RENAMED_RUNTIME = "runtime key '{key}' is known as '{name}', which does not ment
 
 
 def say(text: str, **parts: Column) -> Column:
-    """``text`` with its ``{names}`` replaced by columns; NULL if one of them is NULL."""
+    """``text`` with its ``{names}`` replaced by columns, a NULL one by the word NULL. Never NULL itself: whether there
+    is an error is decided by a condition, not by what the text can show."""
     pieces: list[Column] = []
     for literal, name, _, _ in Formatter().parse(text):
         if literal:
             pieces.append(F.lit(literal))
         if name is not None:
-            pieces.append(parts[name])
+            pieces.append(F.coalesce(parts[name].cast("string"), F.lit("NULL")))
     return F.concat(*pieces)

@@ -8,20 +8,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.messages import CLAIMED
 from concord.functions.state import STATES, event_type
-from concord.operators.sizes import broadcast_if_small
 
 WILDCARD = "run.state_changed"
 
 
+OTHER = "other"
+
+
+def _match_key(heard: Column, states: Sequence[str]) -> Column:
+    return F.when(heard.isin(*[f"run.{s.lower()}" for s in states]), heard).otherwise(F.lit(OTHER))
+
+
 def subscription_index(subscriptions: DataFrame, states: Sequence[str] = STATES) -> DataFrame:
-    """``event_type`` and the subscription columns: one row per event type an enabled subscription hears.
+    """``__key, __heard`` and the subscription columns: what :func:`heard_by` joins events with.
 
-    The wildcard is spelled out as every state's event type here, on the small side, so that events are
-    matched by a plain equi-join and each (event, subscription) pair appears once.
+    The wildcard (``__heard`` NULL) is spelled out on this, the small side: a row per listed state's event type and one
+    for all other types, so that events of any state are matched by an equi-join and each (event, subscription) pair
+    appears once. A subscription to a type that is not listed waits under the same key for that type alone.
     """
-    all_types = F.lit([f"run.{s.lower()}" for s in states])
-    heard = F.when(F.array_contains("event_types", WILDCARD), all_types).otherwise(F.array_distinct("event_types"))
-    return subscriptions.filter("enabled").withColumn("event_type", F.explode(heard)).drop("event_types", "enabled")
+    keys = F.lit([*[f"run.{s.lower()}" for s in states], OTHER])
+    every = F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("heard")))
+    named = F.transform(
+        F.array_compact(F.array_distinct("event_types")), lambda t: F.struct(_match_key(t, states).alias("key"), t.alias("heard"))
+    )
+    heard = F.when(F.array_contains("event_types", WILDCARD), every).otherwise(named)
+    listed = subscriptions.filter("enabled").withColumn("__e", F.explode(heard)).drop("event_types", "enabled")
+    return listed.withColumns({"__key": F.col("__e.key"), "__heard": F.col("__e.heard")}).drop("__e")
+
+
+def heard_by(events: DataFrame, index: DataFrame, states: Sequence[str] = STATES) -> DataFrame:
+    """``events`` (with ``event_type``) joined with the subscriptions of :func:`subscription_index` that hear them."""
+    keyed = events.withColumn("__key", _match_key(F.col("event_type"), states))
+    hears = F.col("__heard").isNull() | (F.col("__heard") == F.col("event_type"))
+    return keyed.join(index, "__key").where(hears).drop("__key", "__heard")
 
 
 def match_subscriptions(
@@ -42,7 +61,7 @@ def match_subscriptions(
     if message is not None:
         events = events.filter(~F.col(message).eqNullSafe(F.lit(CLAIMED)))
     typed = events.withColumn("event_type", event_type(F.col(state)))
-    return typed.join(broadcast_if_small(subscription_index(subscriptions, states)), "event_type")
+    return heard_by(typed, subscription_index(subscriptions, states), states)
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -53,6 +72,37 @@ def iso_timestamp(ts: Column) -> Column:
     return F.concat(whole, fraction, F.lit("+00:00"))
 
 
+def json_text(value: Column) -> Column:
+    """A JSON string of ASCII characters alone, as a signer renders it; NULL becomes null.
+
+    Printable ASCII stays, quotes and backslashes are escaped, everything else becomes ``\\uXXXX`` (or a short escape),
+    characters beyond U+FFFF as two of them.
+    """
+    code = lambda number: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(number), 4, "0")))
+    short = F.create_map(*[F.lit(x) for pair in _SHORT_ESCAPES.items() for x in pair])
+
+    def escaped(c: Column) -> Column:
+        number = F.ascii(c)
+        beyond = number - 0x10000
+        pair = F.concat(code(F.shiftright(beyond, 10) + 0xD800), code(beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return (
+            F.when(c.rlike(_PLAIN), c)
+            .when(short[c].isNotNull(), short[c])
+            .when(number >= 0x10000, pair)
+            .otherwise(code(number))
+        )
+
+    mended = F.array_join(F.transform(F.split(value, ""), escaped), "")
+    return F.when(value.isNull(), "null").otherwise(
+        F.concat(F.lit('"'), F.when(value.rlike(_PLAIN), value).otherwise(mended), F.lit('"'))
+    )
+
+
+# JSON's short escapes, and what needs none.
+_SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+_PLAIN = r"^[ !#-\[\]-~]*\z"
+
+
 def event_payload(
     run_id: Column,
     workload_name: Column,
@@ -63,7 +113,8 @@ def event_payload(
     message: Column,
     timestamp: Column,
 ) -> Column:
-    """The 8-key JSON envelope of a transition; NULLs are written out."""
+    """The 8-key JSON envelope of a transition as the signed body has it: NULLs written out, a blank after each colon
+    and comma, ASCII only."""
     fields = {
         "run_id": run_id.cast("string"),
         "workload_name": workload_name,
@@ -74,7 +125,8 @@ def event_payload(
         "message": message,
         "timestamp": iso_timestamp(timestamp),
     }
-    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
+    members = [F.concat(F.lit(f'"{name}": '), json_text(c)) for name, c in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
 
 _HEX = "0123456789ABCDEF"
@@ -111,4 +163,4 @@ def sign(payload: Column, key: Column) -> Column:
 def signed_deliveries(deliveries: DataFrame, subscriptions: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``signature`` to deliveries (``subscription_id``); the secret never leaves the key computation."""
     keys = subscriptions.select("subscription_id", signing_key(F.col("secret")).alias("__key"))
-    return deliveries.join(broadcast_if_small(keys), "subscription_id").withColumn("signature", sign(F.col(payload), F.col("__key"))).drop("__key")
+    return deliveries.join(keys, "subscription_id").withColumn("signature", sign(F.col(payload), F.col("__key"))).drop("__key")

@@ -244,9 +244,15 @@ def register_if_absent(new: DataFrame, existing: DataFrame, keys: Sequence[str],
     return existing.unionByName(fresh)
 
 
-def full_replace_upsert(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(replaced table, rows of ``new`` whose key does not exist). A match replaces the whole row."""
+def full_replace_upsert(
+    new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(replaced table, rows of ``new`` whose key does not exist). A match replaces the whole row.
+
+    Of several new rows with one key the last in ``order`` counts, as if they were applied one after the other.
+    """
     keys = list(keys)
+    new = latest_per_key(new, keys, order)
     packed = new.select(*keys, F.struct(*existing.columns).alias("__new"))
     merged = existing.join(packed, keys, "left")
     row = F.when(F.col("__new").isNotNull(), F.col("__new")).otherwise(F.struct(*existing.columns))
@@ -254,6 +260,14 @@ def full_replace_upsert(new: DataFrame, existing: DataFrame, keys: Sequence[str]
     return replaced, new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
 
 
+def all_providers(
+    execution: DataFrame, storage: DataFrame, execution_provider: str = "provider", storage_provider: str = "provider", name: str = "name"
+) -> DataFrame:
+    """``kind, name, provider`` of all execution and storage profiles."""
+    side = lambda df, kind, provider: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(provider).alias("provider"))
+    return side(execution, "execution", execution_provider).unionByName(side(storage, "storage", storage_provider))
+
+
 # -- queues and listings ----------------------------------------------------------------------------------
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.functions import messages as M
 from concord.functions.state import TERMINAL_STATES
 from concord.functions.uri import storage_protocol
 from concord.operators.compare import compare_tables, mismatch_text, profile_mismatches, profile_row
+from concord.session import scratch
 from concord.sources.datasets import scan
 
 # -- counts -----------------------------------------------------------------------------------------------
@@ -70,9 +71,14 @@ def latency_histogram(df: DataFrame, bounds: Sequence[int], value: str = "micros
     return grouped.select(*by, F.inline(F.array(*rows)), "count", "total")
 
 
-def reconciliation_lag(loops: DataFrame, now: Column, process: str = "process", ts: str = "finished_at") -> DataFrame:
-    """Microseconds since the last successful loop per process; a process without one has no row."""
-    last = loops.groupBy(process).agg(F.max(ts).alias("__last"))
+def reconciliation_lag(
+    loops: DataFrame, now: Column, process: str = "process", ts: str = "finished_at", success: Column | None = None
+) -> DataFrame:
+    """Microseconds since the last successful loop per process; a process without one has no row.
+
+    ``success`` tells which loops count; without it every row is a successful loop.
+    """
+    last = (loops if success is None else loops.filter(success)).groupBy(process).agg(F.max(ts).alias("__last"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     return last.select(process, (micros(now) - micros(F.col("__last"))).alias("lag_micros"))
 
@@ -146,11 +152,13 @@ def certification_report(
     The first environment by name decides a pair (``worst=True``: any failing environment does). A failing
     execution side is FAIL; evidence for exactly this pair is PASS; anything else BLOCKED.
 
-    ``execution_profiles``: ``name, provider, spark_versions``; ``storage_profiles``: ``name, provider,
-    config``; ``evidence``: ``execution_provider, storage_protocol``.
+    ``execution_profiles``: ``name, provider, spark_versions`` and, if known, ``check_error``, the reason why a check
+    of the provider failed; ``storage_profiles``: ``name, provider, config``; ``evidence``: ``execution_provider,
+    storage_protocol``.
     """
     none = F.lit(None).cast("string")
-    broken = F.when(
+    failed = F.col("check_error") if "check_error" in execution_profiles.columns else none
+    broken = F.when(failed.isNotNull(), failed).when(
         F.coalesce(F.size("spark_versions"), F.lit(0)) <= 0,
         F.lit(M.NO_SPARK_VERSIONS),
     ).otherwise(none)
@@ -195,19 +203,21 @@ def performance_delta(left: DataFrame, right: DataFrame, keys: Sequence[str], me
 
 # -- outputs of several runs ------------------------------------------------------------------------------
 
-MAX_REQUEST = 200
-
-
 def run_pairs(spark: SparkSession, run_ids: Sequence[str]) -> DataFrame:
     """``pair, left_position, right_position`` for the runs named in one request, in request order.
 
-    The list comes from a caller, not from a table, and its length is checked. Any number of runs is answered
-    by :func:`equivalence_classes`, which is linear.
+    The list comes from a caller, not from a table, and the answer has a row for each of its pairs, made on the
+    executors. Where only the question which outputs agree matters, :func:`equivalence_classes` is linear.
     """
-    if len(run_ids) > MAX_REQUEST:
-        raise ValueError(f"{len(run_ids)} runs named; use equivalence_classes for more than {MAX_REQUEST}")
-    rows = [(i, a, b) for i, (a, b) in enumerate(combinations(range(len(run_ids)), 2))]
-    return spark.createDataFrame(rows, "pair int, left_position int, right_position int")
+    n, here, before = len(run_ids), F.col("left_position"), F.col("left_position").cast("bigint")
+    number = before * n - F.expr("left_position * CAST(left_position + 1 AS BIGINT) div 2") + F.col("right_position") - here - 1
+    return (
+        spark.range(n)
+        .select(F.col("id").cast("int").alias("left_position"))
+        .where(here < n - 1)
+        .select("left_position", F.explode(F.sequence(here + 1, F.lit(n - 1))).alias("right_position"))
+        .select(number.alias("pair"), "left_position", "right_position")
+    )
 
 
 def resolve_legs(
@@ -219,9 +229,11 @@ def resolve_legs(
     SUCCEEDED, no outputs, no output of that name, no binding. ``definitions`` are parsed (``name, version,
     definition``).
     """
+    # the requested ids reduce the history first, so that a short list costs a scan and no shuffle of it
+    named = runs.join(requested.select(F.col("run_id").alias("__wanted")), F.col("id") == F.col("__wanted"), "left_semi")
     found = (
         requested.join(
-            runs.select(
+            named.select(
                 F.col("id").alias("run_id"),
                 F.col("workload_name").alias("__name"),
                 F.col("workload_version").alias("__version"),
@@ -266,25 +278,29 @@ def resolve_legs(
     )
 
 
+PROFILE = (
+    "kind string, uri string, p struct<rows:bigint,columns:array<struct<name:string,type:string,numeric:boolean,"
+    "nulls:bigint,sum:string,min:string,max:string,wide_rows:bigint,wide_sum:double>>,fingerprint:string>"
+)
+LOCATIONS_PER_PLAN = 32
+
+
 def profile_locations(spark: SparkSession, legs: DataFrame, read: Callable[[str, str], DataFrame]) -> DataFrame:
     """``kind, uri, p``: one profile per distinct location of the ready legs. Each location is read once.
 
-    The locations of a request are at most :data:`MAX_REQUEST` short strings; one more is fetched to check.
+    The driver holds the locations of the request, as it held the run ids. However many there are, one plan profiles
+    at most :data:`LOCATIONS_PER_PLAN` of them; the profiles, a row each, are written and read back.
     """
-    located = legs.filter("reason IS NULL").select("kind", "uri").distinct().limit(MAX_REQUEST + 1).collect()
-    if len(located) > MAX_REQUEST:
-        raise ValueError(f"more than {MAX_REQUEST} output locations in one request")
-    schema = (
-        "kind string, uri string, p struct<rows:bigint,columns:array<struct<name:string,type:string,numeric:boolean,"
-        "nulls:bigint,sum:string,min:string,max:string,wide_rows:bigint,wide_sum:double>>,fingerprint:string>"
-    )
-    profiles = [
-        profile_row(read(r["kind"], r["uri"])).select(
-            F.lit(r["kind"]).alias("kind"), F.lit(r["uri"]).alias("uri"), F.struct("*").alias("p")
-        )
-        for r in located
-    ]
-    return reduce(DataFrame.unionByName, profiles, spark.createDataFrame([], schema))
+    located = [tuple(r) for r in legs.filter("reason IS NULL").select("kind", "uri").distinct().collect()]
+    path = scratch(spark, "profiles")
+    spark.createDataFrame([], PROFILE).write.parquet(path)
+    for start in range(0, len(located), LOCATIONS_PER_PLAN):
+        profiles = [
+            profile_row(read(kind, uri)).select(F.lit(kind).alias("kind"), F.lit(uri).alias("uri"), F.struct("*").alias("p"))
+            for kind, uri in located[start : start + LOCATIONS_PER_PLAN]
+        ]
+        reduce(DataFrame.unionByName, profiles).write.mode("append").parquet(path)
+    return spark.read.schema(PROFILE).parquet(path)
 
 
 def compare_runs(
@@ -325,8 +341,12 @@ def conformance_report(
     ``definitions`` hold parsed workload documents; tables are read by the identifier in ``bindings``.
     """
     pairs = run_pairs(spark, run_ids)
-    requested = spark.createDataFrame(list(enumerate(run_ids)), "position int, run_id string")
-    legs = resolve_legs(requested, runs, definitions, bindings, output)
+    # as an Arrow table its size is known to the optimizer, which then broadcasts a short list by itself
+    positions = pa.array(range(len(run_ids)), pa.int32())
+    requested = spark.createDataFrame(pa.table({"position": positions, "run_id": pa.array(run_ids, pa.string())}))
+    path = scratch(spark, "legs")  # read for the locations and for the pairs
+    resolve_legs(requested, runs, definitions, bindings, output).write.parquet(path)
+    legs = spark.read.parquet(path)
     profiles = profile_locations(spark, legs, lambda kind, location: scan(spark, kind, location, format))
     return compare_runs(legs, pairs, profiles)
 
@@ -343,8 +363,8 @@ def equivalence_classes(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Two datasets agree exactly when they share a class: the linear form of all pairs.
     """
-    shape = F.transform(F.col("p.columns"), lambda c: F.concat_ws(":", c["name"], c["type"]))
-    content = F.sha2(F.concat_ws(",", F.array_join(shape, ","), F.col("p.fingerprint")), 256)
+    shape = F.transform(F.col("p.columns"), lambda c: F.struct(c["name"], c["type"]))
+    content = F.sha2(F.to_json(F.struct(shape.alias("columns"), F.col("p.fingerprint").alias("rows"))), 256)
     keyed = profiles.select(*keys, content.alias("__content"))
     classes = keyed.groupBy("__content").agg(
         F.min(F.struct(*keys)).alias("class"), F.count(F.lit(1)).alias("members")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions import messages as M
 from concord.functions.uri import dataset_key, parse_artifact
-from concord.operators.sizes import broadcast_if_small
 
 DEFAULT_CATALOG = "lakehouse"
 # What registers an Iceberg REST catalog with a Spark session.
@@ -45,8 +44,8 @@ def resolve_datasets(
         F.col("uri").isNull(), M.say(M.UNBOUND_DATASET, dataset=F.col("dataset"), environment=F.col(environment))
     )
     return (
-        refs.join(broadcast_if_small(bound), ["dataset", environment], "left")
-        .join(broadcast_if_small(known), "dataset", "left")
+        refs.join(bound, ["dataset", environment], "left")
+        .join(known, "dataset", "left")
         .select(
             *refs.columns,
             "kind",
@@ -60,7 +59,7 @@ def resolve_datasets(
 def resolve_artifacts(
     refs: DataFrame, bindings: DataFrame, reference: str = "reference", environment: str = "environment_name"
 ) -> DataFrame:
-    """Add ``resolved, error``. References without ``artifact://`` pass through.
+    """Add ``resolved, error``. References without ``artifact://`` pass through; a NULL reference is an error.
 
     ``bindings``: ``artifact_name, artifact_version, environment_name, uri``.
     """
@@ -80,8 +79,10 @@ def resolve_artifacts(
     missing = M.say(
         M.UNBOUND_ARTIFACT, name=F.col("__p.name"), version=F.col("__p.version"), environment=F.col(environment)
     )
-    error = F.when(logical, F.coalesce(F.col("__p.error"), F.when(F.col("__uri").isNull(), missing)))
-    return parsed.join(broadcast_if_small(bound), on, "left").select(
+    error = F.when(
+        F.col(reference).isNull() | logical, F.coalesce(F.col("__p.error"), F.when(F.col("__uri").isNull(), missing))
+    )
+    return parsed.join(bound, on, "left").select(
         *refs.columns,
         F.when(logical, F.col("__uri")).otherwise(F.col(reference)).alias("resolved"),
         error.alias("error"),

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concord.functions import definition as D
 from concord.functions import messages as M
 from concord.functions.text import supported_versions
-from concord.operators.sizes import broadcast_if_small
 
 _FLAGS = [offer for offer, _ in D.REQUIREMENTS.values()]
 
@@ -68,7 +67,7 @@ def capability_catalogue(profiles: DataFrame, base: DataFrame) -> DataFrame:
     ``profiles``: ``profile, provider, override_versions array<string>``; ``base``: ``provider`` and capabilities.
     """
     versions = supported_versions(F.col("spark_versions"), F.col("override_versions"))
-    return profiles.join(broadcast_if_small(base), "provider").select(
+    return profiles.join(base, "provider").select(
         "profile", "provider", versions.alias("spark_versions"), "languages", *_FLAGS, "verification"
     )
 
@@ -84,11 +83,11 @@ def match_capabilities(workloads: DataFrame, capabilities: DataFrame, on: str, d
         on, F.struct("spark_versions", "languages", *_FLAGS).alias("__caps")
     )
     errors = D.capability_errors(w["runtime"]["spark"], w["application"]["type"], w["requirements"], F.col("__caps"))
-    return workloads.join(broadcast_if_small(caps), on, "left").withColumn("errors", errors).drop("__caps")
+    return workloads.join(caps, on, "left").withColumn("errors", errors).drop("__caps")
 
 
 def for_each_target(workloads: DataFrame, targets: Sequence[str], on: str) -> DataFrame:
-    """One row per workload and target name, for checking every workload against a short list of providers."""
+    """One row per workload and target name: the product of the workloads with a caller's short list of providers."""
     return workloads.withColumn(on, F.explode(F.lit(list(targets))))
 
 
@@ -117,7 +116,7 @@ def resolve_runtimes(
     # one name per key, as the first match decides
     names = observed.groupBy(F.col("key").alias("runtime_key")).agg(F.min(F.coalesce("name", F.lit(""))).alias("__name"))
     return (
-        resolved.join(broadcast_if_small(names), "runtime_key", "left")
+        resolved.join(names, "runtime_key", "left")
         .withColumn("drift", _drift(F.col("runtime_key"), F.col("__name"), F.col(spark_version)))
         .select(*df.columns, "runtime_key", "drift")
     )
@@ -126,7 +125,7 @@ def resolve_runtimes(
 def _drift(key: Column, name: Column, version: Column) -> Column:
     stale = M.say(M.STALE_RUNTIME, key=key, version=version)
     renamed = M.say(M.RENAMED_RUNTIME, key=key, name=name, version=version)
-    return F.when(key.isNotNull() & name.isNull(), stale).when(~name.contains(version), renamed)
+    return F.when(key.isNotNull() & name.isNull(), stale).when(~F.coalesce(name.contains(version), F.lit(True)), renamed)
 
 
 def access_review(

@@ -83,11 +83,11 @@ def latency_histogram(spark, d):
 
 @query(
     """SELECT event_type AS process, epoch_us(timestamp '2024-02-01') - epoch_us(max(ts)) AS lag_micros
-    FROM events GROUP BY 1"""
+    FROM events WHERE value < 50 GROUP BY 1"""
 )
 def reconciliation_lag(spark, d):
-    loops = table(spark, d, "events").select(F.col("event_type").alias("process"), F.col("ts").alias("finished_at"))
-    return R.reconciliation_lag(loops, F.lit("2024-02-01").cast("timestamp"))
+    loops = table(spark, d, "events").select(F.col("event_type").alias("process"), F.col("ts").alias("finished_at"), "value")
+    return R.reconciliation_lag(loops, F.lit("2024-02-01").cast("timestamp"), success=F.col("value") < 50)
 
 
 _PROVIDER = "CASE WHEN o_orderpriority < '4' THEN 'kubernetes' ELSE 'databricks' END"
@@ -152,6 +152,7 @@ def _certification(spark, d, worst):
         F.when(F.col("name") == "BUILDING", F.array().cast("array<string>")).otherwise(F.array(F.lit("4.1"))).alias(
             "spark_versions"
         ),
+        F.when(F.col("name") == "MACHINERY", "provider unreachable").alias("check_error"),
     )
     storage = table(spark, d, "nation").select(
         F.col("n_nationkey").cast("string").alias("name"),
@@ -165,15 +166,16 @@ def _certification(spark, d, worst):
 
 
 def _certification_sql(order: str) -> str:
-    return f"""WITH e AS (SELECT c_name, c_mktsegment = 'BUILDING' AS broken,
+    return f"""WITH e AS (SELECT c_name, c_mktsegment IN ('BUILDING', 'MACHINERY') AS broken,
+        CASE c_mktsegment WHEN 'BUILDING' THEN 'execution provider reports no supported Spark versions'
+            WHEN 'MACHINERY' THEN 'provider unreachable' END AS why,
         CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN 'kubernetes' ELSE 'databricks' END AS execution_provider,
         CASE n_regionkey WHEN 0 THEN 's3' WHEN 1 THEN 'adls' WHEN 2 THEN 'vast-nfs' ELSE 'vast-s3' END AS storage_protocol
         FROM customer JOIN nation ON c_nationkey = n_nationkey),
     f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY execution_provider, storage_protocol ORDER BY {order}) = 1)
     SELECT execution_provider, storage_protocol,
         CASE WHEN broken THEN 'FAIL' WHEN storage_protocol = 's3' THEN 'PASS' ELSE 'BLOCKED' END AS status,
-        CASE WHEN broken THEN 'execution provider reports no supported Spark versions'
-            WHEN storage_protocol <> 's3' THEN 'this exact pair has no live evidence' END AS detail FROM f"""
+        CASE WHEN broken THEN why WHEN storage_protocol <> 's3' THEN 'this exact pair has no live evidence' END AS detail FROM f"""
 
 
 @query(_certification_sql("c_name"))
@@ -278,9 +280,9 @@ def match_subscriptions(spark, d):
 
 _ISO = """strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN ''
     ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'"""
-_PAYLOAD_SQL = f"""'{{"run_id":"' || user_id || '","workload_name":"w","workload_version":"1","environment_name":null,'
-    || '"from_state":null,"to_state":"' || event_type || '","message":' || CAST(to_json(props) AS VARCHAR)
-    || ',"timestamp":"' || {_ISO} || '"}}'"""
+_PAYLOAD_SQL = f"""'{{"run_id": "' || user_id || '", "workload_name": "w", "workload_version": "1", "environment_name": null, '
+    || '"from_state": null, "to_state": "' || event_type || '", "message": ' || CAST(to_json(props) AS VARCHAR)
+    || ', "timestamp": "' || {_ISO} || '"}}'"""
 
 
 def _payload():
@@ -315,11 +317,7 @@ def _signature_sql(text: str, secret: str) -> str:
     )
 )
 def hmac_signature(spark, d):
-    """Payloads signed with the secret of each matching subscription."""
-    matched = E.match_subscriptions(
-        table(spark, d, "events"), subscriptions(spark).drop("secret"), "event_type", STATES
-    ).select("event_id", "subscription_id", F.struct("user_id", "props", "ts").alias("e"), "event_type")
-    payload = matched.select(
-        "event_id", "subscription_id", "e.*", F.substring("event_type", 5, 40).alias("event_type")
-    ).withColumn("payload", _payload())
-    return E.signed_deliveries(payload, subscriptions(spark)).select("event_id", "subscription_id", "signature")
+    """Payloads, rendered once per event, signed with the secret of each matching subscription."""
+    bodies = table(spark, d, "events").select("event_id", "event_type", _payload().alias("payload"))
+    matched = E.match_subscriptions(bodies, subscriptions(spark).drop("secret"), "event_type", STATES)
+    return E.signed_deliveries(matched, subscriptions(spark)).select("event_id", "subscription_id", "signature")

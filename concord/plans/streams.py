@@ -35,11 +35,10 @@ _WATERMARK = f"(SELECT epoch_us(max(ts)) - {3600 * 1_000_000} FROM events)"
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM events WHERE (epoch_us(ts) // {_SLOT} + 1) * {_SLOT} <= {_WATERMARK}),
-    g AS (SELECT user_id, event_type, epoch_us(ts) AS t,
-        epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS n FROM c)
-    SELECT user_id, t AS stuck_since_us FROM g WHERE event_type = 'error'
-    AND CASE WHEN n IS NULL THEN ((t + {_SLOT}) // {_SLOT} + 1) * {_SLOT} <= {_WATERMARK} ELSE n - t > {_SLOT} END"""
+    f"""WITH g AS (SELECT user_id, event_type, epoch_us(ts) AS t,
+        epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS n FROM events)
+    SELECT user_id, t AS stuck_since_us FROM g
+    WHERE event_type = 'error' AND (n IS NULL OR n - t > {_SLOT}) AND t + {_SLOT} <= {_WATERMARK}"""
 )
 def stream_stuck_runs(spark, d):
     """Alerts for everything the watermark (one hour behind the newest event) has passed."""
@@ -47,6 +46,18 @@ def stream_stuck_runs(spark, d):
     return I.epoch_log(alerts, "stuck").select("user_id", "stuck_since_us")
 
 
+@query(
+    f"""WITH g AS (SELECT user_id, event_type, epoch_us(ts) AS t,
+        epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS n FROM events)
+    SELECT user_id, t AS stuck_since_us FROM g WHERE event_type = 'error' AND (n IS NULL OR n - t > {_SLOT})"""
+)
+def stuck_runs(spark, d):
+    """The same over the whole history: open runs behind the watermark included."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stuck = S.stuck_runs(events, "1 hour", "user_id", "event_type", _ORDER, "error", _STUCK_SECONDS)
+    return stuck.select("user_id", "stuck_since_us")
+
+
 @query("SELECT DISTINCT props AS key FROM events")
 def stream_dedupe_submissions(spark, d):
     unique = S.dedupe_submissions(_stream(spark, d), "props", "ts", "60 days", "event_id")

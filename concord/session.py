@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
-from pyspark.sql.utils import is_remote
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,26 +43,6 @@ def local_session(app: str = "concord", cores: str = "*", partitions: int = 8, *
     )
 
 
-SHUFFLE_BYTES = 64 * 1024 * 1024
-
-
-def size_shuffles(spark: SparkSession, path: str) -> int:
-    """Start shuffles with enough partitions for the input below ``path`` and return that number.
-
-    Adaptive execution merges small partitions but cannot split ordinary large ones, so the starting number
-    follows the input: one partition per 64 MB of files, at least ``spark.sql.shuffle.partitions``. A remote
-    session, which cannot ask for file sizes, keeps its own number.
-    """
-    if is_remote():
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    wanted = -(-files.getContentSummary(folder).getLength() // SHUFFLE_BYTES)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
-    return partitions
-
-
 _LOCAL_ROOTS: dict[str, str] = {}
 
 

@@ -118,14 +118,15 @@ def write_dataset(
 
 
 def dataset_settings(resolved: DataFrame) -> dict[str, str]:
-    """The ``spark.portable.dataset.*`` settings of one job from its resolved references."""
-    rows = resolved.select("config_key", "config_value", "error").distinct().limit(1001).collect()
-    failed = [r["error"] for r in rows if r["error"]]
+    """The ``spark.portable.dataset.*`` settings of one job from its resolved references.
+
+    They become settings of the caller's session, so they are fetched, however many the job names. Of several errors
+    the first in alphabetical order is raised.
+    """
+    failed = resolved.agg(F.min("error").alias("error")).first()["error"]
     if failed:
-        raise LookupError(failed[0])
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 datasets for one job: filter the references to one workload first")
-    return {r["config_key"]: r["config_value"] for r in rows}
+        raise LookupError(failed)
+    return {r["config_key"]: r["config_value"] for r in resolved.select("config_key", "config_value").distinct().collect()}
 
 
 def materialize_views(spark: SparkSession, views: Mapping[str, str], format: str = "parquet") -> list[str]:

@@ -1,7 +1,7 @@
 """Run events, deliveries and audit rows as streams.
 
-Hot keys: state folding and counters aggregate before the shuffle; duplicates are thinned per salt first;
-stuck-run detection keeps one row per run and 30 s slot; latencies run the batch operator on each micro-batch,
+Hot keys: state folding and counters aggregate before the shuffle; duplicates are thinned per salt first; stuck-run
+detection keeps one session per run; latencies run the batch operator on each micro-batch,
 which slices hot runs. Only delivery retries are folded row by row, and a delivery has at most five tries.
 """
 
@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from concord.functions.state import STATES, TERMINAL_STATES, event_type
-from concord.operators.events import subscription_index
+from concord.operators.events import heard_by, subscription_index
 from concord.operators.lifecycle import LATENCIES, MAX_ATTEMPTS, latencies
-from concord.operators.sizes import broadcast_if_small
 from concord.session import scratch
 from concord.streaming.io import run_available
 
@@ -28,7 +27,8 @@ def fold_run_state(
     """``key, state, first_at, last_at, events``; update mode.
 
     A streaming aggregate keeps one small buffer per run and combines rows before the shuffle, so neither a
-    hot run nor late events need special care.
+    hot run nor late events need special care. State grows with the number of runs and is never dropped, as any run
+    may move again.
     """
     ts = order[0]
     return events.groupBy(key).agg(
@@ -42,23 +42,23 @@ def fold_run_state(
 def dedupe_submissions(
     submissions: DataFrame, key: str, ts: str, watermark: str, spread_by: str, salts: int = 32
 ) -> DataFrame:
-    """At most one row per key within the watermark; append mode.
+    """At most one row per key within the watermark; rows without a key are never merged; append mode.
 
     The first pass drops duplicates per (key, salt), the salt taken from ``spread_by`` (a row id), so a hot
     key is spread over ``salts`` tasks and at most ``salts`` of its rows reach the second, exact pass.
     """
-    salted = submissions.withWatermark(ts, watermark).withColumn(
-        "__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts))
-    )
-    return salted.dropDuplicatesWithinWatermark([key, "__salt"]).dropDuplicatesWithinWatermark([key]).drop("__salt")
+    marked = submissions.withWatermark(ts, watermark)
+    salted = marked.where(F.col(key).isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    keyed = salted.dropDuplicatesWithinWatermark([key, "__salt"]).dropDuplicatesWithinWatermark([key]).drop("__salt")
+    return keyed.unionByName(marked.where(F.col(key).isNull()))
 
 
 def stream_subscription_match(
     events: DataFrame, subscriptions: DataFrame, state: str = "to_state", states: Sequence[str] = STATES
 ) -> DataFrame:
     """One delivery per event and matching subscription; append mode, stateless."""
-    index = broadcast_if_small(subscription_index(subscriptions, states))
-    return events.withColumn("event_type", event_type(F.col(state))).join(index, "event_type")
+    typed = events.withColumn("event_type", event_type(F.col(state)))
+    return heard_by(typed, subscription_index(subscriptions, states), states)
 
 
 def audit_export_stream(audit: DataFrame, equal: Mapping[str, object] | None = None) -> DataFrame:
@@ -81,42 +81,6 @@ def windowed_counters(
 # -- stuck runs -------------------------------------------------------------------------------------------
 
 
-class _StuckProcessor(StatefulProcessor):
-    """Per run: the last closed slot; alerts when the next one is more than the grace away or never comes."""
-
-    def __init__(self, key: str, watched: str, grace_ms: int):
-        self.key, self.watched, self.grace_ms = key, watched, grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "last_us bigint, state string, alerted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last_us, last_state, alerted = self.last.get() or (None, None, False)
-        if last_state == self.watched and not alerted:
-            self.handle.deleteTimer(self._due(last_us))
-        for slot in sorted(rows, key=lambda r: r["first_us"]):
-            if last_state == self.watched and not alerted and slot["first_us"] - last_us > self.grace_ms * 1000:
-                yield Row(**{self.key: key[0], "stuck_since_us": last_us})
-            last_us, last_state, alerted = slot["last_us"], slot["last_state"], False
-        if last_state == self.watched:
-            self.handle.registerTimer(self._due(last_us))
-        self.last.update((last_us, last_state, alerted))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last_us, last_state, alerted = self.last.get()
-        if last_state == self.watched and not alerted:
-            self.last.update((last_us, last_state, True))
-            yield Row(**{self.key: key[0], "stuck_since_us": last_us})
-
-    def _due(self, last_us: int) -> int:
-        """Close of the slot the grace ends in: only then have all events within the grace arrived."""
-        return ((last_us // 1000 + self.grace_ms) // self.grace_ms + 1) * self.grace_ms
-
-    def close(self) -> None:
-        pass
-
-
 def stuck_runs(
     events: DataFrame,
     watermark: str,
@@ -128,58 +92,38 @@ def stuck_runs(
 ) -> DataFrame:
     """``key, stuck_since_us``: runs that stayed in ``watched`` longer than the grace; append mode.
 
-    Two steps. A windowed aggregate keeps first event, last event and last state per run and slot of one
-    grace period (two events in one slot are never further apart than that). A stateful step compares
-    neighbouring slots and sets an event-time timer for the open end, due when the slot in which the grace
-    ends is closed. The state sees at most one row per run and grace period, however many events a run has.
-    Late events beyond the watermark are dropped.
+    A run's events that are no further apart than the grace form one session, so a session that ends in ``watched`` is
+    an alert. It is reported when the watermark has passed the end of its grace, and its state is dropped then. Events
+    later than the watermark are dropped.
     """
     ts = order[0]
-    slots = (
+    sessions = (
         events.withWatermark(ts, watermark)
-        .groupBy(F.window(ts, f"{grace_seconds} seconds").alias("slot"), key)
-        .agg(
-            F.min(ts).alias("first_at"),
-            F.max(ts).alias("last_at"),
-            F.max_by(F.col(state), F.struct(*order)).alias("last_state"),
-        )
-        .select(
-            key,
-            "slot",
-            F.unix_micros("first_at").alias("first_us"),
-            F.unix_micros("last_at").alias("last_us"),
-            "last_state",
-        )
-    )
-    return slots.groupBy(key).transformWithState(
-        statefulProcessor=_StuckProcessor(key, watched, grace_seconds * 1000),
-        outputStructType=T.StructType([events.schema[key], T.StructField("stuck_since_us", T.LongType())]),
-        outputMode="Append",
-        timeMode="EventTime",
+        .groupBy(F.session_window(ts, f"{grace_seconds} seconds").alias("session"), key)
+        .agg(F.max(ts).alias("last_at"), F.max_by(F.col(state), F.struct(*order)).alias("last_state"))
     )
+    return sessions.where(F.col("last_state") == watched).select(key, F.unix_micros("last_at").alias("stuck_since_us"))
 
 
 # -- delivery retries -------------------------------------------------------------------------------------
 
 
-_TRY = "at_us:bigint,tie:bigint,won:boolean,tried:boolean"
-
-
 class _RetryProcessor(StatefulProcessor):
     """Per delivery: its earliest tries, as many as count."""
 
-    def __init__(self, key: str, cap: int):
-        self.key, self.cap = key, cap
+    def __init__(self, key: str, cap: int, tie: str, ttl_ms: int | None):
+        self.key, self.cap, self.tie, self.ttl_ms = key, cap, tie, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tries = handle.getValueState("tries", f"tries array<struct<{_TRY}>>")
+        schema = f"tries array<struct<at_us:bigint,tie:{self.tie},won:boolean,tried:boolean>>"
+        self.tries = handle.getValueState("tries", schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.tries.get()
         seen = [tuple(t) for t in known[0]] if known else []
         # only the earliest tries can matter, whatever order they arrive in: memory is ``cap`` rows
         arriving = ((r["at_us"], r["tie"], r["won"], r["tried"]) for r in rows)
-        kept = heapq.nsmallest(self.cap, chain(seen, arriving))
+        kept = heapq.nsmallest(self.cap, chain(seen, arriving), key=lambda t: (t[0], t[1]))
         self.tries.update((kept,))
         status, attempts = self._outcome(kept)
         yield Row(**{self.key: key[0], "status": status, "attempts": attempts})
@@ -203,22 +147,27 @@ def delivery_retry(
     key: str = "delivery_id",
     order: Sequence[str] = ("created_at", "id"),
     cap: int = MAX_ATTEMPTS,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
-    """``key, status, attempts`` whenever a delivery is tried; update mode. Memory per key is ``cap`` tries."""
+    """``key, status, attempts`` whenever a delivery is tried; update mode. Memory per key is ``cap`` tries.
+
+    The tie column keeps its type, so text ids order as text. With ``ttl_ms`` a delivery is forgotten when it has not
+    been tried for that long (processing time); without it state stays as long as the stream lives.
+    """
     rows = tries.select(
         key,
         F.unix_micros(F.col(order[0]).cast("timestamp")).alias("at_us"),
-        F.col(order[1]).cast("bigint").alias("tie"),
+        F.col(order[1]).alias("tie"),
         F.expr(f"coalesce({enabled}, false) AND coalesce({success}, false)").alias("won"),
         F.expr(f"coalesce({enabled}, false)").alias("tried"),
     )
     return rows.groupBy(key).transformWithState(
-        statefulProcessor=_RetryProcessor(key, cap),
+        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString(), ttl_ms),
         outputStructType=T.StructType(
             [tries.schema[key], T.StructField("status", T.StringType()), T.StructField("attempts", T.LongType())]
         ),
         outputMode="Update",
-        timeMode="None",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 

@@ -95,15 +95,6 @@ def test_scratch_follows_the_session(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
 
 
-def test_shuffles_follow_the_input(spark, sf_dir, monkeypatch):
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert session.size_shuffles(spark, sf_dir) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1000)
-    wanted = session.size_shuffles(spark, sf_dir)
-    assert wanted > 100 and spark.conf.get(key) == str(wanted)
-    spark.conf.unset(key)
-
-
 def test_jobs_end_to_end(spark):
     root = scratch(spark, "jobs")
     S.sink(claims(spark), "path", f"{root}/claims", format="csv")

@@ -110,7 +110,8 @@ def test_register_and_upsert(spark):
     existing = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 8), ("c", 7)], "k string, v int")
     assert sorted(map(tuple, L.register_if_absent(new, existing, ["k"], ["v"]).collect())) == [("a", 1), ("b", 2), ("c", 7)]
-    replaced, errors = L.full_replace_upsert(spark.createDataFrame([("b", None), ("c", 8)], "k string, v int"), existing, ["k"])
+    replaced, errors = L.full_replace_upsert(spark.createDataFrame([("b", 5, 1), ("b", None, 2), ("c", 7, 0), ("c", 8, 1)], "k string, v int, step int"), existing, ["k"], ["step"])
+    errors = errors.drop("step")
     assert sorted(map(tuple, replaced.collect())) == [("a", 1), ("b", None)]
     assert list(map(tuple, errors.collect())) == [("c", 8)]
 

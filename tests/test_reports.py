@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,9 +102,56 @@ def test_pairs(spark):
     }
 
 
-def test_too_many_runs_for_pairs(spark):
-    with pytest.raises(ValueError, match="equivalence_classes"):
-        R.run_pairs(spark, [str(i) for i in range(R.MAX_REQUEST + 1)])
+def test_pairs_of_any_number_of_runs(spark):
+    from itertools import combinations
+
+    for n in (0, 1, 2, 5, 300):
+        rows = R.run_pairs(spark, [str(i) for i in range(n)]).orderBy("pair").collect()
+        assert [tuple(r) for r in rows] == [(i, a, b) for i, (a, b) in enumerate(combinations(range(n), 2))]
+
+
+def test_three_hundred_legs(spark, monkeypatch):
+    monkeypatch.setattr(R, "LOCATIONS_PER_PLAN", 3)
+    data = {f"place{k}": spark.createDataFrame([(k % 2, 1.5)], "a int, b double") for k in range(7)}
+    ids = [f"run{k}" for k in range(300)]
+    runs = [(i, "w", "1", f"env{k % 7}", "SUCCEEDED" if k % 10 else "FAILED") for k, i in enumerate(ids)]
+    bound = [("out", f"env{k}", "path", f"place{k}") for k in range(7)]
+    ready = legs(spark, ids, runs, [("o", "out")], bound)
+    profiles = R.profile_locations(spark, ready, lambda kind, uri: data[uri])
+    assert profiles.count() == 7
+    report = R.compare_runs(ready, R.run_pairs(spark, ids), profiles).groupBy("status").count().collect()
+    good = [k for k in range(300) if k % 10]
+    same = sum((a % 7 % 2) == (b % 7 % 2) for a in good for b in good if a < b)
+    assert {r["status"]: r["count"] for r in report} == {
+        "PASS": same, "FAIL": len(good) * (len(good) - 1) // 2 - same, "BLOCKED": 300 * 299 // 2 - len(good) * (len(good) - 1) // 2
+    }
+
+
+def test_requested_ids_reduce_the_history(spark):
+    many = spark.range(1_000_000).selectExpr(
+        "CAST(id AS STRING) AS id", "'w' AS workload_name", "'1' AS workload_version", "'e' AS environment_name", "'SUCCEEDED' AS state"
+    )
+    requested = spark.createDataFrame(pa.table({"position": [0], "run_id": ["17"]}))
+    definitions = spark.createDataFrame([], "name string, version string, definition struct<outputs:array<struct<name:string,dataset:string>>>")
+    bindings = spark.createDataFrame([], "dataset_name string, environment_name string, kind string, uri string")
+    found = R.resolve_legs(requested, many, definitions, bindings)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert found.first()["reason"] == "workload declares no output datasets"
+
+
+def test_failed_check_is_the_reason(spark):
+    environments = spark.createDataFrame([("e", "x", "s")], "name string, execution_profile_name string, storage_profile_name string")
+    execution = spark.createDataFrame([("x", "k8s", ["4.1"], "timeout")], "name string, provider string, spark_versions array<string>, check_error string")
+    storage = spark.createDataFrame([("s", "s3", "{}")], "name string, provider string, config string")
+    evidence = spark.createDataFrame([("k8s", "s3")], "execution_provider string, storage_protocol string")
+    row = R.certification_report(environments, execution, storage, evidence).first()
+    assert (row["status"], row["detail"]) == ("FAIL", "timeout")
+
+
+def test_legs_without_environment_have_a_reason(spark):
+    row = legs(spark, ["r"], [("r", "w", "1", None, "SUCCEEDED")], [("o", "out")], [("out", "e", "path", "u")]).first()
+    assert row["reason"] == "no dataset binding for 'out' in 'NULL'" and row["uri"] is None
 
 
 def test_histogram_is_cumulative(spark):
@@ -149,12 +197,29 @@ def test_signature_is_hmac_sha256(spark, secret):
         assert r["signature"] == hmac.new(secret.encode(), r["payload"].encode(), hashlib.sha256).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["", "plain", 'say "x" \\ /', "line\nfeed\ttab\r\f\b", "Ünï €", "\U0001f600 x", "\x00\x1f\x7f\x80", None])
+def test_json_text(spark, text):
+    found = spark.createDataFrame([(text,)], "t string").select(E.json_text(F.col("t")).alias("j")).first()["j"]
+    assert found == json.dumps(text)
+
+
+def test_wildcard_hears_states_outside_the_list(spark):
+    subs = spark.createDataFrame(
+        [("all", ["run.state_changed"], "s", True), ("one", ["run.paused", None], "s", True), ("other", ["run.resumed"], "s", True)],
+        SUBSCRIPTION,
+    )
+    log = spark.createDataFrame([(1, "PAUSED"), (2, "FAILED")], "id int, to_state string")
+    matched = E.match_subscriptions(log, subs).select("id", "subscription_id", "event_type").collect()
+    assert sorted(map(tuple, matched)) == [(1, "all", "run.paused"), (1, "one", "run.paused"), (2, "all", "run.failed")]
+
+
 def test_payload(spark):
     import datetime as dt
 
     df = spark.createDataFrame([("r", None, 'say "x"', dt.datetime(2024, 1, 1, 0, 0, 1, 20))], "run string, f string, m string, at timestamp")
     c, lit = F.col, F.lit
     text = df.select(E.event_payload(c("run"), lit("w"), lit("1"), lit("e"), c("f"), lit("FAILED"), c("m"), c("at")).alias("p")).first()["p"]
+    assert text == json.dumps(json.loads(text))
     assert json.loads(text) == {
         "run_id": "r", "workload_name": "w", "workload_version": "1", "environment_name": "e",
         "from_state": None, "to_state": "FAILED", "message": 'say "x"', "timestamp": "2024-01-01T00:00:01.000020+00:00",

@@ -75,6 +75,41 @@ def test_edge_of_the_grace_is_not_stuck(spark, feed):
     assert [r["run_id"] for r in alerts] == ["y"]
 
 
+def test_stuck_state_is_dropped(spark, feed):
+    """Native session windows, whose state falls when the watermark has passed them."""
+    batches = [rows(*[(f"{b}-{k}", "SUBMITTING", b * 1000 + k) for k in range(5)]) for b in range(4)]
+    stream, batch = feed(batches)
+    left = []
+
+    def write(df, epoch):
+        df.write.format("noop").mode("overwrite").save()
+
+    query = (
+        S.stuck_runs(stream, "0 seconds").writeStream.foreachBatch(write).trigger(availableNow=True)
+        .option("checkpointLocation", scratch(spark, "stuck-state")).start()
+    )
+    query.awaitTermination()
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(left) <= 10 and left[-1] <= 5
+    plan = S.stuck_runs(batch, "0 seconds")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_a_key_are_never_merged(spark, feed):
+    stream, _ = feed([[(k, None, "ACCEPTED", at(k)) for k in range(5)] + [(9, "a", "ACCEPTED", at(1)), (10, "a", "ACCEPTED", at(2))]])
+    kept = I.epoch_log(S.dedupe_submissions(stream, "run_id", "created_at", "1 hour", "id"), "nullkeys").collect()
+    assert sorted(r["run_id"] or "" for r in kept) == [""] * 5 + ["a"]
+
+
+def test_retries_with_text_ids_and_a_lifetime(spark, feed):
+    schema = TRY.replace("id bigint", "id string", 1)
+    tries = [(f"3f2b-{k}", "d", at(0), k == 2, True) for k in range(4)]
+    stream, batch = feed([tries[2:], tries[:2]], schema)
+    log = I.epoch_log(S.delivery_retry(stream, "ok", "enabled", ttl_ms=3_600_000), "retry-text", "update")
+    got = [tuple(r) for r in I.newest_epoch(log, ["delivery_id"]).select("delivery_id", "status", "attempts").collect()]
+    assert got == [("d", "delivered", 3)]
+
+
 def test_dedupe(spark, feed):
     batches = [[(i, f"k{i % 7}", "ACCEPTED", at(b * 50 + i)) for i in range(50)] for b in range(3)]
     stream, _ = feed(batches)
