@@ -80,7 +80,7 @@ def hash_inputs(schema: T.StructType, columns: list[str] | None = None, round_fl
 
 
 def row_hash128(schema: T.StructType, columns: list[str] | None = None, round_floats: int | None = None) -> Column:
-    """32 hex digits from two 64-bit hashes. Much cheaper than :func:`row_sha`: no text is built."""
+    """32 hex digits from two 64-bit hashes. Much cheaper than :func:`row_sha`: no row text is built."""
     inputs = hash_inputs(schema, columns, round_floats)
     digits = lambda h: F.lpad(F.hex(h), 16, "0")
     return F.concat(digits(F.xxhash64(*inputs)), digits(F.xxhash64(F.lit(SALT), *inputs)))

@@ -59,15 +59,64 @@ def read_workload(json: Column) -> Column:
     return F.from_json(json, WORKLOAD_SCHEMA)
 
 
-def with_defaults(raw: Column) -> Column:
+# The texts that are read as true and as false, in any case.
+TRUE_TEXTS = ("true", "t", "yes", "y", "on", "1")
+FALSE_TEXTS = ("false", "f", "no", "n", "off", "0")
+
+
+def top_level(json: Column) -> Column:
+    """The document's top-level keys, which tell an explicit null from a missing key."""
+    return F.from_json(json, "map<string,string>")
+
+
+def _whole(text: Column) -> Column:
+    """A whole number written as one, with or without zero decimals; NULL for anything else."""
+    return F.regexp_replace(text, r"\.0+$", "").try_cast("int")
+
+
+def _truth(text: Column) -> Column:
+    lower = F.lower(F.trim(text))
+    return F.when(lower.isin(*TRUE_TEXTS), F.lit(True)).when(lower.isin(*FALSE_TEXTS), F.lit(False))
+
+
+def _type_errors(raw: Column, top: Column | None) -> Column:
+    """What is there but not of its type. Compares each raw text with what became of it."""
+    scaling = raw["resources"]["scaling"]
+    numbers = {
+        "resources.driver.cores": raw["resources"]["driver"]["cores"],
+        "resources.executor.cores": raw["resources"]["executor"]["cores"],
+        "resources.scaling.minExecutors": scaling["minExecutors"],
+        "resources.scaling.maxExecutors": scaling["maxExecutors"],
+        "execution.retries": raw["execution"]["retries"],
+    }
+    flags = {f"requirements.{name}": raw["requirements"][name] for name in REQUIREMENTS}
+    found = [
+        F.when(text.isNotNull() & made(text).isNull(), M.say(f"{name} must be {kind}: {{value}}", value=text))
+        for fields, made, kind in ((numbers, _whole, "a whole number"), (flags, _truth, "true or false"))
+        for name, text in fields.items()
+    ]
+    if top is not None:
+        empty = lambda name: F.array_contains(F.map_keys(top), name) & top[name].isNull()
+        found += [F.when(empty(name), F.lit(f"{name} must not be null")) for name in ("arguments", "requirements", "providerOverrides")]
+
+    def unnamed(side: str) -> Column:
+        entries = F.map_entries(F.coalesce(raw["datasets"][side], F.create_map().cast(_REFS)))
+        lost = F.filter(entries, lambda e: e["value"]["dataset"].isNull())
+        return F.transform(lost, lambda e: M.say(f"missing datasets.{side}.{{name}}.dataset", name=e["key"]))
+
+    return F.concat(F.array_compact(F.array(*found)), unnamed("inputs"), unnamed("outputs"))
+
+
+def with_defaults(raw: Column, top: Column | None = None) -> Column:
     """The workload struct with defaults filled in, from a column that holds :func:`read_workload`.
 
-    ``outputs`` keeps the declared order, which decides the output used when none is named.
+    ``outputs`` keeps the declared order, which decides the output used when none is named. ``typeErrors`` lists what
+    could not be read as its type; ``top`` (:func:`top_level`) also finds explicit nulls.
     """
     refs = lambda side: F.coalesce(raw["datasets"][side], F.create_map().cast(_REFS))
-    number = lambda col: col.try_cast("int")
+    number = _whole
     size = lambda col: F.struct(number(col["cores"]).alias("cores"), col["memory"].alias("memory"))
-    flag = lambda name: F.coalesce(raw["requirements"][name].try_cast("boolean"), F.lit(False)).alias(name)
+    flag = lambda name: F.coalesce(_truth(raw["requirements"][name]), F.lit(False)).alias(name)
     scaling = raw["resources"]["scaling"]
     listed = lambda side: F.transform(
         F.map_entries(refs(side)),
@@ -99,11 +148,14 @@ def with_defaults(raw: Column) -> Column:
         F.coalesce(raw["providerOverrides"], F.create_map().cast("map<string,map<string,string>>")).alias(
             "providerOverrides"
         ),
+        _type_errors(raw, top).alias("typeErrors"),
     )
 
 
-def _required(fields: Mapping[str, Column]) -> list[Column]:
-    return [F.when(value.isNull(), F.lit(f"missing {name}")) for name, value in fields.items()]
+def _required(fields: Mapping[str, Column], mistyped: Column | None = None) -> list[Column]:
+    """An error per missing field; what ``mistyped`` already reports is there, only not readable."""
+    known = lambda name: F.lit(False) if mistyped is None else F.exists(mistyped, lambda e: e.startswith(f"{name} must be"))
+    return [F.when(value.isNull() & ~known(name), F.lit(f"missing {name}")) for name, value in fields.items()]
 
 
 def _one_of(name: str, value: Column, allowed: Sequence[str]) -> list[Column]:
@@ -124,7 +176,7 @@ def workload_errors(w: Column, api_versions: Sequence[str] = API_VERSIONS, types
     app, res = w["application"], w["resources"]
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     pipeline = app["type"] == "spark-declarative-pipeline"
-    return _collected(
+    rules = _collected(
         _one_of("apiVersion", w["apiVersion"], api_versions)
         + _one_of("kind", w["kind"], ["SparkWorkload"])
         + _required(
@@ -152,9 +204,11 @@ def workload_errors(w: Column, api_versions: Sequence[str] = API_VERSIONS, types
                 "resources.scaling.minExecutors": res["scaling"]["minExecutors"],
                 "resources.scaling.maxExecutors": res["scaling"]["maxExecutors"],
                 "execution.timeout": w["execution"]["timeout"],
-            }
+            },
+            w["typeErrors"],
         )
     )
+    return F.concat(rules, w["typeErrors"])
 
 
 def _binding_errors(bindings: Column, rule) -> Column:

@@ -16,6 +16,12 @@ from concord.functions import messages as M
 from concord.functions.canonical import SALT, canonical, column, hash_inputs, quoted, row_hash128, row_sha
 from concord.functions.exact import exact_sum, is_narrow, join_limbs, limb_sums, to_micro
 
+_COLUMNS = (
+    "array<struct<name:string,type:string,numeric:boolean,nulls:bigint,sum:string,min:string,max:string,"
+    "wide_rows:bigint,wide_sum:double>>"
+)
+# aggregation buffers beside the row count and the six of a fingerprint; 100 fields end generated code
+MAX_BUFFERS = 88
 _CHECK = "struct<ord:int,check:string,column:string,left:string,right:string>"
 
 
@@ -131,20 +137,49 @@ def profile_row(df: DataFrame, round_floats: int | None = None, with_fingerprint
     ``sum`` is exact: whole numbers as they are, floating values in millionths. Values of 9e9 and more,
     infinities and NaN are left out of it and reported as ``wide_rows`` and ``wide_sum``.
     """
-    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    groups = _column_groups(sorted(df.schema.fields, key=lambda f: f.name))
+    if len(groups) == 1:
+        return _profile(df, groups[0], round_floats, with_fingerprint)
+    # each group reads its own columns, so a columnar scan reads every column once for these and once for the hashes
+    parts = [_profile(df, group, round_floats, False) for group in groups]
+    if with_fingerprint:
+        parts.append(_profile(df, [], round_floats, True))
+    numbered = [part.withColumn("__part", F.lit(k)) for k, part in enumerate(parts)]
+    listed = F.array_sort(F.collect_list(F.struct("__part", "columns")))
+    return (
+        reduce(DataFrame.unionByName, numbered)
+        .agg(F.max("rows").alias("rows"), listed.alias("parts"), F.max("fingerprint").alias("fingerprint"))
+        .select("rows", F.flatten("parts.columns").alias("columns"), "fingerprint")
+    )
+
+
+def _column_groups(fields: list[T.StructField]) -> list[list[T.StructField]]:
+    """Columns whose aggregates fit one aggregation with generated code (``spark.sql.codegen.maxFields``)."""
+    groups: list[list[T.StructField]] = [[]]
+    used = 0
+    for field in fields:
+        buffers = len(_column_aggregates(0, field))
+        if groups[-1] and used + buffers > MAX_BUFFERS:
+            groups.append([])
+            used = 0
+        groups[-1].append(field)
+        used += buffers
+    return groups
+
+
+def _profile(df: DataFrame, fields: list[T.StructField], round_floats: int | None, with_fingerprint: bool) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(fields):
         aggregates += _column_aggregates(i, field)
     digest = F.lit(None).cast("string")
     if with_fingerprint:
         first, second = _hashes(df.schema, None, round_floats)
-        df = df.select("*", first.alias("__h1"), second.alias("__h2"))
+        df = df.select(*[column(f.name) for f in fields], first.alias("__h1"), second.alias("__h2"))
         aggregates += _hash_aggregates("", "__h1", "__h2")
         digest = F.expr(_digest("", "rows"))
+    profiles = ", ".join(_column_profile(i, f) for i, f in enumerate(fields))
     return df.agg(*aggregates).select(
-        "rows",
-        F.expr(f"array({', '.join(_column_profile(i, f) for i, f in enumerate(fields))}) AS columns"),
-        digest.alias("fingerprint"),
+        "rows", F.expr(f"CAST(array({profiles}) AS {_COLUMNS}) AS columns"), digest.alias("fingerprint")
     )
 
 
@@ -184,12 +219,21 @@ def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
 _ROW_HASHES = {"sha256": row_sha, "xxhash128": row_hash128}
 
 
+def _hashed(df: DataFrame, columns: list[str] | None, round_floats: int | None, digest: str) -> DataFrame:
+    """Row hashes as binary: half the bytes of their digits go through the shuffle."""
+    return df.select(F.unhex(_ROW_HASHES[digest](df.schema, columns, round_floats)).alias("row_hash"))
+
+
+def _digits(name: str, digest: str) -> Column:
+    return F.lower(F.hex(name)) if digest == "sha256" else F.hex(name)
+
+
 def row_hash_counts(
     df: DataFrame, columns: list[str] | None = None, round_floats: int | None = None, digest: str = "sha256"
 ) -> DataFrame:
     """``row_hash, n``: how often each distinct row occurs."""
-    hashed = df.select(_ROW_HASHES[digest](df.schema, columns, round_floats).alias("row_hash"))
-    return hashed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = _hashed(df, columns, round_floats, digest).groupBy("row_hash").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("row_hash", _digits("row_hash", digest))
 
 
 def _side_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,10 +261,9 @@ def multiset_diff(
     Both sides go through one aggregation, so copies of a row are counted before they are shuffled, and only
     the hash of a row is shuffled. ``digest="sha256"`` hashes the canonical row text instead.
     """
-    hashed = [
-        df.select(_ROW_HASHES[digest](df.schema, columns, round_floats).alias("row_hash")) for df in (left, right)
-    ]
-    return _side_counts(*hashed, ["row_hash"]).filter(F.col("left_n") != F.col("right_n"))
+    hashed = [_hashed(df, columns, round_floats, digest) for df in (left, right)]
+    differing = _side_counts(*hashed, ["row_hash"]).filter(F.col("left_n") != F.col("right_n"))
+    return differing.withColumn("row_hash", _digits("row_hash", digest))
 
 
 def _groupable(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -233,14 +276,21 @@ def row_diff(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataF
     """Rows of the multiset difference in both directions with their surplus: ``side, copies, <columns>``.
 
     With ``by`` the sides are first compared per group, which shuffles no rows, and only rows of differing
-    groups are diffed. Map and variant columns come out as sorted entries or text, the form in which they can
-    be grouped.
+    groups are diffed. Of these only 128-bit row hashes are counted, and whole rows are grouped where the counts
+    differ. Map and variant columns come out as sorted entries or text, the form in which they can be grouped.
     """
     names = left.columns
     if by:
         differing = partition_level_compare(left, right, by).select(*[F.col(c).alias(f"__{c}") for c in by])
         same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
         left, right = (df.join(differing, same, "left_semi") for df in (left, right))
+    sides = []
+    for df in (left, right):
+        first, second = _hashes(df.schema, names, None)
+        sides.append(df.withColumns({"__h1": first, "__h2": second}))
+    hashes = _side_counts(*[s.select("__h1", "__h2") for s in sides], ["__h1", "__h2"])
+    differing = hashes.filter(F.col("left_n") != F.col("right_n")).select("__h1", "__h2")
+    left, right = (s.join(differing, ["__h1", "__h2"], "left_semi") for s in sides)
     counts = _side_counts(_groupable(left, names), _groupable(right, names), names)
     surplus = F.col("left_n") - F.col("right_n")
     return counts.filter(surplus != 0).select(

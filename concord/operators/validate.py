@@ -19,9 +19,9 @@ def parse_definitions(df: DataFrame, json: str = "definition", out: str = "defin
     The raw struct comes out of a one-element generator. Field accesses and filters further up are not pushed
     through a generator, which would turn every one of them into another parse of the document.
     """
-    raw = F.struct(D.read_workload(F.col(json)).alias("__raw"))
+    raw = F.struct(D.read_workload(F.col(json)).alias("__raw"), D.top_level(F.col(json)).alias("__top"))
     kept = [F.col(c) for c in df.columns if c != out]
-    return df.select("*", F.inline(F.array(raw))).select(*kept, D.with_defaults(F.col("__raw")).alias(out))
+    return df.select("*", F.inline(F.array(raw))).select(*kept, D.with_defaults(F.col("__raw"), F.col("__top")).alias(out))
 
 
 def validate_definitions(

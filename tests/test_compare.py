@@ -181,6 +181,23 @@ def test_wide_sums_use_the_tolerance(spark):
     assert ("sum", "v") in checks(left, right, rtol=1e-15)
 
 
+def test_wide_tables_keep_generated_code(spark):
+    wide = spark.range(50).select(*[(F.col("id") * k + 0.5).alias(f"c{k:03}") for k in range(200)])
+    row = C.profile_row(wide).first()
+    assert [c["name"] for c in row["columns"]] == [f"c{k:03}" for k in range(200)]
+    assert [c["sum"] for c in row["columns"][:3]] == ["25.000000", "1250.000000", "2475.000000"]
+    assert row["rows"] == 50 and row["fingerprint"] == C.fingerprint(wide).first()["fingerprint"]
+    assert C.compare_tables(wide, wide.repartition(3)).first()["matched"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        plan = C.table_profile(wide)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    profiles = [line for line in plan.splitlines() if "HashAggregate" in line and "partial_count_if" in line or "partial_sum" in line]
+    assert len(profiles) > 10 and all("*(" in line for line in profiles)
+
+
 def test_row_diff_by_group_equals_plain_diff(spark):
     left = spark.range(500).select((F.col("id") % 7).alias("g"), (F.col("id") % 11).alias("v"))
     right = left.filter("NOT (g = 3 AND v = 5)").unionByName(spark.createDataFrame([(None, 1)], "g bigint, v bigint"))

@@ -78,6 +78,57 @@ def test_rules(spark):
     assert "missing kind" in got[6] and "missing kind" in got[7]
 
 
+def test_mistyped_values_are_errors(spark):
+    res = GOLDEN["resources"]
+    got = errors(
+        spark,
+        changed(execution={"timeout": "4h", "retries": "many"}, requirements={"gpu": "banana", "streaming": "ON"}),
+        changed(datasets={"inputs": {"claims": {}}, "outputs": {"x": {"dataset": "d"}}}),
+        changed(resources={**res, "driver": {"cores": "abc", "memory": "8Gi"}}),
+        changed(resources={**res, "driver": {"cores": 2.0, "memory": "8Gi"}}, execution={"timeout": "4h", "retries": 2.5}),
+        changed(requirements=None, arguments=None),
+        changed(requirements={"gpu": 1, "streaming": "no", "localDisk": "off", "sparkConnect": "Yes"}),
+    )
+    assert got[0] == ["execution.retries must be a whole number: many", "requirements.gpu must be true or false: banana"]
+    assert got[1] == ["missing datasets.inputs.claims.dataset"]
+    assert got[2] == ["resources.driver.cores must be a whole number: abc"]
+    assert got[3] == ["execution.retries must be a whole number: 2.5"]
+    assert got[4] == ["arguments must not be null", "requirements must not be null"]
+    assert got[5] == []
+    flags = parsed(spark, changed(requirements={"gpu": "on", "streaming": "NO"})).first()["definition"]["requirements"]
+    assert (flags["gpu"], flags["streaming"]) == (True, False)
+
+
+def test_nulls_never_count_as_valid(spark):
+    docs = parsed(spark, {k: v for k, v in GOLDEN.items() if k != "runtime"}).withColumn("provider", F.lit("p"))
+    caps = spark.createDataFrame(
+        [("p", ["4.1"], ["python"], False, False, False, True, False)],
+        "provider string, spark_versions array<string>, languages array<string>, dynamic_allocation boolean, gpu boolean, "
+        "streaming boolean, local_disk boolean, spark_connect boolean",
+    )
+    row = V.validate_workloads(docs, caps, "provider").first()
+    assert (row["valid"], list(row["errors"])) == (False, ["unsupported Spark version: NULL"])
+    refs = spark.createDataFrame([(None, "e"), ("d", None), ("d", "e")], "dataset string, environment_name string")
+    bound = spark.createDataFrame([("d", "e", "path", "u")], "dataset_name string, environment_name string, kind string, uri string")
+    found = R.resolve_datasets(refs, bound).collect()
+    assert {(r["dataset"], r["environment_name"]): r["error"] for r in found} == {
+        (None, "e"): "no Dataset definition found for 'NULL'",
+        ("d", None): "dataset 'd' has no binding for environment 'NULL'",
+        ("d", "e"): None,
+    }
+    places = spark.createDataFrame([("artifact://a/1", None), (None, "e")], "reference string, environment_name string")
+    binding = spark.createDataFrame([("a", "1", "e", "u")], "artifact_name string, artifact_version string, environment_name string, uri string")
+    found = R.resolve_artifacts(places, binding).collect()
+    assert {r["error"] for r in found} == {
+        "artifact 'a/1' has no binding for environment 'NULL'", "not an artifact:// reference: NULL"
+    }
+    uris = spark.createDataFrame([("s3", None), (None, "s3://b/c"), ("s3", "s3://b/c")], "protocol string, uri string")
+    both = uris.select(U.uri_error(F.col("protocol"), F.col("uri")).alias("e"), U.comparable_uri_error(F.col("uri")).alias("c")).collect()
+    assert [tuple(r) for r in both] == [
+        ("not an S3 URI: NULL", "unsupported URI scheme: NULL"), ("unsupported storage protocol: NULL", None), (None, None)
+    ]
+
+
 def test_capabilities_name_every_gap_in_order(spark):
     caps = spark.createDataFrame(
         [("p", ["4.1"], ["jvm"], False, False, False, True, False)],
