@@ -29,6 +29,8 @@ WINDOW = 7
 SMALLEST = 3
 MOST_CHUNKS = 64
 LEVELS = 4
+#: Characters of a text that place it among rows of one id; range borders are sampled on the driver, so keys stay short.
+KEY_CHARS = 16
 DIGITS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 PAIRS = [a + b for a in DIGITS for b in DIGITS]
 #: Odd multiplier of the rolling hash (the golden ratio in 32 bits).
@@ -193,7 +195,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows per range. Rows with equal doc_id are ordered by text, null ids come first.
     """
     schema = T.StructType([T.StructField(n, t) for n, t, _ in FIELDS + EDGES])
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = (
+        docs.select("doc_id", "text")
+        .repartitionByRange(F.col("doc_id"), F.left("text", F.lit(KEY_CHARS)))
+        .sortWithinPartitions("doc_id", "text")
+    )
     found = written(ordered.mapInArrow(_scan, schema), "ctph")
     done = found.where("part IS NULL").select([n for n, _, _ in FIELDS])
     edges = found.where("part IS NOT NULL")
