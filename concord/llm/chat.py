@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from concord.llm.base import written
 
 PART_MESSAGES = 64
+#: Characters of a text that place it among rows of one turn; range borders are sampled on the driver, so keys stay short.
+KEY_CHARS = 16
 SYSTEM = "system"
 UNKNOWN = "unknown"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -31,7 +33,7 @@ def numbered(messages: DataFrame) -> DataFrame:
     speaker, text = F.coalesce("role", F.lit(UNKNOWN)), F.coalesce("text", F.lit(""))
     distinct = messages.select("conv_id", "turn", speaker.alias("speaker"), text.alias("text")).distinct()
     ordered = written(
-        distinct.repartitionByRange(*keys)
+        distinct.repartitionByRange("conv_id", "turn", "speaker", F.left("text", F.lit(KEY_CHARS)))
         .sortWithinPartitions(*keys)
         .select(*keys, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row")),
         "messages",
