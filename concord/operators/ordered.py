@@ -1,13 +1,14 @@
 """Per-key ordered scans that split hot keys.
 
 A window partitioned by run id puts a whole run into one task. :func:`scan` keeps that plan for ordinary keys
-and cuts every key with more than ``hot_rows`` rows into consecutive slices of its first order column. Slices
-are scanned on their own and joined with a carry: the scan's value at the end of the earlier slices, computed
-from one partial aggregate per slice. The carry join reuses the window's partitioning, so rows are shuffled
-once, as for a plain window.
-
-Slice borders come from exact counts, minima and maxima, so a recomputed task sees the same borders. The table
-of hot keys has at most (rows / ``hot_rows``) entries, which is why it may be broadcast.
+and cuts every key with more than ``hot_rows`` rows into consecutive slices. Slices are scanned on their own and
+joined with a carry: the scan's value at the end of the earlier slices, computed from one partial aggregate per
+slice. The carry join reuses the window's partitioning.
+
+Slices are cut by rows: the rows of hot keys are dealt out in ranges of key and order, whatever the types of the
+order columns and however their values are spread, and stored with the number of their range. A lost task therefore
+reads the slices that the others have read. Keys are counted when the scan is built; without a hot key nothing is
+stored and the plan is that of a plain window.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from concord.session import scratch
+
 HOT_ROWS = 2_000_000
-# slices are cut evenly in time; a finer cut keeps bursts small
-SLICES_PER_HOT_ROWS = 16
+# ranges come from a sample, so they are aimed at a quarter of what a slice may have
+RANGES_PER_HOT_ROWS = 4
 _SLICE = "__slice"
 
 
@@ -55,16 +58,6 @@ class RunningSum:
 Spec = Previous | First | LastBefore | RunningSum
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """The order column as a whole number that slices can be cut from; NULL if it has none."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(dtype, T.IntegralType):
-        return F.col(name).cast("bigint")
-    return F.lit(None).cast("bigint")
-
-
 def _key_columns(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
     """Keys as never-NULL columns (value and NULL flag), so that joins on them are plain equalities and reuse
     the window's partitioning."""
@@ -79,42 +72,25 @@ def _key_columns(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
     return columns
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    columns = _key_columns(df, keys)
-    second = _position(df, order[1]) if len(order) > 1 else F.lit(None).cast("bigint")
-    return df.withColumns({**columns, "__at": _position(df, order[0]), "__tie": second}), list(columns)
-
-
-def _hot(keyed: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
-    counted = keyed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min("__at").alias("__lo_at"),
-        F.max("__at").alias("__hi_at"),
-        F.min("__tie").alias("__lo_tie"),
-        F.max("__tie").alias("__hi_tie"),
-    )
-    # a key whose rows all carry one time is cut by the second order column
-    one_time = F.col("__lo_at").eqNullSafe(F.col("__hi_at"))
-    low = F.when(one_time, F.col("__lo_tie")).otherwise(F.col("__lo_at"))
-    high = F.when(one_time, F.col("__hi_tie")).otherwise(F.col("__hi_at"))
-    slices = F.ceil(F.col("__rows") * F.lit(SLICES_PER_HOT_ROWS) / F.lit(hot_rows))
-    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / slices)).cast("bigint")
-    return counted.filter(F.col("__rows") > hot_rows).select(
-        *by, one_time.alias("__by_tie"), low.alias("__lo"), width.alias("__width")
-    )
-
-
 def _sliced(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(all rows, rows of hot keys only, key columns); ordinary keys are one slice, numbered -1."""
-    keyed, by = _keyed(df, keys, order)
-    hot = F.broadcast(_hot(keyed.select(*by, "__at", "__tie"), by, hot_rows))
-    slice_no = F.expr("div(CASE WHEN __by_tie THEN __tie ELSE __at END - __lo, __width)")
-    kept = [*df.columns, *by]
-    every = keyed.join(hot, by, "left").select(*kept, F.coalesce(slice_no, F.lit(-1)).cast("bigint").alias(_SLICE))
-    heavy = keyed.join(hot, by).select(*kept, F.coalesce(slice_no, F.lit(-1)).cast("bigint").alias(_SLICE))
-    return every, heavy, by
+) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """(all rows, rows of hot keys or None, key columns); ordinary keys are one slice, numbered -1."""
+    columns = _key_columns(df, keys)
+    keyed, by = df.withColumns(columns), list(columns)
+    hot = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    rows = hot.agg(F.sum("__rows")).first()[0]
+    whole = F.lit(-1)
+    if not rows:
+        return keyed.withColumn(_SLICE, whole), None, by
+    path = scratch(df.sparkSession, "hot-keys")
+    hot.select(*by).write.parquet(f"{path}/keys")
+    hot = df.sparkSession.read.parquet(f"{path}/keys")
+    ranges = -(-rows * RANGES_PER_HOT_ROWS // hot_rows)
+    heavy = keyed.join(hot, by, "left_semi").repartitionByRange(ranges, *by, *order)
+    heavy.withColumn(_SLICE, F.spark_partition_id()).write.parquet(f"{path}/rows")
+    heavy = df.sparkSession.read.parquet(f"{path}/rows")
+    return keyed.join(hot, by, "left_anti").withColumn(_SLICE, whole).unionByName(heavy), heavy, by
 
 
 def _boxed(value: str) -> str:
@@ -162,16 +138,25 @@ def _combined(spec: Spec, name: str) -> Column:
     return F.coalesce(local, prior)["v"]
 
 
+def _alone(spec: Spec, name: str) -> Column:
+    local = F.col(f"__l_{name}")
+    return F.coalesce(local, F.lit(0)) if isinstance(spec, RunningSum) else local["v"]
+
+
 def scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, Spec], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add one column per entry of ``specs``; rows of a key are taken in ``order``, which must be unique.
 
-    Hot keys add a narrow scan that counts rows per key and a partial aggregate per slice. Spec expressions
-    are SQL text over the columns of ``df``.
+    Keys are counted in a narrow scan; hot ones add a stored copy of their rows and a partial aggregate per slice.
+    Spec expressions are SQL text over the columns of ``df``.
     """
     sliced, heavy, by = _sliced(df, list(keys), list(order), hot_rows)
     by = [*by, _SLICE]
+    if heavy is None:
+        window = Window.partitionBy(*by).orderBy(*order)
+        scanned = sliced.select("*", *[_local(spec, window).alias(f"__l_{name}") for name, spec in specs.items()])
+        return scanned.select(*df.columns, *[_alone(spec, name).alias(name) for name, spec in specs.items()])
     ends = heavy.groupBy(*by).agg(
         *[_slice_end(spec, order).alias(f"__c_{name}") for name, spec in specs.items()]
     )

@@ -14,7 +14,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from concord.functions.state import STATES, TERMINAL_STATES, event_type
+from concord.functions.state import STATES, event_type
 from concord.operators.events import heard_by, subscription_index
 from concord.operators.lifecycle import LATENCIES, MAX_ATTEMPTS, latencies
 from concord.session import scratch
@@ -180,14 +180,16 @@ def stream_latency(
     key: str = "run_id",
     state: str = "to_state",
     order: Sequence[str] = ("created_at", "id"),
-    terminal: Sequence[str] = TERMINAL_STATES,
+    terminal: Sequence[str] = (),
     canceling: str = "CANCELING",
 ) -> DataFrame:
     """Drain the stream and return the latencies of all its events: ``key, order, latency, micros, epoch``.
 
     Each micro-batch runs the batch operator over its events plus the few earlier ones they can refer to: per
     open run the last event and the last event into each start state. That snapshot is written next to the
-    checkpoint, alternating between two folders, so a repeated batch reads what it read the first time.
+    checkpoint, alternating between two folders, so a repeated batch reads what it read the first time. Runs in one of
+    the ``terminal`` states leave it, which keeps it small but ends their history: what such a run does afterwards is
+    measured as if it had just begun. By default no run leaves, and results are those of the batch operator.
     Batches must follow event time per run; an event older than its run's snapshot is measured against the
     events known so far.
     """
@@ -208,11 +210,12 @@ def stream_latency(
         seen = batch.select(*columns, F.lit(True).alias("__new")).unionByName(known.withColumn("__new", F.lit(False)))
         # the flag travels in the order columns: it never decides the order because they are unique
         measured = latencies(seen, spec, key, state, [*order, "__new"], canceling, HOT_BATCH_ROWS)
-        measured.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{root}/log/epoch={epoch}")
-        _snapshot(seen.select(*columns), key, state, order, starts, terminal).write.mode("overwrite").parquet(
-            f"{root}/state-{epoch % 2}"
-        )
-        batch.unpersist()
+        try:
+            measured.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{root}/log/epoch={epoch}")
+            snapshot = _snapshot(seen.select(*columns), key, state, order, starts, terminal)
+            snapshot.write.mode("overwrite").parquet(f"{root}/state-{epoch % 2}")
+        finally:
+            batch.unpersist()
 
     run_available(events.select(*columns), f"{root}/checkpoint", process)
     out = T.StructType(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.operators import lifecycle as L
-from concord.operators.ordered import First, LastBefore, Previous, RunningSum, scan
+from concord.operators.ordered import First, LastBefore, Previous, RunningSum, _sliced, scan
 
 pytestmark = pytest.mark.usefixtures("interpreted")
 
@@ -170,3 +170,29 @@ def test_hot_keys_give_the_same_scan(spark, shape):
     expected = {i: row for state in best.values() for i, row in state["rows"].items()}
     got = {r["id"]: (r["prev"], r["first"], r["last_a"], r["total"]) for r in sliced.collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("shape", ["outlier", "burst", "text ids at one time"])
+def test_hot_keys_are_cut_by_rows(spark, shape):
+    n, hot = 20_000, 1000
+    rows = spark.range(n)
+    if shape == "outlier":
+        df = rows.selectExpr("'k' AS key", "IF(id = 0, 0, 1700000000 + id) AS ts", "id", "id % 7 AS v")
+    elif shape == "burst":
+        df = rows.selectExpr("'k' AS key", "IF(id < 100, id * 1000, 5000000) AS ts", "id", "id % 7 AS v")
+    else:
+        df = rows.selectExpr("'k' AS key", "1 AS ts", "sha2(CAST(id AS STRING), 256) AS id", "id % 7 AS v")
+    df = df.unionByName(df.where("v = 1").limit(30).selectExpr("'cold' AS key", "ts", "id", "v"))
+    sliced, heavy, by = _sliced(df, ["key"], ["ts", "id"], hot)
+    sizes = {r["__slice"]: r["count"] for r in heavy.groupBy("__slice").count().collect()}
+    assert sum(sizes.values()) == n and max(sizes.values()) <= 2 * hot
+    specs = {"before": Previous("id"), "first": First("id"), "last": LastBefore("id", "v = 3"), "total": RunningSum("v")}
+    plain = scan(df, ["key"], ["ts", "id"], specs, hot_rows=10**9)
+    cut = scan(df, ["key"], ["ts", "id"], specs, hot_rows=hot)
+    assert plain.exceptAll(cut).count() == 0 and cut.count() == n + 30
+
+
+def test_without_a_hot_key_the_plan_is_a_plain_window(spark):
+    df = spark.range(100).selectExpr("id % 9 AS key", "id AS ts", "id")
+    plan = scan(df, ["key"], ["ts", "id"], {"before": Previous("id")})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

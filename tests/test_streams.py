@@ -61,6 +61,15 @@ def test_latency_equals_batch(spark, feed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, L.latencies(batch).select(*columns).collect())) and got
 
 
+def test_latency_after_a_terminal_state(spark, feed):
+    log = rows(("a", "ACCEPTED", 0), ("a", "QUEUED", 1), ("a", "RUNNING", 5), ("a", "FAILED", 9), ("a", "SUCCEEDED", 12), ("a", "RUNNING", 14))
+    stream, batch = feed([log[:4], log[4:5], log[5:]])
+    columns = ["run_id", "id", "latency", "micros"]
+    got = S.stream_latency(stream).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, L.latencies(batch).select(*columns).collect()))
+    assert sum(r["latency"] == "execution" for r in got) == 2
+
+
 def test_stuck_runs(spark, feed):
     stream, _ = feed(BATCHES)
     alerts = I.epoch_log(S.stuck_runs(stream, "0 seconds"), "stuck").collect()
