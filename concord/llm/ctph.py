@@ -1,13 +1,14 @@
 """Document fingerprints by context-triggered piecewise hashing, and their likeness.
 
 A rolling hash over the last ``WINDOW`` bytes ends a chunk wherever its value is one less than a multiple of the block
-size. Each chunk gives two base-64 digits of its checksum. A fingerprint is the block size and the chunks at that size
+size. Each chunk gives two base-64 digits of its checksum; of a run of like chunks, as periodic text makes them, only
+the first three count. A fingerprint is the block size and the chunks at that size
 and at its ``LEVELS - 1`` doublings, joined by colons. The block size is the smallest of 3, 6, 12, ... at which a text
 has at most ``MOST_CHUNKS`` chunks, so the last chunk always reaches the text's end and a fingerprint stays short. Two
 fingerprints are compared at the smallest block size that both have. Likeness is one less the edit distance (over
 chunks) divided by the longer length.
 
-Null texts count as empty; an empty text has fingerprint ``3::::``. Equal fingerprints have likeness 1, fingerprints
+Null texts count as empty; an empty text has fingerprint ``3`` and ``LEVELS`` colons. Equal fingerprints have likeness 1, fingerprints
 without a common block size 0. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
@@ -29,6 +30,7 @@ WINDOW = 7
 SMALLEST = 3
 MOST_CHUNKS = 64
 LEVELS = 4
+MOST_REPEATS = 3
 #: Characters of a text that place it among rows of one id; range borders are sampled on the driver, so keys stay short.
 KEY_CHARS = 16
 DIGITS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
@@ -50,12 +52,29 @@ def rolling(data: bytes) -> np.ndarray:
     return out
 
 
-def _signature(data: bytes, ends: np.ndarray) -> str:
+def _kept(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the chunks that end at ``at`` count: of a run of chunks of one length and end, the first ``MOST_REPEATS``.
+
+    Periodic text has such runs, of any length; without them its block size would grow until nothing is left to compare.
+    """
+    ends, lengths = hashes[at], np.diff(at, prepend=-1)
+    same = np.zeros(len(at), bool)
+    same[1:] = (ends[1:] == ends[:-1]) & (lengths[1:] == lengths[:-1])
+    drop = same.copy()
+    for back in range(1, MOST_REPEATS):
+        drop[back:] &= same[:-back]
+        drop[:back] = False
+    return ~drop
+
+
+def _chunks(data: bytes, hashes: np.ndarray, at: np.ndarray) -> str:
     view, start, out = memoryview(data), 0, []
-    for end in [*(ends + 1).tolist(), len(data)]:
-        if end > start:
+    for end, kept in zip((at + 1).tolist(), _kept(hashes, at).tolist(), strict=True):
+        if kept:
             out.append(PAIRS[zlib.crc32(view[start:end]) & 4095])
-            start = end
+        start = end
+    if start < len(data):
+        out.append(PAIRS[zlib.crc32(view[start:]) & 4095])
     return "".join(out)
 
 
@@ -68,13 +87,13 @@ def signature(text: str | None) -> str:
     hashes = rolling(data)
     # boundaries of a block size hold those of its doublings, as 3 * 2^k - 1 is one less than a multiple of 3 * 2^(k-1)
     at = np.flatnonzero(hashes % np.uint32(size) == size - 1)
-    while len(at) >= MOST_CHUNKS:
+    while len(at) >= MOST_CHUNKS and np.count_nonzero(_kept(hashes, at)) >= MOST_CHUNKS:
         size *= 2
         at = _at(hashes, at, size)
     signatures = []
     for level in range(LEVELS):
         at = _at(hashes, at, size << level)
-        signatures.append(_signature(data, at))
+        signatures.append(_chunks(data, hashes, at))
     return ":".join([str(size), *signatures])
 
 
