@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.llm.base import ascii_lower
+from concord.llm.base import ascii_lower, written
 
 PREFIX_DIGITS = 8
 DEFAULT = "allow"
@@ -102,6 +102,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id") -> Dat
         .agg(F.max_by(F.struct("rule", "verdict"), "precedence").alias("best"))
         .select("host", F.col("path").alias("start"), "best.rule", "best.verdict")
     )
+    # stored, so that the join below reads two plain shuffles and a host with many URLs can be split there
+    found = written(found, "url-verdicts")
     return split.join(found, ["host", "start"], "left").select(
         id_column, "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict")
     )
