@@ -50,34 +50,39 @@ def _totals(df: DataFrame, label: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("o_orderkey").cast("bigint")).alias("keys"),
         F.sum(F.round(F.col("o_totalprice").cast("double") * 100).cast("bigint")).alias("cents"),
-    ).select(F.lit(label).alias("format"), "rows", "keys", "cents")
+        F.sum(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("seconds"),
+        F.sum(F.length("o_orderstatus") + F.length("o_orderpriority") + F.col("o_custkey").cast("bigint")).alias("rest"),
+    ).select(F.lit(label).alias("format"), "rows", "keys", "cents", "seconds", "rest")
 
 
 _TOTALS = """count(*) AS "rows", CAST(sum(o_orderkey) AS BIGINT) AS keys,
-    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders"""
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+    CAST(sum(epoch_us(o_orderdate) // 1000000) AS BIGINT) AS seconds,
+    CAST(sum(length(o_orderstatus) + length(o_orderpriority) + o_custkey) AS BIGINT) AS rest FROM orders"""
 
 
 @query(
     " UNION ALL ".join(f"SELECT '{f}' AS format, {_TOTALS}" for f in ("parquet", "orc", "json", "csv"))
-    + " UNION ALL SELECT 'text', count(*), CAST(sum(o_orderkey) AS BIGINT), 0 FROM orders"
-    + " UNION ALL SELECT 'rows', count(DISTINCT o_orderstatus), 0, 0 FROM orders"
+    + " UNION ALL SELECT 'text', count(*), CAST(sum(o_orderkey) AS BIGINT), 0, 0, 0 FROM orders"
+    + " UNION ALL SELECT 'rows', count(DISTINCT o_orderstatus), 0, 0, 0, 0 FROM orders"
 )
 def scan_sink_roundtrip(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    """All columns of orders through every file format."""
+    orders = table(spark, d, "orders")
     root = scratch(spark, "formats")
     parts = []
     for form in ("parquet", "orc", "json", "csv"):
         S.sink(orders, "path", f"{root}/{form}", format=form)
         parts.append(_totals(S.scan(spark, "path", f"{root}/{form}", form), form))
     S.sink(orders.select(F.col("o_orderkey").cast("string")), "path", f"{root}/text", format="text")
-    lines = S.scan_text(spark, f"{root}/text").select(F.col("value").alias("o_orderkey"), F.lit(0).alias("o_totalprice"))
-    parts.append(_totals(lines, "text"))
+    nothing = F.lit(0).cast("bigint")
+    lines = S.scan_text(spark, f"{root}/text").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("value").cast("bigint")).alias("keys"))
+    parts.append(lines.select(F.lit("text").alias("format"), "rows", "keys", *[nothing.alias(c) for c in ("cents", "seconds", "rest")]))
     known = S.scan_rows(spark, [("F",), ("O",), ("P",)], "o_orderstatus string")
     used = known.join(orders, "o_orderstatus", "left_semi")
-    nothing = F.lit(0).cast("bigint")
     parts.append(
         used.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit("rows").alias("format"), "rows", nothing.alias("keys"), nothing.alias("cents")
+            F.lit("rows").alias("format"), "rows", *[nothing.alias(c) for c in ("keys", "cents", "seconds", "rest")]
         )
     )
     return reduce(DataFrame.unionByName, parts)

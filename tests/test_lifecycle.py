@@ -196,3 +196,15 @@ def test_without_a_hot_key_the_plan_is_a_plain_window(spark):
     df = spark.range(100).selectExpr("id % 9 AS key", "id AS ts", "id")
     plan = scan(df, ["key"], ["ts", "id"], {"before": Previous("id")})._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_orders_of_listings(spark):
+    from concord.operators import jobs as J
+
+    lines = spark.createDataFrame([("b a b c",), ("c b d",)], "value string")
+    assert [tuple(r) for r in J.word_count(lines).collect()] == [("b", 3), ("c", 2), ("a", 1), ("d", 1)]
+    rows = [(i, s, at(t)) for i, (s, t) in enumerate([("RUNNING", 5), ("QUEUED", 1), ("FAILED", 0), ("RUNNING", 1), ("QUEUED", 9)])]
+    runs = spark.createDataFrame(rows, "id int, state string, created_at timestamp").repartition(4)
+    assert [r["id"] for r in L.runs_by_state(runs, ["RUNNING", "QUEUED"]).collect()] == [1, 3, 0, 4]
+    assert [r["id"] for r in L.listing(runs, ["state", "id"]).collect()] == [2, 1, 4, 0, 3]
+    assert [r["id"] for r in L.newest(runs, ["created_at", "id"], 3).collect()] == [4, 0, 3]
