@@ -127,6 +127,7 @@ def table_roundtrip(spark, d):
         refused = True
     found = S.read_dataset(spark, "demo.table", "prod", bindings, catalog=None)
     S.write_dataset(found, "demo.readback", "prod", bindings, format="json")
+    spark.sql(f"DROP SCHEMA {schema} CASCADE")
     dumped = S.read_dataset(spark, "demo.readback", "prod", bindings, format="json")
     return dumped.select("id", "label", "customers", F.lit(refused).alias("second_create_fails"))
 
@@ -149,7 +150,12 @@ def materialize_view(spark, d):
                 FROM {schema}.finished GROUP BY c_mktsegment""",
         },
     )
-    return S.scan(spark, "table", f"{schema}.by_segment")
+    copy = scratch(spark, "by-segment")
+    S.sink(S.scan(spark, "table", f"{schema}.by_segment"), "path", copy)
+    spark.sql(f"DROP SCHEMA {schema} CASCADE")
+    for name in ("orders", "customer"):
+        spark.catalog.dropTempView(f"{schema}_{name}")
+    return S.scan(spark, "path", copy)
 
 
 @query(

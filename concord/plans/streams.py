@@ -112,6 +112,13 @@ def stream_sliding_counters(spark, d):
     )
 
 
+@query(f"SELECT * FROM ({PL.LATENCY_SQL}) WHERE event_id IN (SELECT event_id FROM events WHERE epoch_us(ts) <= {_WATERMARK})")
+def stream_latency_by_watermark(spark, d):
+    """Latencies as a stream: of all events that the watermark has passed."""
+    measured = S.latency_stream(_stream(spark, d), "1 hour", PL.LATENCY_SPEC, "user_id", "event_type", _ORDER, "error")
+    return I.epoch_log(measured, "latency-stream").select("user_id", "event_id", "latency", "micros")
+
+
 @query(PL.LATENCY_SQL)
 def stream_latency(spark, d):
     measured = S.stream_latency(

@@ -174,6 +174,100 @@ def delivery_retry(
 # -- latencies --------------------------------------------------------------------------------------------
 
 
+class _LatencyProcessor(StatefulProcessor):
+    """Per run: events the watermark has not passed yet, the last state it has, and when each start state was entered."""
+
+    def __init__(self, key: str, tie: str, spec: Mapping[str, tuple[str, Sequence[str]]], canceling: str, keep_ms: int | None):
+        self.key, self.tie, self.canceling, self.keep_ms = key, tie, canceling, keep_ms
+        self.spec = {name: (start, frozenset(ends)) for name, (start, ends) in spec.items()}
+        self.starts = {start for start, _ in self.spec.values()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at_us bigint, tie {self.tie}, state string")
+        self.known = handle.getValueState("known", "state string, entered map<string,bigint>, due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived = [(r["at_us"], r["tie"], r["state"]) for r in rows]
+        self.waiting.appendList(arrived)
+        state, entered, due = self.known.get() or (None, {}, None)
+        self._await(state, entered, due, self._due(min(r[0] for r in arrived)), waits=True)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        state, entered, _ = self.known.get()
+        entered = dict(entered)
+        events = sorted(self.waiting.get(), key=lambda e: (e[0], e[1]))
+        ready = [e for e in events if self._due(e[0]) <= watermark]
+        if not events:
+            self.known.clear()  # nothing has happened for as long as the run is kept
+            return
+        for at_us, tie, now in ready:
+            if now != state and state != self.canceling:
+                for name, (start, ends) in self.spec.items():
+                    if now in ends and start in entered:
+                        yield Row(**{self.key: key[0], "at_us": at_us, "tie": tie, "latency": name, "micros": at_us - entered[start]})
+            if now in self.starts:
+                entered[now] = at_us
+            state = now
+        rest = events[len(ready) :]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([tuple(e) for e in rest])
+            self._await(state, entered, None, self._due(rest[0][0]), waits=True)
+        else:
+            due = None if self.keep_ms is None else self._due(ready[-1][0]) + self.keep_ms
+            self._await(state, entered, None, due, waits=False)
+
+    def _await(self, state, entered, due: int | None, wanted: int | None, waits: bool) -> None:
+        """One timer per run: for its earliest waiting event, else for the end of its time in the state store."""
+        if wanted is not None and due != wanted and (due is None or wanted < due or not waits):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(wanted)
+            due = wanted
+        self.known.update((state, entered, due))
+
+    def _due(self, at_us: int) -> int:
+        return -(-at_us // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def latency_stream(
+    events: DataFrame,
+    watermark: str,
+    spec: Mapping[str, tuple[str, Sequence[str]]] = LATENCIES,
+    key: str = "run_id",
+    state: str = "to_state",
+    order: Sequence[str] = ("created_at", "id"),
+    canceling: str = "CANCELING",
+    keep_ms: int | None = None,
+) -> DataFrame:
+    """``key, order, latency, micros`` as a stream; append mode.
+
+    Events of a run wait until the watermark has passed them and are then taken in order, so a run's latencies are those
+    of the batch operator however its events arrive, also after a terminal state. Later ones are dropped. State per run
+    is its waiting events and a time per start state; with ``keep_ms`` it falls when a run has been still for so long in
+    event time (what it does afterwards is measured as if it had just begun), without it it stays.
+    """
+    ts, tie = order
+    kind = events.schema[tie].dataType
+    rows = events.withWatermark(ts, watermark).select(
+        key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"), F.col(tie).alias("tie"), F.col(state).alias("state")
+    )
+    out = [events.schema[key], T.StructField("at_us", T.LongType()), T.StructField("tie", kind)]
+    measured = rows.groupBy(key).transformWithState(
+        statefulProcessor=_LatencyProcessor(key, kind.simpleString(), spec, canceling, keep_ms),
+        outputStructType=T.StructType([*out, T.StructField("latency", T.StringType()), T.StructField("micros", T.LongType())]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return measured.select(key, F.timestamp_micros("at_us").alias(ts), F.col("tie").alias(tie), "latency", "micros")
+
+
 def stream_latency(
     events: DataFrame,
     spec: Mapping[str, tuple[str, Sequence[str]]] = LATENCIES,

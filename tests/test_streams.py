@@ -61,6 +61,18 @@ def test_latency_equals_batch(spark, feed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, L.latencies(batch).select(*columns).collect())) and got
 
 
+def test_latency_stream_equals_batch(spark, feed):
+    log = [*LOG, *rows(("a", "RUNNING", 120), ("a", "FAILED", 130), ("a", "SUCCEEDED", 150), ("z", "ACCEPTED", 5000))]
+    log = [(i, *r[1:]) for i, r in enumerate(log)]
+    # events of a batch out of order, and a run that goes on after its end
+    stream, batch = feed([log[3:6] + log[:3][::-1], log[6:10], log[10:13], log[13:]])
+    got = I.epoch_log(S.latency_stream(stream, "2 minutes"), "latency-stream").drop("epoch")
+    columns = ["run_id", "id", "created_at", "latency", "micros"]
+    expected = L.latencies(batch).select(*columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert got.where("run_id = 'a' AND latency = 'execution'").count() == 3
+
+
 def test_latency_after_a_terminal_state(spark, feed):
     log = rows(("a", "ACCEPTED", 0), ("a", "QUEUED", 1), ("a", "RUNNING", 5), ("a", "FAILED", 9), ("a", "SUCCEEDED", 12), ("a", "RUNNING", 14))
     stream, batch = feed([log[:4], log[4:5], log[5:]])
