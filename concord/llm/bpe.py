@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 LONG_WORD = 200
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60

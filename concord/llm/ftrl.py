@@ -60,7 +60,7 @@ def train(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> Model:
     def bias() -> float:
         return -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
 
-    examples = [(*features(text), label) for text, label in rows]
+    examples = [(s.astype(np.int32), v.astype(np.float32), y) for (s, v), y in ((features(t), y) for t, y in rows)]
     for _ in range(epochs):
         for slots, values, label in examples:
             old_z, old_n = z[slots], n[slots]

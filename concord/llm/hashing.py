@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A run of letters, digits and underscores, or a run of other characters without white space.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Outside the 32 bits of the hashes of tokens.
 REPEATED = np.uint64(1 << 32)
 FOLDS = 5

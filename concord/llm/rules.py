@@ -24,7 +24,7 @@ from concord.llm.hashing import char_slots, labelled_sample, ngram_slots, word_h
 
 WORD_BITS, CHAR_BITS = 18, 18
 LONGEST, CHARS = 2, 4
-TRAINING_ROWS, CALIBRATION_ROWS = 4000, 2000
+TRAINING_ROWS, CALIBRATION_ROWS = 2500, 1500
 ROUNDS, PENALTY, RATE = 80, 1e-4, 4.0
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -100,10 +100,16 @@ def train(rows: list[tuple[str, float]]) -> Model:
     if not rows:
         return Model(0.0, np.zeros(size))
     labels = np.array([y for _, y in rows])
-    found = [features(text) for text, _ in rows]
-    row = np.repeat(np.arange(len(rows)), [len(s) for s, _ in found])
-    slots, values = np.concatenate([s for s, _ in found]), np.concatenate([v for _, v in found])
-    used, place = np.unique(slots, return_inverse=True)
+    # the sample's features take eight bytes each, once
+    found = [(s.astype(np.int32), v.astype(np.float32)) for s, v in (features(text) for text, _ in rows)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s, _ in found])
+    slots, values = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    del found
+    used = np.flatnonzero(np.bincount(slots, minlength=size))
+    numbers = np.zeros(size, np.int32)
+    numbers[used] = np.arange(len(used))
+    place = numbers[slots]
+    del slots
     w = ahead = np.zeros(len(used))
     b = ahead_b = 0.0
     for k in range(ROUNDS):
