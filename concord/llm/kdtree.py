@@ -169,7 +169,7 @@ def _cut(rows: DataFrame, keys: list[str], nodes: list[Node]) -> DataFrame:
 def shard(docs: DataFrame, dims: list[Column], shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: a tree is not grown in place) of each row."""
     rows = assign(docs, dims, shards)
-    blocks = rows.agg(F.max("row"), F.count("*")).first()[1] // BLOCK_ROWS + 1
+    blocks = rows.count() // BLOCK_ROWS + 1
     placed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     sums = placed.groupBy("node", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("node").orderBy("block")) - F.col("n")
