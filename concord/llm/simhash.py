@@ -86,8 +86,9 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         lambda x, y: x & y,
         [(F.col("segment") <= k) | (F.bit_count(_segment(differ, k)) > 1) for k in range(SEGMENTS - 1)],
     )
+    # sizes are estimated before the explosions: without the hint a probe table of any size may look fit for a broadcast
     return (
-        probes.join(index, ["segment", "key"])
+        probes.join(index.hint("merge"), ["segment", "key"])
         .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & earlier)
         .select("a", "b")
     )
