@@ -111,12 +111,12 @@ def stuck_runs(
 class _RetryProcessor(StatefulProcessor):
     """Per delivery: its earliest tries, as many as count."""
 
-    def __init__(self, key: str, cap: int, tie: str, ttl_ms: int | None):
-        self.key, self.cap, self.tie, self.ttl_ms = key, cap, tie, ttl_ms
+    def __init__(self, key: str, cap: int, tie: str):
+        self.key, self.cap, self.tie = key, cap, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = f"tries array<struct<at_us:bigint,tie:{self.tie},won:boolean,tried:boolean>>"
-        self.tries = handle.getValueState("tries", schema, self.ttl_ms)
+        self.tries = handle.getValueState("tries", schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.tries.get()
@@ -147,12 +147,10 @@ def delivery_retry(
     key: str = "delivery_id",
     order: Sequence[str] = ("created_at", "id"),
     cap: int = MAX_ATTEMPTS,
-    ttl_ms: int | None = None,
 ) -> DataFrame:
     """``key, status, attempts`` whenever a delivery is tried; update mode. Memory per key is ``cap`` tries.
 
-    The tie column keeps its type, so text ids order as text. With ``ttl_ms`` a delivery is forgotten when it has not
-    been tried for that long (processing time); without it state stays as long as the stream lives.
+    The tie column keeps its type, so text ids order as text. State stays as long as the stream lives.
     """
     rows = tries.select(
         key,
@@ -162,12 +160,12 @@ def delivery_retry(
         F.expr(f"coalesce({enabled}, false)").alias("tried"),
     )
     return rows.groupBy(key).transformWithState(
-        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString(), ttl_ms),
+        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString()),
         outputStructType=T.StructType(
             [tries.schema[key], T.StructField("status", T.StringType()), T.StructField("attempts", T.LongType())]
         ),
         outputMode="Update",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        timeMode="None",
     )
 
 

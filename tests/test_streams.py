@@ -122,11 +122,11 @@ def test_rows_without_a_key_are_never_merged(spark, feed):
     assert sorted(r["run_id"] or "" for r in kept) == [""] * 5 + ["a"]
 
 
-def test_retries_with_text_ids_and_a_lifetime(spark, feed):
+def test_retries_with_text_ids(spark, feed):
     schema = TRY.replace("id bigint", "id string", 1)
     tries = [(f"3f2b-{k}", "d", at(0), k == 2, True) for k in range(4)]
     stream, batch = feed([tries[2:], tries[:2]], schema)
-    log = I.epoch_log(S.delivery_retry(stream, "ok", "enabled", ttl_ms=3_600_000), "retry-text", "update")
+    log = I.epoch_log(S.delivery_retry(stream, "ok", "enabled"), "retry-text", "update")
     got = [tuple(r) for r in I.newest_epoch(log, ["delivery_id"]).select("delivery_id", "status", "attempts").collect()]
     assert got == [("d", "delivered", 3)]
 
