@@ -4,10 +4,17 @@ A text and a template are aligned on words that stand exactly once in both: the
 anchors the alignment, and the gaps between anchors are aligned in the same way, where more words stand only once. A gap
 without such words counts its longest common subsequence. Coverage is the aligned part of the template's words.
 
-A text is scanned in windows of twice the template's length, each starting one template length after the other, so that
-any place a template can stand lies inside one window and anchors are looked for near it, however long the text is and
-however often a license stands in it. A window is aligned only if it has enough words of the template to reach the
-wanted coverage at all, which excludes nothing that could reach it.
+A text is scanned in windows of twice the template's length, each starting one template length after the other, however
+long the text is and however often a license stands in it. A window is looked at only if it has enough words of the
+template to reach the wanted coverage at all, which excludes nothing that could reach it. What is aligned is the smallest
+part of the window that holds the longest common subsequence, or a shorter one of enough words if that fails.
+
+Coverage alone does not tell a license from its siblings, so the words of ``TELLING`` must stand in the aligned part too,
+in their order: between two of them other words may stand, but none of ``RIVALS`` and before a version number no other
+number but that of the line. In templates of fewer than ``LONG`` words foreign words count: the aligned words must be
+``MIN_DENSITY`` of the template's and the foreign ones, of which each line begun inside has one free (comment signs, line
+numbers). A license that another one extends is not reported where the other stands. Templates of callers have no
+telling words unless they are those of ``TEMPLATES``.
 
 Null and empty texts have no license. Repeated rows get equal results; an empty table gives an empty result; columns
 other than doc_id and text are not read. Of templates with equal coverage the longer counts as the better one, then the
@@ -27,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MIN_COVERAGE = 0.8
+MIN_DENSITY = 0.6
+LONG = 20
 WORD = re.compile(r"\w+")
 
 #: Notices and grants of public licenses, as they are printed.
@@ -46,6 +55,25 @@ TEMPLATES = {
         "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
         "materials provided with the distribution."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+    "BSD-4-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. All advertising materials mentioning features or use of this "
+        "software must display the following acknowledgement: This product includes software developed by the "
+        "organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission."
+    ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -55,6 +83,11 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
     ),
+    "HPND": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without "
+        "fee is hereby granted, provided that the above copyright notice appear in all copies and that both that "
+        "copyright notice and this permission notice appear in supporting documentation."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -75,6 +108,40 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Words that tell a template from the notices of other licenses, in their order; one of the given forms must stand.
+TELLING = {
+    "Apache-2.0": ("apache license 2 0",),
+    "Apache-2.0-header": ("apache license 2 0",),
+    "BSD-3-Clause": ("neither name endorse promote",),
+    "BSD-4-Clause": ("advertising materials acknowledgement",),
+    "CC-BY-4.0": ("creative commons attribution 4 0",),
+    "CC-BY-NC-4.0": ("cc by nc 4 0",),
+    "CC-BY-SA-4.0": ("creative commons attribution sharealike 4 0", "creative commons attribution share alike 4 0"),
+    "GPL-3.0": ("gnu general public license 3",),
+    "GPL-3.0-or-later": ("gnu general public license 3 later",),
+    "HPND": ("supporting documentation",),
+    "MIT": ("mit license",),
+    "MPL-2.0": ("mozilla public license 2 0",),
+    "Unlicense": ("unencumbered public domain",),
+}
+
+#: Words that make another license of what stands before them: telling word -> words between it and the next one.
+_CC = frozenset("alike commercial derivatives derivs noderivatives noderivs non noncommercial share sharealike unported".split())
+_BY = frozenset("nc nd sa".split())
+RIVALS = {
+    "gnu": frozenset("affero lesser library".split()),
+    **dict.fromkeys(("attribution", "sharealike", "alike"), _CC),
+    **dict.fromkeys(("cc", "by", "nc"), _BY),
+}
+
+#: Licenses that have all the words of another one and more.
+EXTENDED = {
+    "BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"),
+    "BSD-3-Clause": ("BSD-4-Clause",),
+    "ISC": ("HPND",),
+}
+EXTENDING = frozenset(name for names in EXTENDED.values() for name in names)
+
 
 def increasing(values: Sequence[int]) -> list[int]:
     """Positions of a longest increasing subsequence: each value goes on the first pile whose top is not smaller."""
@@ -136,20 +203,79 @@ def aligned(text: Sequence[int], template: Sequence[int]) -> tuple[int, int, int
     return total, first, last
 
 
+def growth(places: dict[int, int], size: int, text: Sequence[int]) -> list[int]:
+    """Length of the longest common subsequence of a template and each beginning of ``text``.
+
+    ``places``: the bits of the positions that each word has in the template of ``size`` words.
+    """
+    mask = (1 << size) - 1
+    row, out = mask, []
+    for x in text:
+        if hit := row & places.get(x, 0):
+            row = (row + hit | row - hit) & mask
+        out.append(size - row.bit_count())
+    return out
+
+
+def tells(telling: Sequence[str], words: Sequence[str], leads: Sequence[bool]) -> bool:
+    """Whether ``telling`` stands in ``words`` with nothing between that makes it another license.
+
+    ``leads``: which words are the first of a line but the first one.
+    """
+    for k, word in enumerate(words):
+        if word != telling[0]:
+            continue
+        for last, want in zip(telling, telling[1:], strict=False):
+            begin = k + 1
+            k = next((j for j in range(begin, len(words)) if words[j] == want), -1)
+            if k < 0:
+                return False
+            end = k
+            while end > begin and leads[end - 1]:
+                end -= 1
+            between = words[begin:end]
+            if any(w in RIVALS.get(last, ()) or want.isdigit() and w.isdigit() for w in between):
+                break
+        else:
+            return True
+    return False
+
+
+class Template:
+    def __init__(self, name: str, text: str, words: list[int], min_coverage: float):
+        self.name, self.words, self.size = name, words, len(words)
+        self.least = max(1, int(np.ceil(min_coverage * len(words) - 1e-9)))
+        self.telling = [t.split() for t in TELLING.get(name, ())] if TEMPLATES.get(name) == text else []
+        self.bag = Counter(words)
+        self.places: dict[int, int] = {}
+        self.mirrored: dict[int, int] = {}
+        for k, x in enumerate(words):
+            self.places[x] = self.places.get(x, 0) | 1 << k
+            self.mirrored[x] = self.mirrored.get(x, 0) | 1 << (self.size - 1 - k)
+
+    def told(self, words: Sequence[str], leads: Sequence[bool], found: int) -> bool:
+        """Whether an aligned part of a text with ``found`` aligned words is this license and no sibling."""
+        if self.size < LONG:
+            foreign = max(0, len(words) - found - sum(leads))
+            if found < MIN_DENSITY * (self.size + foreign):
+                return False
+        return not self.telling or any(tells(t, words, leads) for t in self.telling)
+
+
 class Scanner:
     """Templates as numbers of words; word 0 is one that no template has."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], min_coverage: float):
         self.numbers: dict[str, int] = {}
-        self.templates = []
+        self.templates: list[Template] = []
         self.min_coverage = min_coverage
         for name, text in templates:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(text.lower())]
             if words:
-                self.templates.append((name, words, max(1, int(np.ceil(min_coverage * len(words) - 1e-9)))))
+                self.templates.append(Template(name, text, words, min_coverage))
         self.has = np.zeros((len(self.templates), len(self.numbers) + 1), np.int32)
-        for k, (_, words, _) in enumerate(self.templates):
-            self.has[k, words] = 1
+        for k, t in enumerate(self.templates):
+            self.has[k, t.words] = 1
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, aligned words, first and last word of the text), the best place of each found template."""
@@ -157,20 +283,77 @@ class Scanner:
         numbers = np.fromiter((self.numbers.get(w, 0) for w in words), np.int32, len(words))
         if not numbers.any():
             return []
+        present = set(words)
+        leads = None
+        #: places (aligned words, first, last) of each found template, those that extend another one before it
+        places: dict[str, list[tuple[int, int, int]]] = {}
         out = []
-        for k, (name, template, least) in enumerate(self.templates):
-            size = len(template)
-            starts = np.arange(0, len(numbers), size)
-            seen = np.concatenate([[0], np.cumsum(self.has[k][numbers])])
-            enough = starts[seen[np.minimum(starts + 2 * size, len(numbers))] - seen[starts] >= least]
-            best = None
-            for start in enough.tolist():
-                found, first, last = aligned(numbers[start : start + 2 * size].tolist(), template)
-                if found >= least and (best is None or found > best[2]):
-                    best = (name, found / size, found, start + first, start + last)
-            if best:
-                out.append((best, size))
-        return [b for b, _ in sorted(out, key=lambda x: (-x[0][1], -x[1], x[0][0]))]
+        for k, template in sorted(enumerate(self.templates), key=lambda x: -x[1].size):
+            if template.telling and not any(present.issuperset(t) for t in template.telling):
+                continue
+            hidden = [p for name in EXTENDED.get(template.name, ()) for p in places.get(name, ())]
+            found: list[tuple[int, int, int]] = []
+            for start, end in self.windows(k, numbers):
+                if leads is None:
+                    leads = leading(text)
+                place = self.place(template, numbers[start:end].tolist(), words[start:end], leads[start:end])
+                if place is None:
+                    continue
+                place = (place[0], start + place[1], start + place[2])
+                if any(place[1] <= last and first <= place[2] for _, first, last in hidden):
+                    continue
+                found.append(place)
+                if place[0] == template.size == place[2] - place[1] + 1 and template.name not in EXTENDING:
+                    break
+            if found:
+                found.sort(key=lambda p: (-p[0], p[2] - p[1], p[1]))
+                out.append((template, *found[0]))
+                if template.name in EXTENDING:
+                    apart = places.setdefault(template.name, [])
+                    for p in found:
+                        if all(p[2] < first or last < p[1] for _, first, last in apart):
+                            apart.append(p)
+        out.sort(key=lambda x: (-x[1] / x[0].size, -x[0].size, x[0].name))
+        return [(t.name, found / t.size, found, first, last) for t, found, first, last in out]
+
+    def windows(self, k: int, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """First word and end of the windows that have enough words of a template, counted as often as it has them."""
+        template = self.templates[k]
+        starts = np.arange(0, len(numbers), template.size)
+        ends = np.minimum(starts + 2 * template.size, len(numbers))
+        seen = np.concatenate([[0], np.cumsum(self.has[k][numbers])])
+        for i in np.flatnonzero(seen[ends] - seen[starts] >= template.least).tolist():
+            start, end = int(starts[i]), int(ends[i])
+            if (Counter(numbers[start:end].tolist()) & template.bag).total() >= template.least:
+                yield start, end
+
+    @staticmethod
+    def place(
+        template: Template, numbers: list[int], words: list[str], leads: list[bool]
+    ) -> tuple[int, int, int] | None:
+        """Aligned words, first and last word of the template's place in a window."""
+        grown = growth(template.places, template.size, numbers)
+        for most in range(grown[-1], template.least - 1, -1):
+            end = bisect_left(grown, most) + 1
+            back = growth(template.mirrored, template.size, numbers[:end][::-1])
+            begin = end - 1 - bisect_left(back, most)
+            found, first, last = aligned(numbers[begin:end], template.words)
+            if found < template.least:
+                continue
+            first, last = begin + first, begin + last
+            if template.told(words[first : last + 1], [False, *leads[first + 1 : last + 1]], found):
+                return found, first, last
+        return None
+
+
+def leading(text: str) -> list[bool]:
+    """Of each word, whether it is the first of its line."""
+    out: list[bool] = []
+    # lower-casing first, as the words are counted in lower-cased text
+    for line in text.lower().split("\n"):
+        n = len(WORD.findall(line))
+        out += [k == 0 for k in range(n)]
+    return out
 
 
 @lru_cache(maxsize=4)

@@ -118,3 +118,58 @@ def test_awkward_rows(awkward, empty_documents):
 @pytest.mark.parametrize("templates", [{}, {"empty": ""}])
 def test_no_templates(awkward, templates):
     assert {r.license for r in patience.scan(awkward, templates).collect()} == {None}
+
+
+SIBLINGS = [
+    "Released under the BSD License.",
+    "released under the GNU General Public License",
+    "Licensed under CC BY 4.0.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under the Mozilla Public License, version 2.0.",
+    "Licensed under the Apache License, Version 1.1.",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-Non Commercial 4.0 International License.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU General Public License, version 2. See section 3.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    patience.TEMPLATES["GPL-3.0-or-later"].replace("GNU", "GNU Affero"),
+    patience.TEMPLATES["GPL-3.0-or-later"].replace("version 3", "version 2"),
+    "This is free software released into the public domain.",
+    "Prisoners released from work under the rule of the new MIT dean need a special license.",
+    "It is released in spring; what lies under it is the old MIT press, which never had the city's license.",
+]
+
+
+@pytest.mark.parametrize("text", SIBLINGS)
+def test_siblings_and_prose_are_no_license(text):
+    assert scan(text) == []
+    assert scan("some filler before it " * 9 + text + " and some after" * 9) == []
+
+
+def test_longer_siblings_hide_the_shorter_ones():
+    for name in ("BSD-3-Clause", "BSD-4-Clause", "HPND"):
+        assert [f[0] for f in scan("words " * 7 + patience.TEMPLATES[name] + " words")] == [name]
+    found = scan(patience.TEMPLATES["CC-BY-SA-4.0"])
+    assert [f[0] for f in found] == ["CC-BY-SA-4.0"]
+    both = patience.TEMPLATES["BSD-2-Clause"] + " words" * 300 + patience.TEMPLATES["BSD-3-Clause"]
+    assert {f[0] for f in scan(both)} == {"BSD-2-Clause", "BSD-3-Clause"}
+    parts = both.split(" words" * 300)
+    assert {f[0] for f in scan((" words" * 300).join(parts[::-1]))} == {"BSD-2-Clause", "BSD-3-Clause"}
+    assert {f[0] for f in scan("\n".join(parts))} == {"BSD-2-Clause", "BSD-3-Clause"}
+    assert {f[0] for f in scan("\n".join(parts[::-1]))} == {"BSD-2-Clause", "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Released under the terms of the MIT License.", "MIT"),
+        ("Licensed under Apache License, version 2.0", "Apache-2.0"),
+        ("This work is licensed under the terms of the GNU General Public License (GPL), version 3.", "GPL-3.0"),
+        ("# This work is licensed under the GNU\nREM General Public License, version\n12 3.", "GPL-3.0"),
+        ("This work is licensed under the Creative Commons Attribution-Share Alike 4.0 International License", "CC-BY-SA-4.0"),
+    ],
+)
+def test_changed_wording_is_still_found(text, name):
+    assert [f[0] for f in scan(text)] == [name]
