@@ -4,8 +4,10 @@ A text and a template are aligned on words that stand exactly once in both: the
 anchors the alignment, and the gaps between anchors are aligned in the same way, where more words stand only once. A gap
 without such words counts its longest common subsequence. Coverage is the aligned part of the template's words.
 
-A text is scanned in windows of twice the template's length, each starting one template length after the other, however
-long the text is and however often a license stands in it. A window is looked at only if it has enough words of the
+A place is at most ``SPAN`` template lengths long, inserted words included (comment signs, line numbers, names). Windows
+start a quarter of a template after the other (at every word for templates of fewer than ``LONG`` words) and are longer
+than such a place by that step, so each place lies whole inside one of them, wherever it stands, however long the text
+is and however often a license stands in it. A window is looked at only if it has enough words of the
 template to reach the wanted coverage at all, which excludes nothing that could reach it. What is aligned is the smallest
 part of the window that holds the longest common subsequence, or a shorter one of enough words if that fails.
 
@@ -36,6 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 MIN_COVERAGE = 0.8
 MIN_DENSITY = 0.6
 LONG = 20
+SPAN = 2
 WORD = re.compile(r"\w+")
 
 #: Notices and grants of public licenses, as they are printed.
@@ -319,8 +322,9 @@ class Scanner:
     def windows(self, k: int, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
         """First word and end of the windows that have enough words of a template, counted as often as it has them."""
         template = self.templates[k]
-        starts = np.arange(0, len(numbers), template.size)
-        ends = np.minimum(starts + 2 * template.size, len(numbers))
+        step = 1 if template.size < LONG else template.size // 4
+        starts = np.arange(0, len(numbers), step)
+        ends = np.minimum(starts + SPAN * template.size + step, len(numbers))
         seen = np.concatenate([[0], np.cumsum(self.has[k][numbers])])
         for i in np.flatnonzero(seen[ends] - seen[starts] >= template.least).tolist():
             start, end = int(starts[i]), int(ends[i])

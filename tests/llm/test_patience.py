@@ -173,3 +173,28 @@ def test_longer_siblings_hide_the_shorter_ones():
 )
 def test_changed_wording_is_still_found(text, name):
     assert [f[0] for f in scan(text)] == [name]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0-header", "BSD-2-Clause", "GPL-3.0-or-later", "MIT-grant", "MPL-2.0"])
+def test_inserted_words_at_every_offset(name):
+    words = patience.WORD.findall(patience.TEMPLATES[name])
+    size = len(words)
+    half = size * 2 // 5
+    block = [*words[: size // 2], *["filler"] * half, *words[size // 2 :]]
+    spread = [x for k, w in enumerate(words) for x in (("dnl", w) if k % 2 else (w,))]
+    for text in (block, spread):
+        for offset in range(size):
+            found = scan(" ".join(["before"] * offset + text + ["after"] * 2 * size))
+            assert found[0] == (name, 1.0, size, offset, offset + len(text) - 1)
+    for place in range(1, size):
+        found = scan(" ".join(["before"] * 80 + words[:place] + ["filler"] * half + words[place:] + ["after"] * 99))
+        assert found[0][:3] == (name, 1.0, size)
+
+
+def test_changed_and_commented_notice_at_every_offset():
+    words = patience.WORD.findall(patience.TEMPLATES["MIT-grant"])
+    kept = [w for k, w in enumerate(words) if k % 7 != 3]
+    lines = " ".join("\nREM " * (k % 5 == 0) + w for k, w in enumerate(kept))
+    for offset in range(len(words)):
+        found = scan("before " * offset + lines + " after" * 200)
+        assert found[0][:3] == ("MIT-grant", len(kept) / len(words), len(kept))
