@@ -108,3 +108,35 @@ def test_long_text_counts_in_chunks(monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 64)
     assert simhash.simhash(text) == whole
     assert whole & ((1 << 64) - 1) == fingerprint(text)
+
+
+def test_recall_against_five_word_jaccard():
+    """The figures of README: the law finds copies with next to no edits, not all that are alike by Jaccard."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(7)
+    base = sorted({t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t and len(t.split()) >= 50})
+    texts = list(base)
+    for text in base:
+        words = text.split()
+        for rate in (0.002, 0.005, 0.01, 0.02, 0.04):
+            changed = list(words)
+            for k in rng.sample(range(len(words)), max(1, round(rate * len(words)))):
+                changed[k] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(changed))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    fps = [simhash.simhash(t) & ((1 << 64) - 1) for t in texts]
+    have, found, all_pairs = {}, [0] * 4, [0] * 4
+    for i, shingles in enumerate(sets):
+        shared = {}
+        for s in shingles:
+            for j in have.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            have[s].append(i)
+        for j, n in shared.items():
+            jaccard = n / (len(shingles) + len(sets[j]) - n)
+            if 0.8 <= jaccard < 1:
+                band = (jaccard >= 0.9) + (jaccard >= 0.95) + (jaccard >= 0.98)
+                all_pairs[band] += 1
+                found[band] += (fps[i] ^ fps[j]).bit_count() <= simhash.MAX_DISTANCE
+    assert (found, all_pairs) == ([488, 690, 522, 133], [3544, 1765, 785, 152])
