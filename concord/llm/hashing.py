@@ -52,16 +52,17 @@ def ngram_slots(hashes: np.ndarray, longest: int, bits: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def char_slots(data: bytes, n: int, bits: int) -> np.ndarray:
-    """Slots of all runs of ``n`` (at most 8) bytes of a text, with repeats."""
-    codes = np.frombuffer(data, np.uint8)
+def char_slots(text: str, n: int, bits: int) -> np.ndarray:
+    """Slots of all runs of ``n`` characters (code points) of a text, with repeats."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     count = len(codes) - n + 1
     if count < 1:
         return np.empty(0, np.int64)
-    packed = np.zeros(count, np.uint64)
+    rolling = np.zeros(count, np.uint64)
     for k in range(n):
-        packed = packed << np.uint64(8) | codes[k : k + count]
-    return ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        rolling = rolling * np.uint64(0xBF58476D1CE4E5B9) + codes[k : k + count]
+        rolling ^= rolling >> np.uint64(29)
+    return ((rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def fold(doc_id: Column) -> Column:

@@ -1,6 +1,6 @@
 """Quality rules: counts of a whole text against fixed limits, and a calibrated classifier for what the limits let pass.
 
-The classifier is a logistic regression on hashed word n-grams and byte n-grams. It is fitted to a bounded sample of
+The classifier is a logistic regression on hashed word n-grams and character n-grams. It is fitted to a bounded sample of
 labelled rows (``TRAINING_ROWS``, folds 2 to 4) by accelerated gradient descent; its margins are turned into
 probabilities by a logistic curve fitted to labelled rows of fold 1 (``CALIBRATION_ROWS``). Fold 0 is left for tests.
 Whole texts are scored in Arrow batches against fixed thresholds.
@@ -67,11 +67,11 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (words first, then bytes) and values; each of the two halves has length one."""
+    """Slots (words first, then characters) and values; each of the two halves has length one."""
     out = []
     for base, slots in (
         (0, ngram_slots(word_hashes(text), LONGEST, WORD_BITS) if text else np.empty(0, np.int64)),
-        (1 << WORD_BITS, char_slots(text.encode(), CHARS, CHAR_BITS)),
+        (1 << WORD_BITS, char_slots(text, CHARS, CHAR_BITS)),
     ):
         slots, found = np.unique(slots, return_counts=True)
         values = np.sqrt(found)

@@ -151,3 +151,15 @@ def test_calibration_gives_frequencies():
     fitted = rules.calibrate(model, [(str(k), y) for k, y in enumerate(labels)])
     assert fitted.slope == pytest.approx(2, abs=0.25)
     assert fitted.shift == pytest.approx(-1, abs=0.2)
+
+
+@pytest.mark.parametrize("text", ["plain text", "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a", "\U0001f600\U0001f601\U0001f602\U0001f603\U0001f604"])
+def test_character_ngrams_are_runs_of_four_code_points(text):
+    slots = hashing.char_slots(text, 4, 18)
+    assert len(slots) == len(text) - 3
+    for k in range(len(text) - 3):
+        assert slots[k] == hashing.char_slots(text[k : k + 4], 4, 18)[0]
+        for at in range(4):
+            other = text[k : k + at] + "\u0416" + text[k + at + 1 : k + 4]
+            assert slots[k] != hashing.char_slots(other, 4, 18)[0]
+    assert len(hashing.char_slots(text[:3], 4, 18)) == 0
