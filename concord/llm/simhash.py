@@ -149,14 +149,16 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, words: in
 
 
 def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` that name their component: one row of each group, with all columns of ``docs``.
+    """One row of each group of ``docs``, with all columns: the one with the smallest id, then the smallest hash.
 
-    Rows that share a doc_id count as one document, of which one row stays. Rows without an id are told apart by a
-    64-bit hash of their text and stay only if no row with an id is in their group.
+    Rows are told apart by doc_id and a 64-bit hash of all their columns (maps left out, which have no hash), so unlike
+    texts under one id are documents of their own and the row that stays does not depend on how tasks run. Rows without
+    an id stay only if no row with an id is in their group.
     """
     prepared(docs.sparkSession)
-    none = F.col("doc_id").isNull()
-    key = F.struct(none.alias("none"), F.when(none, F.xxhash64("text")).otherwise(F.col("doc_id")).alias("id"))
+    hashed = [docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind]
+    id_ = docs["doc_id"]
+    key = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(*hashed).alias("hash"))
     keyed = written(docs.select(key.alias("key"), fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     keep = _grouped(keyed, max_distance).select(F.col("first").alias("key")).distinct()
     # copies of a row fall away before the shuffle, which the join then shares

@@ -140,3 +140,17 @@ def test_recall_against_five_word_jaccard():
                 all_pairs[band] += 1
                 found[band] += (fps[i] ^ fps[j]).bit_count() <= simhash.MAX_DISTANCE
     assert (found, all_pairs) == ([488, 690, 522, 133], [3544, 1765, 785, 152])
+
+
+def test_unlike_texts_under_one_id_stay(documents):
+    one, other = "the first text of a few words about rivers", "nothing like it stands here, only numbers: 1 2 3"
+    docs = documents([(1, one), (1, other), (1, one), (2, other), (None, one), (3, None), (3, "third " * 9)])
+    rows = simhash.deduplicate(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in rows if r.text) == sorted([(1, one), (1, other), (3, "third " * 9)])
+    assert [r.doc_id for r in rows if not r.text] == [3]
+
+
+def test_the_row_that_stays_is_the_same_in_any_order(documents, spark):
+    docs = documents([(1, "one text under one id")] * 12)
+    kept = {tuple(simhash.deduplicate(docs.orderBy(c).repartition(n)).first()) for c in ("lang", "source") for n in (1, 5)}
+    assert len(kept) == 1
