@@ -10,6 +10,9 @@ driver keeps one row per node, hence at most as many as there are shards.
 Slots number a shard's documents without gaps: positions within blocks of a bounded number of rows, plus the sum of the
 blocks before. No step gathers a shard, a hot value or a group of copies in one task.
 
+A text dimension is the rank of its value among the distinct ones: they are sorted in ranges, each range is numbered by
+itself and starts behind the values of the ranges before it; the ranks are joined back.
+
 Null metadata count as zero or as an empty string, null texts as empty (one byte, checksum of nothing). Rows without an
 id and repeated rows are documents like any other. An empty table gives an empty result, and with fewer documents than
 shards some shards stay empty. Columns that are not named are not read.
@@ -28,6 +31,8 @@ BUCKETS = 1024
 BLOCK_ROWS = 50_000
 PREFIX_BYTES = 7
 TIE_BITS = 62
+#: Bits of the place within a partition in Spark's increasing ids.
+PLACE_BITS = 33
 KEY, TIE, ROW = 0, 1, 2
 
 
@@ -37,11 +42,18 @@ def number(col: Column) -> Column:
 
 
 def prefix(col: Column) -> Column:
-    """A text dimension as a number in the order of its first bytes."""
+    """A text dimension as a number in the order of its first bytes; ``Text`` tells values apart that share them."""
     head = F.rpad(F.left(F.hex(F.coalesce(col, F.lit(""))), F.lit(2 * PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
     return F.conv(head, 16, 10).cast("bigint")
 
 
+@dataclass(frozen=True)
+class Text:
+    """A text dimension by the order of its whole values."""
+
+    value: Column
+
+
 @dataclass
 class Node:
     """A node under search: it starts at shard ``first`` and has ``leaves`` shards, ``left`` of them left of the cut."""
@@ -81,17 +93,38 @@ class Node:
             self.low, self.high = 0, (1 << TIE_BITS) if self.stage == TIE else last_row
 
 
-def _narrow(docs: DataFrame, dims: list[Column]) -> DataFrame:
+def _narrow(docs: DataFrame, dims: list[Column | Text]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    names = [f"key{k}" for k in range(len(dims))]
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[d.alias(f"key{k}") for k, d in enumerate(dims)],
+        *[F.coalesce(d.value, F.lit("")).alias(n) if isinstance(d, Text) else d.alias(n) for d, n in zip(dims, names, strict=True)],
         F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - TIE_BITS).alias("tie"),
         F.monotonically_increasing_id().alias("row"),
         F.lit(0).alias("node"),
     )
+    columns = rows.columns
+    for n, d in zip(names, dims, strict=True):
+        if isinstance(d, Text):
+            ranks = _ranks(docs.select(F.coalesce(d.value, F.lit("")).alias(n)), n)
+            rows = rows.join(ranks, n).drop(n).withColumnRenamed("rank", n).select(*columns)
+    return rows
+
+
+def _ranks(values: DataFrame, name: str) -> DataFrame:
+    """``name``, ``rank``: the distinct values of a column and how many are smaller."""
+    ordered = values.distinct().repartitionByRange(name).sortWithinPartitions(name)
+    # the high bits of these numbers are the range, the low ones the place in it
+    placed = written(ordered.withColumn("at", F.monotonically_increasing_id()), "kd-values")
+    part = F.shiftright("at", PLACE_BITS)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # a row per range
+    start = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    starts = counts.select("part", start.alias("start"))
+    place = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.join(starts, part == F.col("part")).select(name, (F.col("start") + place).alias("rank"))
 
 
 SEARCH = "node int, dim int, stage int, at_key bigint, at_tie bigint, low bigint, high bigint, width bigint, goal double"
@@ -123,7 +156,7 @@ def _medians(rows: DataFrame, keys: list[str], nodes: dict[int, Node], last_row:
             nodes[r.node].settle(r.min, r.max, r.upto - r.weight, r.weight, r.n, last_row)
 
 
-def assign(docs: DataFrame, dims: list[Column], shards: int = SHARDS) -> DataFrame:
+def assign(docs: DataFrame, dims: list[Column | Text], shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, row, node (the shard) of each row of ``docs``."""
     rows = written(_narrow(docs, dims), "kd-rows")
     keys = [f"key{k}" for k in range(len(dims))]
@@ -166,7 +199,7 @@ def _cut(rows: DataFrame, keys: list[str], nodes: list[Node]) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, dims: list[Column], shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, dims: list[Column | Text], shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: a tree is not grown in place) of each row."""
     rows = assign(docs, dims, shards)
     blocks = rows.count() // BLOCK_ROWS + 1

@@ -75,7 +75,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = [kdtree.prefix(F.col("lang")), kdtree.prefix(F.col("source")), kdtree.number(F.col("n_chars"))]
+    dims = [kdtree.Text(F.col("lang")), kdtree.Text(F.col("source")), kdtree.number(F.col("n_chars"))]
     return kdtree.shard(table(spark, sf_dir, "documents"), dims)
 
 

@@ -85,3 +85,33 @@ def test_awkward_rows(awkward, empty_documents):
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id in (2, 3)} == {(1, 0)}
     check_slots(rows)
     assert kdtree.shard(empty_documents, dims).collect() == []
+
+
+def test_texts_with_a_shared_beginning_are_split_by_value(spark):
+    rows = [(k, "x" * 100, f"https://example.org/{k % 4}") for k in range(200)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    ranks = {r.url: r["rank"] for r in kdtree._ranks(docs.select("url").where("url IS NOT NULL"), "url").collect()}
+    assert ranks == {f"https://example.org/{k}": k for k in range(4)}
+    found = kdtree.shard(docs, [kdtree.Text(F.col("url"))], 4).collect()
+    assert len(found) == len(rows)
+    shards = {r.doc_id: r.shard for r in found}
+    assert len({(shards[k], k % 4) for k in range(200)}) == 4
+
+
+def test_ranks_of_many_ranges(spark):
+    spark_values = spark.range(5000).selectExpr("concat('https://', sha2(cast(id % 3000 AS string), 256)) AS v")
+    found = {r.v: r["rank"] for r in kdtree._ranks(spark_values.repartition(7), "v").collect()}
+    values = sorted({r.v for r in spark_values.collect()})
+    assert found == {v: k for k, v in enumerate(values)}
+
+
+def test_whole_table_by_ranks_against_a_plain_tree(spark, sf_dir):
+    dims = [kdtree.Text(F.col("lang")), kdtree.Text(F.col("source")), kdtree.number(F.col("n_chars"))]
+    docs = table(spark, sf_dir, "documents")
+    names = [sorted({r[0] or "" for r in docs.select(c).collect()}) for c in ("lang", "source")]
+    rows = []
+    for r in kdtree._narrow(docs, dims).join(docs.select("doc_id", "lang", "source"), "doc_id").collect():
+        assert (r.key0, r.key1) == (names[0].index(r.lang or ""), names[1].index(r.source or ""))
+        rows.append((r.size, (r.key0, r.key1, r.key2), r.tie, r.doc_id))
+    ranges = [max(max(r[1][k] for r in rows) - min(r[1][k] for r in rows), 1) for k in range(3)]
+    assert {r.doc_id: r.shard for r in kdtree.shard(docs, dims).collect()} == cut(rows, 16, ranges)
