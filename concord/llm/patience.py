@@ -13,7 +13,7 @@ part of the window that holds the longest common subsequence, or a shorter one o
 
 Coverage alone does not tell a license from its siblings, so the words of ``TELLING`` must stand in the aligned part too,
 in their order: between two of them other words may stand, but none of ``RIVALS`` and before a version number no other
-number but that of the line. In templates of fewer than ``LONG`` words foreign words count: the aligned words must be
+number but that of the line, or one to choose from ("2 or 3"). In templates of fewer than ``LONG`` words foreign words count: the aligned words must be
 ``MIN_DENSITY`` of the template's and the foreign ones, of which each line begun inside has one free (comment signs, line
 numbers). A license that another one extends is not reported where the other stands. Templates of callers have no
 telling words unless they are those of ``TEMPLATES``.
@@ -220,6 +220,13 @@ def growth(places: dict[int, int], size: int, text: Sequence[int]) -> list[int]:
     return out
 
 
+def chosen(between: Sequence[str]) -> bool:
+    """Whether a version number behind these words is the first one, or a further one to choose from (2 or version 3)."""
+    numbers = [k for k, w in enumerate(between) if w.isdigit()]
+    rest = between[numbers[-1] + 1 :] if numbers else []
+    return not numbers or (bool(rest) and rest[0] in ("or", "and") and all(w in ("version", "v") for w in rest[1:]))
+
+
 def tells(telling: Sequence[str], words: Sequence[str], leads: Sequence[bool]) -> bool:
     """Whether ``telling`` stands in ``words`` with nothing between that makes it another license.
 
@@ -237,7 +244,7 @@ def tells(telling: Sequence[str], words: Sequence[str], leads: Sequence[bool]) -
             while end > begin and leads[end - 1]:
                 end -= 1
             between = words[begin:end]
-            if any(w in RIVALS.get(last, ()) or want.isdigit() and w.isdigit() for w in between):
+            if any(w in RIVALS.get(last, ()) for w in between) or want.isdigit() and not chosen(between):
                 break
         else:
             return True

@@ -133,6 +133,7 @@ SIBLINGS = [
     "This work is licensed under a Creative Commons Attribution-Non Commercial 4.0 International License.",
     "This work is licensed under the GNU General Public License, version 2.",
     "This work is licensed under the GNU General Public License, version 2. See section 3.",
+    "This work is licensed under the GNU General Public License, version 2 or any later version. See section 3.",
     "This work is licensed under the GNU Lesser General Public License, version 3.",
     patience.TEMPLATES["GPL-3.0-or-later"].replace("GNU", "GNU Affero"),
     patience.TEMPLATES["GPL-3.0-or-later"].replace("version 3", "version 2"),
@@ -167,6 +168,7 @@ def test_longer_siblings_hide_the_shorter_ones():
         ("Released under the terms of the MIT License.", "MIT"),
         ("Licensed under Apache License, version 2.0", "Apache-2.0"),
         ("This work is licensed under the terms of the GNU General Public License (GPL), version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2 or version 3.", "GPL-3.0"),
         ("# This work is licensed under the GNU\nREM General Public License, version\n12 3.", "GPL-3.0"),
         ("This work is licensed under the Creative Commons Attribution-Share Alike 4.0 International License", "CC-BY-SA-4.0"),
     ],
