@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from concord.llm import bpe, chat, ctph, ftrl, kdtree, mixing, patience, rules, simhash, urlfilter
+from concord.llm import bpe, chat, ctph, ftrl, kdtree, lexical, mixing, patience, pieces, rules, simhash, urlfilter, variants
 from concord.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_path() -> str:
+    """The model of the SentencePiece query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -101,6 +108,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mix_levels(), mix_weights(spark), MIX_SHARE)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces_path())
+
+
 #: host and path of a DuckDB ``url``, as the contract of the rules reads it.
 _HOST = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
@@ -130,10 +149,13 @@ def queries() -> dict[str, Query]:
         op8_license_scan,
         op9_simhash,
         op10_mixing,
+        op11_spelling_variants,
+        op12_lexical_search,
+        op13_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
     """Name -> the same in SQL; the other operators are tested against brute force."""
-    return {"op1_chat_rotation": chat.SQL, "op7_url_filters": URL_SQL}
+    return {"op1_chat_rotation": chat.SQL, "op7_url_filters": URL_SQL, "op12_lexical_search": lexical.SQL}
