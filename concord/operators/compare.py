@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from concord.functions import messages as M
 from concord.functions.canonical import SALT, canonical, column, hash_inputs, quoted, row_hash128, row_sha
 from concord.functions.exact import exact_sum, is_narrow, join_limbs, limb_sums, to_micro
+from concord.operators import sketch
 
 _COLUMNS = (
     "array<struct<name:string,type:string,numeric:boolean,nulls:bigint,sum:string,min:string,max:string,"
@@ -25,6 +26,14 @@ MAX_BUFFERS = 88
 _CHECK = "struct<ord:int,check:string,column:string,left:string,right:string>"
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from a table's own columns."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 # -- fingerprints ---------------------------------------------------------------------------------------------
 
 
@@ -59,19 +68,22 @@ def fingerprint(
 
 
 def partition_level_compare(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Groups of ``by`` whose content differs, with both row counts (0 when the group is absent)."""
-    sides = []
+    """Groups of ``by`` whose content differs: ``<by>, left_rows, right_rows`` (0 when the group is absent).
+
+    Where ``by`` has a column of one of these names, the added one gets an underscore.
+    """
+    sides, keys = [], [f"k{i}" for i in range(len(by))]
     for name, df in (("l", left), ("r", right)):
         first, second = _hashes(df.schema, None, None)
         mine = lambda value, own=name: [value if side == own else F.lit(None).cast("bigint") for side in "lr"]
         (l1, r1), (l2, r2), (ln, rn) = mine(first), mine(second), mine(F.lit(1).cast("bigint"))
-        sides.append(
-            df.select(*by, ln.alias("l_n"), rn.alias("r_n"), l1.alias("l1"), l2.alias("l2"), r1.alias("r1"), r2.alias("r2"))
-        )
+        values = {"l_n": ln, "r_n": rn, "l1": l1, "l2": l2, "r1": r1, "r2": r2}
+        named = [column(c).alias(k) for c, k in zip(by, keys, strict=True)]
+        sides.append(df.select(*named, *[value.alias(n) for n, value in values.items()]))
     grouped = (
         sides[0]
         .unionByName(sides[1])
-        .groupBy(*by)
+        .groupBy(*keys)
         .agg(
             F.count("l_n").alias("left_rows"),
             F.count("r_n").alias("right_rows"),
@@ -80,7 +92,9 @@ def partition_level_compare(left: DataFrame, right: DataFrame, by: Sequence[str]
         )
     )
     differs = f"{_digest('l_', 'left_rows')} <> {_digest('r_', 'right_rows')}"
-    return grouped.filter(differs).select(*by, "left_rows", "right_rows")
+    shown = [F.col(k).alias(c) for k, c in zip(keys, by, strict=True)]
+    counts = [F.col(n).alias(free_name(n, by)) for n in ("left_rows", "right_rows")]
+    return grouped.filter(differs).select(*shown, *counts)
 
 
 # -- profiles -------------------------------------------------------------------------------------------------
@@ -266,56 +280,99 @@ def multiset_diff(
     return differing.withColumn("row_hash", _digits("row_hash", digest))
 
 
-def _groupable(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _groupable(df: DataFrame, names: Sequence[str]) -> list[Column]:
     kinds = (T.MapType, T.VariantType)
     form = lambda n, t: canonical(column(n), t) if isinstance(t, kinds) else column(n)
-    return df.select(*[form(n, df.schema[n].dataType).alias(n) for n in names])
+    return [form(n, df.schema[n].dataType) for n in names]
+
+
+def _same_columns(left: DataFrame, right: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    """The columns to compare; an error if a side lacks one or has it in another type."""
+    mine, theirs = dict(schema_entries(left.schema)), dict(schema_entries(right.schema))
+    names = list(left.columns if columns is None else columns)
+    compared = names if columns is not None else [*names, *(c for c in right.columns if c not in mine)]
+    differing = [c for c in compared if c not in mine or mine[c] != theirs.get(c)]
+    if differing:
+        shown = ", ".join(f"{c} ({mine.get(c, 'missing')} / {theirs.get(c, 'missing')})" for c in differing)
+        raise ValueError(f"the sides differ in columns, name those to compare: {shown}")
+    return names
 
 
-def row_diff(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def row_diff(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+    sketch_rows: int = sketch.MOST,
+) -> DataFrame:
     """Rows of the multiset difference in both directions with their surplus: ``side, copies, <columns>``.
 
-    With ``by`` the sides are first compared per group, which shuffles no rows, and only rows of differing
-    groups are diffed. Of these only 128-bit row hashes are counted, and whole rows are grouped where the counts
-    differ. Map and variant columns come out as sorted entries or text, the form in which they can be grouped.
+    Sides that differ in a column or its type are refused unless ``columns`` names what to compare; :func:`schema_diff`
+    lists such columns. Where the data have a column ``side`` or ``copies``, the added one gets an underscore.
+
+    The hashes of differing rows come from a sketch (:mod:`~concord.operators.sketch`, one or two jobs when this is called),
+    which shuffles no rows; whole rows are read and grouped for these only. Above ``sketch_rows`` differing rows (0: always)
+    128-bit row hashes are counted instead. With ``by`` the sides are first compared per group, which shuffles no rows
+    either, and the hashes of rows of differing groups are counted. Map and variant columns come out as sorted entries or
+    text, the form in which they can be grouped.
     """
-    names = left.columns
+    names = _same_columns(left, right, columns)
     if by:
-        differing = partition_level_compare(left, right, by).select(*[F.col(c).alias(f"__{c}") for c in by])
-        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+        # the differing groups carry names that no column of the sides has
+        own = [free_name(f"by{i}", [*left.columns, *right.columns]) for i in range(len(by))]
+        differing = partition_level_compare(left, right, by).select(*[column(c).alias(k) for c, k in zip(by, own, strict=True)])
+        same = reduce(Column.__and__, [column(c).eqNullSafe(F.col(k)) for c, k in zip(by, own, strict=True)])
         left, right = (df.join(differing, same, "left_semi") for df in (left, right))
-    sides = []
-    for df in (left, right):
-        first, second = _hashes(df.schema, names, None)
-        sides.append(df.withColumns({"__h1": first, "__h2": second}))
-    hashes = _side_counts(*[s.select("__h1", "__h2") for s in sides], ["__h1", "__h2"])
-    differing = hashes.filter(F.col("left_n") != F.col("right_n")).select("__h1", "__h2")
-    left, right = (s.join(differing, ["__h1", "__h2"], "left_semi") for s in sides)
-    counts = _side_counts(_groupable(left, names), _groupable(right, names), names)
+    first, second = _hashes(left.schema, names, None)
+    # the columns get numbers for names, which clash with nothing and need no quotes
+    plain = [f"c{i}" for i in range(len(names))]
+    sides = [
+        df.select(first.alias("h1"), second.alias("h2"), *[c.alias(p) for c, p in zip(_groupable(df, names), plain, strict=True)])
+        for df in (left, right)
+    ]
+    hashed = [s.select("h1", "h2") for s in sides]
+    found = sketch.difference(*hashed, sketch_rows) if sketch_rows and not by else None
+    if found is not None:
+        differing = sketch.as_table(left.sparkSession, found, ("h1", "h2", "surplus")).select("h1", "h2")
+    else:
+        differing = _side_counts(*hashed, ["h1", "h2"]).filter(F.col("left_n") != F.col("right_n")).select("h1", "h2")
+    counts = _side_counts(*[s.join(differing, ["h1", "h2"], "left_semi").select(*plain) for s in sides], plain)
     surplus = F.col("left_n") - F.col("right_n")
     return counts.filter(surplus != 0).select(
-        F.when(surplus > 0, "left").otherwise("right").alias("side"), F.abs(surplus).alias("copies"), *names
+        F.when(surplus > 0, "left").otherwise("right").alias(free_name("side", names)),
+        F.abs(surplus).alias(free_name("copies", names)),
+        *[F.col(p).alias(name) for p, name in zip(plain, names, strict=True)],
     )
 
 
 def partition_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct partition tuples."""
-    return df.select(*columns).distinct()
+    return df.select(*[column(c) for c in columns]).distinct()
 
 
 def coverage_diff(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Partition tuples that only one side has: ``<columns>, present_in``."""
-    counts = _side_counts(left.select(*columns), right.select(*columns), list(columns))
+    """Partition tuples that only one side has: ``<columns>, present_in`` (with an underscore if that is a column)."""
+    plain = [f"c{i}" for i in range(len(columns))]
+    sides = [df.select(*[column(c).alias(p) for c, p in zip(columns, plain, strict=True)]) for df in (left, right)]
+    counts = _side_counts(*sides, plain)
     one_sided = (F.col("left_n") == 0) | (F.col("right_n") == 0)
     side = F.when(F.col("left_n") > 0, "left").otherwise("right")
-    return counts.filter(one_sided).select(*columns, side.alias("present_in"))
+    shown = [F.col(p).alias(c) for p, c in zip(plain, columns, strict=True)]
+    return counts.filter(one_sided).select(*shown, side.alias(free_name("present_in", columns)))
 
 
 def invariants(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
-    """``invariant, violations``: rows for which a caller's predicate is false. All checks share one scan."""
-    counts = df.agg(*[F.count_if(~check).alias(f"v{i}") for i, check in enumerate(checks.values())])
-    rows = [F.struct(F.lit(n).alias("invariant"), F.col(f"v{i}").alias("violations")) for i, n in enumerate(checks)]
-    return counts.select(F.inline(F.array(*rows)))
+    """``invariant, violations, unknown``: rows for which a caller's predicate is false, and for which it is NULL.
+
+    All checks share one scan.
+    """
+    broken = [F.count_if(~check).alias(f"v{i}") for i, check in enumerate(checks.values())]
+    unknown = [F.count_if(check.isNull()).alias(f"u{i}") for i, check in enumerate(checks.values())]
+    rows = [
+        F.struct(F.lit(n).alias("invariant"), F.col(f"v{i}").alias("violations"), F.col(f"u{i}").alias("unknown"))
+        for i, n in enumerate(checks)
+    ]
+    return df.agg(*broken, *unknown).select(F.inline(F.array(*rows)))
 
 
 # -- verdict --------------------------------------------------------------------------------------------------
@@ -453,7 +510,7 @@ def _coverage_mismatch(left: DataFrame, right: DataFrame, columns: Sequence[str]
             rows, "ord int, check string, `column` string, left string, right string"
         )
     diff = coverage_diff(left, right, columns)
-    only = lambda side: F.count_if(F.col("present_in") == side)
+    only = lambda side: F.count_if(F.col(free_name("present_in", columns)) == side)
     return (
         diff.agg(only("left").alias("l"), only("right").alias("r"))
         .filter("l + r > 0")

@@ -280,7 +280,8 @@ _INVARIANTS = {
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{name}' AS invariant, count(*) FILTER (WHERE NOT ({rule})) AS violations FROM lineitem"
+        f"SELECT '{name}' AS invariant, count(*) FILTER (WHERE NOT ({rule})) AS violations, "
+        f"count(*) FILTER (WHERE ({rule}) IS NULL) AS unknown FROM lineitem"
         for name, rule in _INVARIANTS.items()
     )
 )
@@ -292,9 +293,10 @@ _NET = "l_extendedprice * (1 - l_discount)"
 
 
 @query(
-    f"""SELECT 'net below gross' AS invariant, count(*) FILTER (WHERE NOT ({_NET} <= l_extendedprice)) AS violations
+    f"""SELECT 'net below gross' AS invariant, count(*) FILTER (WHERE NOT ({_NET} <= l_extendedprice)) AS violations,
+        count(*) FILTER (WHERE {_NET} IS NULL) AS unknown
     FROM lineitem UNION ALL
-    SELECT 'net above 1000', count(*) FILTER (WHERE NOT ({_NET} > 1000)) FROM lineitem"""
+    SELECT 'net above 1000', count(*) FILTER (WHERE NOT ({_NET} > 1000)), count(*) FILTER (WHERE {_NET} IS NULL) FROM lineitem"""
 )
 def user_transform_invariants(spark, d):
     def with_net(df):
