@@ -7,6 +7,7 @@ row-level operators below it (one shuffle of partial counts for both sides toget
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -182,18 +183,53 @@ def _column_groups(fields: list[T.StructField]) -> list[list[T.StructField]]:
 
 
 def _profile(df: DataFrame, fields: list[T.StructField], round_floats: int | None, with_fingerprint: bool) -> DataFrame:
+    return joined_parts(profile_parts(df, fields, round_floats, with_fingerprint), fields, with_fingerprint)
+
+
+def profile_parts(
+    df: DataFrame,
+    fields: list[T.StructField],
+    round_floats: int | None = None,
+    with_fingerprint: bool = True,
+    keys: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The sums, minima and maxima behind a profile, of all rows or per ``keys``; :func:`merged_parts` adds them up."""
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(fields):
         aggregates += _column_aggregates(i, field)
-    digest = F.lit(None).cast("string")
+    named = [c.alias(n) for n, c in (keys or {}).items()]
     if with_fingerprint:
         first, second = _hashes(df.schema, None, round_floats)
-        df = df.select(*[column(f.name) for f in fields], first.alias("__h1"), second.alias("__h2"))
+        df = df.select(*named, *[column(f.name) for f in fields], first.alias("__h1"), second.alias("__h2"))
         aggregates += _hash_aggregates("", "__h1", "__h2")
-        digest = F.expr(_digest("", "rows"))
+    elif named:
+        df = df.select(*named, *[column(f.name) for f in fields])
+    return df.groupBy(*(keys or ())).agg(*aggregates)
+
+
+def merged_parts(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Parts of disjoint sets of rows as the part of all of them; without any part, that of no rows."""
+    counts = lambda name: name == "rows" or name.endswith(("_nulls", "_wide"))
+    aggregates = []
+    for name in parts.columns:
+        if name in keys or not (name == "rows" or re.fullmatch(r"(c\d+_|h[12]_).*", name)):
+            continue
+        if name.endswith(("_min", "_max")):
+            aggregates.append((F.min if name.endswith("_min") else F.max)(name).alias(name))
+        else:
+            total = F.sum(name)
+            aggregates.append((F.coalesce(total, F.lit(0)) if counts(name) else total).alias(name))
+    return parts.groupBy(*keys).agg(*aggregates)
+
+
+def joined_parts(
+    parts: DataFrame, fields: list[T.StructField], with_fingerprint: bool = True, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Profiles ``rows, columns, fingerprint`` from parts."""
+    digest = F.expr(_digest("", "rows")) if with_fingerprint else F.lit(None).cast("string")
     profiles = ", ".join(_column_profile(i, f) for i, f in enumerate(fields))
-    return df.agg(*aggregates).select(
-        "rows", F.expr(f"CAST(array({profiles}) AS {_COLUMNS}) AS columns"), digest.alias("fingerprint")
+    return parts.select(
+        *keys, "rows", F.expr(f"CAST(array({profiles}) AS {_COLUMNS}) AS columns"), digest.alias("fingerprint")
     )
 
 
@@ -468,6 +504,14 @@ def _missing(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in df.columns]
 
 
+def profile_detail(left: DataFrame, right: DataFrame, rtol: float = 1e-9) -> DataFrame:
+    """``ord, check, column, left, right``: the mismatches of two tables of one profile row."""
+    side = lambda df, name: df.select(F.lit(name).alias("side"), F.struct("*").alias("p"))
+    pick = lambda name: F.any_value(F.when(F.col("side") == name, F.col("p")), F.lit(True)).alias(name)
+    pair = side(left, "l").unionByName(side(right, "r")).agg(pick("l"), pick("r"))
+    return pair.select(F.inline(profile_mismatches(F.col("l"), F.col("r"), rtol)))
+
+
 def compare_detail(
     left: DataFrame,
     right: DataFrame,
@@ -477,12 +521,7 @@ def compare_detail(
     rtol: float = 1e-9,
 ) -> DataFrame:
     """Long form of the comparison: ``ord, check, column, left, right``, one row per mismatch."""
-    side = lambda df, name: df.transform(profile_row, round_floats).select(
-        F.lit(name).alias("side"), F.struct("*").alias("p")
-    )
-    pick = lambda name: F.any_value(F.when(F.col("side") == name, F.col("p")), F.lit(True)).alias(name)
-    pair = side(left, "l").unionByName(side(right, "r")).agg(pick("l"), pick("r"))
-    detail = pair.select(F.inline(profile_mismatches(F.col("l"), F.col("r"), rtol)))
+    detail = profile_detail(profile_row(left, round_floats), profile_row(right, round_floats), rtol)
     extra: list[DataFrame] = []
     if partition_columns:
         extra.append(_coverage_mismatch(left, right, partition_columns))

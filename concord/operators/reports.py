@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from concord.functions import messages as M
 from concord.functions.state import TERMINAL_STATES
 from concord.functions.uri import storage_protocol
-from concord.operators.compare import compare_tables, mismatch_text, profile_mismatches, profile_row
+from concord.operators.compare import compare_tables, joined_parts, merged_parts, mismatch_text, profile_mismatches, profile_row
+from concord.operators.ledger import file_parts, ordered_fields
 from concord.session import scratch
 from concord.sources.datasets import scan
 
@@ -282,52 +287,153 @@ PROFILE = (
     "kind string, uri string, p struct<rows:bigint,columns:array<struct<name:string,type:string,numeric:boolean,"
     "nulls:bigint,sum:string,min:string,max:string,wide_rows:bigint,wide_sum:double>>,fingerprint:string>"
 )
+#: Locations profiled one by one in one plan.
 LOCATIONS_PER_PLAN = 32
+#: Locations whose schema is looked up at the same time.
+LOOKUPS = 16
 
 
-def profile_locations(spark: SparkSession, legs: DataFrame, read: Callable[[str, str], DataFrame]) -> DataFrame:
+def _file_form(path: str) -> str:
+    """A path as the scan reports it."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _groups(located: list[tuple[str, str]], read: Callable[[str, str], DataFrame]) -> tuple[dict, list]:
+    """(schema -> uri -> its files, locations to be read alone): flat folders of files can share a scan."""
+
+    def look(location: tuple[str, str]) -> tuple[str, list[str]]:
+        df = read(*location)
+        return df.schema.json(), [_file_form(f) for f in df.inputFiles()] if location[0] == "path" else []
+
+    with ThreadPoolExecutor(LOOKUPS) as pool:
+        found = list(pool.map(look, located))
+    shared: dict[str, dict[str, list[str]]] = {}
+    alone = []
+    for (kind, uri), (schema, files) in zip(located, found, strict=True):
+        # columns that are folder names (key=value) belong to one root only
+        if files and not any("=" in f.rsplit("/", 1)[0] for f in files):
+            shared.setdefault(schema, {})[uri] = files
+        else:
+            alone.append((kind, uri))
+    return shared, alone
+
+
+def _roots(uris: dict[str, list[str]]) -> list[str]:
+    """Locations that hold all files between them, each once."""
+    roots, seen = [], set()
+    for uri in sorted(uris, key=lambda u: -len(uris[u])):
+        if not seen.issuperset(uris[uri]):
+            roots.append(uri)
+            seen.update(uris[uri])
+    return roots
+
+
+def profile_locations(
+    spark: SparkSession,
+    legs: DataFrame,
+    read: Callable[[str, str], DataFrame],
+    read_files: Callable[[list[str], T.StructType], DataFrame] | None = None,
+) -> DataFrame:
     """``kind, uri, p``: one profile per distinct location of the ready legs. Each location is read once.
 
-    The driver holds the locations of the request, as it held the run ids. However many there are, one plan profiles
-    at most :data:`LOCATIONS_PER_PLAN` of them; the profiles, a row each, are written and read back.
+    ``read`` opens a location. With ``read_files``, which reads several folders of one schema, locations of the same schema
+    are one scan, profiled by file, and a location's files are added up; tables and folders with partition columns are
+    profiled one by one. The driver holds the locations of the request and the paths of their files, as their scans do.
+    The profiles, a row each, are written and read back.
     """
-    located = [tuple(r) for r in legs.filter("reason IS NULL").select("kind", "uri").distinct().collect()]
+    located = sorted(tuple(r) for r in legs.filter("reason IS NULL").select("kind", "uri").distinct().collect())
     path = scratch(spark, "profiles")
     spark.createDataFrame([], PROFILE).write.parquet(path)
-    for start in range(0, len(located), LOCATIONS_PER_PLAN):
+    shared, alone = _groups(located, read) if read_files else ({}, located)
+    for text, uris in shared.items():
+        schema = T.StructType.fromJson(json.loads(text))
+        held = [(uri, f) for uri, files in uris.items() for f in files]
+        of_file = spark.createDataFrame(pa.table({"uri": [u for u, _ in held], "file": [f for _, f in held]}))
+        parts = file_parts(read_files(_roots(uris), schema))
+        per_uri = merged_parts(of_file.join(parts, "file", "left"), ["uri"])
+        profiles = joined_parts(per_uri, ordered_fields(schema), keys=["uri"])
+        row = F.struct("rows", "columns", "fingerprint").alias("p")
+        profiles.select(F.lit("path").alias("kind"), "uri", row).write.mode("append").parquet(path)
+    for start in range(0, len(alone), LOCATIONS_PER_PLAN):
         profiles = [
             profile_row(read(kind, uri)).select(F.lit(kind).alias("kind"), F.lit(uri).alias("uri"), F.struct("*").alias("p"))
-            for kind, uri in located[start : start + LOCATIONS_PER_PLAN]
+            for kind, uri in alone[start : start + LOCATIONS_PER_PLAN]
         ]
         reduce(DataFrame.unionByName, profiles).write.mode("append").parquet(path)
     return spark.read.schema(PROFILE).parquet(path)
 
 
-def compare_runs(
-    legs: DataFrame, pairs: DataFrame, profiles: DataFrame, rtol: float = 1e-9
-) -> DataFrame:
-    """``pair, left_environment, right_environment, status, mismatches`` for the requested pairs.
+# -- classes of equal outputs -----------------------------------------------------------------------------
+
+
+def run_classes(legs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Add ``class`` to the legs: the position of the first run with the same schema and content; NULL if it cannot be read."""
+    shape = F.transform(F.col("p.columns"), lambda c: F.struct(c["name"], c["type"]))
+    content = F.when(F.col("p").isNotNull(), F.struct(F.to_json(shape).alias("shape"), F.col("p.fingerprint").alias("rows")))
+    known = legs.join(profiles, ["kind", "uri"], "left").select(*legs.columns, content.alias("content"))
+    first = known.where("content IS NOT NULL").groupBy("content").agg(F.min("position").alias("class"))
+    return known.join(first, "content", "left").drop("content").select(*legs.columns, "class")
+
+
+def class_differences(classes: DataFrame, profiles: DataFrame, rtol: float = 1e-9) -> DataFrame:
+    """``left_class, right_class, mismatches``: what tells two classes apart, from a profile of each.
+
+    A row for each pair of classes, the one that was requested first on the left, however many runs there are in them.
+    """
+    firsts = classes.where(F.col("class") == F.col("position")).join(profiles, ["kind", "uri"])
+    side = lambda s: firsts.select(F.col("class").alias(f"{s}_class"), F.col("p").alias(f"{s}_p"))
+    # every class is compared with the classes after it: its position is listed for each of them
+    positions = firsts.agg(F.sort_array(F.collect_list("class")).alias("all"))
+    pairs = positions.select(F.explode("all").alias("left_class"), "all").select(
+        "left_class", F.explode(F.filter("all", lambda c: c > F.col("left_class"))).alias("right_class")
+    )
+    found = F.transform(profile_mismatches(F.col("left_p"), F.col("right_p"), rtol), mismatch_text)
+    return pairs.join(side("left"), "left_class").join(side("right"), "right_class").select(
+        "left_class", "right_class", found.alias("mismatches")
+    )
+
+
+def compare_runs(legs: DataFrame, pairs: DataFrame, profiles: DataFrame, rtol: float = 1e-9) -> DataFrame:
+    """:func:`pair_report` from legs and profiles."""
+    classes = run_classes(legs, profiles)
+    return pair_report(pairs, classes, class_differences(classes, profiles, rtol))
+
+
+def pair_report(pairs: DataFrame, classes: DataFrame, differences: DataFrame) -> DataFrame:
+    """``pair, left_environment, right_environment, status, mismatches`` for the given pairs of positions.
 
-    Datasets were profiled once each, so n runs cost n scans; the pair step only joins profile rows.
+    A pair looks its answer up: runs of one class agree, others differ as their classes do.
     """
-    joined = legs.join(profiles, ["kind", "uri"], "left")
-    side = lambda s: joined.select(
+    side = lambda s: classes.select(
         F.col("position").alias(f"{s}_position"),
         F.col("environment_name").alias(f"{s}_environment"),
         F.col("reason").alias(f"{s}_reason"),
-        F.col("p").alias(f"{s}_p"),
+        F.col("class").alias(f"{s}_class"),
     )
     compared = pairs.join(side("left"), "left_position").join(side("right"), "right_position")
-    found = F.transform(profile_mismatches(F.col("left_p"), F.col("right_p"), rtol), mismatch_text)
+    # class numbers are positions, so either order of a pair finds the one row of its classes
+    ends = differences.select(
+        F.col("left_class").alias("low"), F.col("right_class").alias("high"), F.col("mismatches").alias("found")
+    )
+    both = (F.least("left_class", "right_class") == F.col("low")) & (F.greatest("left_class", "right_class") == F.col("high"))
     blocked = F.coalesce("left_reason", "right_reason")
-    compared = compared.withColumn("__m", F.when(blocked.isNotNull(), F.array(blocked)).otherwise(found))
-    status = F.when(blocked.isNotNull(), "BLOCKED").when(F.size("__m") == 0, "PASS").otherwise("FAIL")
-    return compared.select(
-        "pair", "left_environment", "right_environment", status.alias("status"), F.col("__m").alias("mismatches")
+    found = F.coalesce("found", F.array().cast("array<string>"))
+    mismatches = F.when(blocked.isNotNull(), F.array(blocked)).otherwise(found)
+    status = F.when(blocked.isNotNull(), "BLOCKED").when(F.size(found) == 0, "PASS").otherwise("FAIL")
+    return compared.join(ends, both, "left").select(
+        "pair", "left_environment", "right_environment", status.alias("status"), mismatches.alias("mismatches")
     )
 
 
-def conformance_report(
+@dataclass(frozen=True)
+class Conformance:
+    """What a request found out: ``runs`` (a row per run with its class), ``differences`` (a row per pair of classes)."""
+
+    runs: DataFrame
+    differences: DataFrame
+
+
+def conformance_classes(
     spark: SparkSession,
     run_ids: Sequence[str],
     runs: DataFrame,
@@ -335,20 +441,54 @@ def conformance_report(
     bindings: DataFrame,
     output: str | None = None,
     format: str = "parquet",
-) -> DataFrame:
-    """Compare the outputs of the named runs pair by pair: from run ids to PASS / FAIL / BLOCKED rows.
+    rtol: float = 1e-9,
+) -> Conformance:
+    """The outputs of the named runs by class: linear in the runs, whose outputs are read once each.
 
     ``definitions`` hold parsed workload documents; tables are read by the identifier in ``bindings``.
     """
-    pairs = run_pairs(spark, run_ids)
     # as an Arrow table its size is known to the optimizer, which then broadcasts a short list by itself
     positions = pa.array(range(len(run_ids)), pa.int32())
     requested = spark.createDataFrame(pa.table({"position": positions, "run_id": pa.array(run_ids, pa.string())}))
-    path = scratch(spark, "legs")  # read for the locations and for the pairs
+    path = scratch(spark, "legs")  # read for the locations and for the classes
     resolve_legs(requested, runs, definitions, bindings, output).write.parquet(path)
     legs = spark.read.parquet(path)
-    profiles = profile_locations(spark, legs, lambda kind, location: scan(spark, kind, location, format))
-    return compare_runs(legs, pairs, profiles)
+    profiles = profile_locations(
+        spark,
+        legs,
+        lambda kind, location: scan(spark, kind, location, format),
+        lambda locations, schema: spark.read.format(format).schema(schema).option("header", format == "csv").load(locations),
+    )
+    stored = scratch(spark, "classes")  # read for the runs, their pairs and the differences
+    run_classes(legs, profiles).write.parquet(stored)
+    classes = spark.read.parquet(stored)
+    return Conformance(classes, class_differences(classes, profiles, rtol))
+
+
+def conformance_report(
+    spark: SparkSession,
+    run_ids: Sequence[str],
+    runs: DataFrame,
+    definitions: DataFrame,
+    bindings: DataFrame,
+    output: str | None = None,
+    format: str = "parquet",
+    pairs: Sequence[tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Compare the outputs of the named runs pair by pair: from run ids to PASS / FAIL / BLOCKED rows.
+
+    ``pairs`` names the positions to compare with each other; by default every run is compared with all after it. Lists
+    of mismatches are made once for each pair of classes (:func:`conformance_classes`), which alone is linear in the runs.
+    """
+    found = conformance_classes(spark, run_ids, runs, definitions, bindings, output, format)
+    if pairs is None:
+        wanted = run_pairs(spark, run_ids)
+    else:
+        columns = [range(len(pairs)), [left for left, _ in pairs], [right for _, right in pairs]]
+        names = ("pair", "left_position", "right_position")
+        types = (pa.int64(), pa.int32(), pa.int32())
+        wanted = spark.createDataFrame(pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}))
+    return pair_report(wanted, found.runs, found.differences)
 
 
 def compare_semantic(

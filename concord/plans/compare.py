@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.operators import compare as C
+from concord.operators import ledger as L
 from concord.operators import reports as R
 from concord.plans.registry import cents, query, table
 from concord.session import scratch
@@ -231,8 +232,12 @@ _CUT = "1998-01-01"
     )
 )
 def snapshot_compare(spark, d):
-    orders = table(spark, d, "orders")
-    return _without_digests(C.compare_detail(orders.filter(f"o_orderdate < timestamp_ntz '{_CUT}'"), orders))
+    """The second version appends to the first one; only what it has added is read for it."""
+    orders, location = table(spark, d, "orders"), scratch(spark, "versions")
+    S.sink(orders.filter(f"o_orderdate < timestamp_ntz '{_CUT}'"), "path", location)
+    before = L.ledger(spark, location)
+    S.sink(orders.filter(f"o_orderdate >= timestamp_ntz '{_CUT}' OR o_orderdate IS NULL"), "path", location, "append")
+    return _without_digests(L.snapshot_compare(before, L.ledger(spark, location, before)))
 
 
 @query(
@@ -492,7 +497,9 @@ def conformance_report(spark, d):
 def equivalence_classes(spark, d):
     requested = spark.createDataFrame(list(enumerate(_RUN_IDS)), "position int, run_id string")
     legs = R.resolve_legs(requested, *_written_runs(spark, d))
-    profiles = R.profile_locations(spark, legs, lambda kind, uri: S.scan(spark, kind, uri))
+    profiles = R.profile_locations(
+        spark, legs, lambda kind, uri: S.scan(spark, kind, uri), lambda uris, schema: spark.read.schema(schema).parquet(*uris)
+    )
     named = legs.join(profiles, ["kind", "uri"])
     return R.equivalence_classes(named, ["environment_name"]).select(
         "environment_name", F.col("class.environment_name").alias("class"), "members"
