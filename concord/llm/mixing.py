@@ -6,9 +6,12 @@ cannot take goes to its siblings by their weights, and only what all of them can
 siblings. Since a subtree's capacity is known before the budget reaches it, one pass down the tree does both.
 
 Each leaf reads its documents in epochs. The order within an epoch is that of a hash of seed, epoch and doc_id; whole
-epochs are taken as long as the budget lasts, then the longest prefix of the next one that fits the rest. Prefixes are
-found without sorting a leaf: tokens are summed per bucket of the hash, the bucket in which the budget ends is known
-from these sums, and only its documents are put in order.
+epochs are taken as long as the budget lasts, then a prefix of the next one. It ends before or behind the document in which
+the budget ends, whichever is nearer to it (before, if both are as near); a leaf that would get nothing that way gets that
+document, so no leaf with a target stays empty and none misses its target by more than a document.
+
+Prefixes are found without sorting a leaf: tokens are summed per bucket of the hash, the bucket in which the budget ends is
+known from these sums, and its documents are summed per smaller bucket in the same way, until a bucket is 2^-32 of a leaf.
 
 Null parts of a path form a node of their own, with the same rules. Documents without tokens (null or empty) are taken
 with the epoch they stand in. Rows that share a doc_id in a leaf stand at one place in the order and are taken together;
@@ -26,8 +29,9 @@ from concord.llm.base import as_row, join_null_safe, prepared, unrow, written
 LEVELS = ("domain", "lang", "source")
 SEED = 17
 MAX_EPOCHS = 2
-BUCKET_BITS = 12
-#: 15 hex digits of the hash are a number below this.
+BUCKET_BITS = 8
+BUCKET_ROUNDS = 4
+#: A place has this many hex digits of the hash.
 ORDER_DIGITS = 15
 
 
@@ -146,29 +150,8 @@ def plan(
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")),
         "mixing-leaves",
     )
-    # the epoch that is cut: tokens per bucket of its places show in which bucket the rest ends
     cut = planned.where((F.col("epochs") < max_epochs) & (F.col("rest") > 0)).select(*path, "epochs", "rest")
-    at = place(F.col("doc_id"), F.col("epochs"), seed)
-    placed = (
-        join_null_safe(narrow, cut, path)
-        .select(*path, "tokens", "rest", at.alias("place"))
-        .withColumn("bucket", F.shiftright("place", 4 * ORDER_DIGITS - BUCKET_BITS))
-    )
-    sums = placed.groupBy(*path, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy(*path).orderBy("bucket"))
-    last = (
-        sums.withColumn("before", upto - F.col("tokens"))
-        .where("before <= rest AND before + tokens > rest")
-        .select(*path, "bucket", (F.col("rest") - F.col("before")).alias("left"))
-    )
-    # in that bucket alone: the first place that no longer fits, equal places together
-    inner = (
-        join_null_safe(placed.drop("rest"), last, [*path, "bucket"])
-        .groupBy(*path, "left", "place")
-        .agg(F.sum("tokens").alias("tokens"))
-        .withColumn("upto", F.sum("tokens").over(Window.partitionBy(*path).orderBy("place")))
-    )
-    ends = inner.where("upto > left").groupBy(*path).agg(F.min("place").alias("end"))
+    ends = _ends(narrow, cut, path, seed)
     leaves = join_null_safe(planned, ends, path, "left")
     return narrow, written(
         leaves.select(*path, "tokens", "target", "epochs", F.coalesce("end", F.lit(0).cast("bigint")).alias("end")),
@@ -176,6 +159,35 @@ def plan(
     )
 
 
+def _ends(narrow: DataFrame, cut: DataFrame, path: list[str], seed: int) -> DataFrame:
+    """The place (exclusive) at which the prefix of each leaf of ``cut`` ends: path, end."""
+    at = place(F.col("doc_id"), F.col("epochs"), seed)
+    rows = join_null_safe(narrow, cut, path).select(*path, "tokens", "epochs", "rest", at.alias("place"))
+    rows = rows.withColumn("left", F.col("rest"))
+    for round_ in range(1, BUCKET_ROUNDS + 1):
+        bucketed = rows.withColumn("bucket", F.shiftright("place", 4 * ORDER_DIGITS - BUCKET_BITS * round_))
+        sums = bucketed.groupBy(*path, "left", "bucket").agg(F.sum("tokens").alias("tokens"))
+        upto = F.sum("tokens").over(Window.partitionBy(*path).orderBy("bucket"))  # at most 2^BUCKET_BITS rows
+        last = (
+            sums.withColumn("before", upto - F.col("tokens"))
+            .where("before <= left AND before + tokens > left")
+            .select(*path, "bucket", (F.col("left") - F.col("before")).alias("left"))
+        )
+        rows = join_null_safe(bucketed.drop("left"), last, [*path, "bucket"]).drop("bucket")
+        if round_ == 1:
+            rows = written(rows, "mixing-cut")  # a small part of the documents, which the other rounds read
+    inner = (
+        rows.groupBy(*path, "epochs", "rest", "left", "place")
+        .agg(F.sum("tokens").alias("tokens"))
+        .withColumn("upto", F.sum("tokens").over(Window.partitionBy(*path).orderBy("place")))
+    )
+    crossing = F.min(F.struct("place", "upto", "tokens", "epochs", "rest", "left")).alias("c")
+    over, under = F.expr("c.upto - c.left"), F.expr("c.left - (c.upto - c.tokens)")
+    nothing = F.expr("c.epochs = 0") & (under == F.col("c.rest"))
+    end = F.col("c.place") + ((over < under) | nothing).cast("bigint")
+    return inner.where("upto > left").groupBy(*path).agg(crossing).select(*path, end.alias("end"))
+
+
 def _taken(rows: DataFrame, leaves: DataFrame, levels: list[str], seed: int, max_epochs: int) -> DataFrame:
     """``rows`` (doc_id, level columns and others) once per epoch that takes them, with ``epoch``."""
     inside = F.col("epoch") < F.col("epochs")

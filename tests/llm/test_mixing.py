@@ -75,10 +75,11 @@ def plain(docs, weights, share, seed, epochs):
                 tokens[place(d, whole, seed)] += t
             seen, end = 0, None
             for at in sorted(tokens):
-                seen += tokens[at]
-                if seen > rest:
-                    end = at
+                if seen + tokens[at] > rest:
+                    nearer = seen + tokens[at] - rest < rest - seen
+                    end = at + (nearer or (not whole and not seen))
                     break
+                seen += tokens[at]
             out.update((d, path, whole) for d, _ in own if place(d, whole, seed) < end)
     return out
 
@@ -119,6 +120,18 @@ def test_random_trees(spark, seed):
     assert found == Counter({(d, "/".join(x or "null" for x in p), e): n for (d, p, e), n in expected.items()})
 
 
+def test_no_leaf_with_a_target_stays_empty(spark):
+    none = spark.createDataFrame([], "path array<string>, weight double")
+    for seed in range(8):
+        docs = [(1, "x", "t" * 4000), (2, "x", "t" * 40), (3, "x", "t" * 40), (4, "x", "t" * 400), (5, "y", "t" * 8000), (6, "y", "t" * 4)]
+        df = spark.createDataFrame(docs, "doc_id bigint, a string, text string")
+        rows = mixing.mixed(df, [F.col("a")], none, 0.1, seed, 1).collect()
+        assert Counter((r.doc_id, r.leaf, r.epoch) for r in rows) == Counter(
+            {(d, p[0], e): n for (d, p, e), n in plain([(d, (a,), estimate(t)) for d, a, t in docs], {}, 0.1, seed, 1).items()}
+        )
+        assert {r.leaf for r in rows} == {"x", "y"}
+
+
 def test_shortage_goes_to_siblings_before_ancestors(spark):
     nodes = [(("web", "en"), 100), (("web", "de"), 1000), (("ref", "en"), 5000)]
     found = tree_targets(dict(nodes), {}, 1600, 1)
