@@ -1,12 +1,13 @@
 """Document fingerprints by context-triggered piecewise hashing, and their likeness.
 
 A rolling hash over the last ``WINDOW`` bytes ends a chunk wherever its value is one less than a multiple of the block
-size. Each chunk gives two base-64 digits of its checksum; of a run of like chunks, as periodic text makes them, only
-the first three count. A fingerprint is the block size and the chunks at that size
-and at its ``LEVELS - 1`` doublings, joined by colons. The block size is the smallest of 3, 6, 12, ... at which a text
-has at most ``MOST_CHUNKS`` chunks, so the last chunk always reaches the text's end and a fingerprint stays short. Two
-fingerprints are compared at the smallest block size that both have. Likeness is one less the edit distance (over
-chunks) divided by the longer length.
+size. Each chunk gives two base-64 digits of its checksum. A run of equal chunks one behind the other (equal in all their
+bytes), as periodic text makes them, gives the two digits of the chunk and two of a checksum of chunk and number. A
+fingerprint is the block size and these digits at that size and at its ``LEVELS - 1`` doublings, joined by colons. The block
+size is the smallest of 3, 6, 12, ... at which a text has fewer than ``MOST_CHUNKS`` pairs of digits up to its last boundary;
+what is behind that is a chunk as well, so a fingerprint speaks of the whole text and stays short. Two fingerprints are
+compared at the smallest block size that both have. Likeness is one less the edit distance (over pairs of digits) divided by
+the longer length.
 
 Null texts count as empty; an empty text has fingerprint ``3`` and ``LEVELS`` colons. Equal fingerprints have likeness 1, fingerprints
 without a common block size 0. An empty table gives an empty result; columns other than doc_id and text are not read.
@@ -30,7 +31,6 @@ WINDOW = 7
 SMALLEST = 3
 MOST_CHUNKS = 64
 LEVELS = 4
-MOST_REPEATS = 3
 #: Characters of a text that place it among rows of one id; range borders are sampled on the driver, so keys stay short.
 KEY_CHARS = 16
 DIGITS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
@@ -52,29 +52,60 @@ def rolling(data: bytes) -> np.ndarray:
     return out
 
 
-def _kept(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the chunks that end at ``at`` count: of a run of chunks of one length and end, the first ``MOST_REPEATS``.
+#: Base of the checksums by which neighbouring chunks are found equal, and its inverse.
+BASE = 0xD1342543DE82EF95
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
-    Periodic text has such runs, of any length; without them its block size would grow until nothing is left to compare.
-    """
-    ends, lengths = hashes[at], np.diff(at, prepend=-1)
-    same = np.zeros(len(at), bool)
-    same[1:] = (ends[1:] == ends[:-1]) & (lengths[1:] == lengths[:-1])
-    drop = same.copy()
-    for back in range(1, MOST_REPEATS):
-        drop[back:] &= same[:-back]
-        drop[:back] = False
-    return ~drop
-
-
-def _chunks(data: bytes, hashes: np.ndarray, at: np.ndarray) -> str:
-    view, start, out = memoryview(data), 0, []
-    for end, kept in zip((at + 1).tolist(), _kept(hashes, at).tolist(), strict=True):
-        if kept:
-            out.append(PAIRS[zlib.crc32(view[start:end]) & 4095])
-        start = end
-    if start < len(data):
-        out.append(PAIRS[zlib.crc32(view[start:]) & 4095])
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
+#: Powers for texts of up to this many bytes are kept.
+KEPT_POWERS = 1 << 16
+_POWERS = [_powers(b, KEPT_POWERS) for b in (BASE, BASE_INVERSE)]
+
+
+class _Sums:
+    """Checksums of any stretch of a text's bytes, from sums of the bytes before each place."""
+
+    def __init__(self, data: bytes):
+        n = len(data)
+        powers, self.inverse = _POWERS if n <= KEPT_POWERS else [_powers(b, n) for b in (BASE, BASE_INVERSE)]
+        codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+        self.before = np.append(np.uint64(0), np.cumsum(codes * powers[:n], dtype=np.uint64))
+
+    def repeated(self, at: np.ndarray) -> np.ndarray:
+        """Whether each of the chunks that end at ``at`` equals the one before it."""
+        ends = at + 1
+        starts = np.append(0, ends)[:-1]
+        sums = (self.before[ends] - self.before[starts]) * self.inverse[starts]
+        lengths = ends - starts
+        same = np.zeros(len(at), bool)
+        same[1:] = (sums[1:] == sums[:-1]) & (lengths[1:] == lengths[:-1])
+        return same
+
+
+def _units(same: np.ndarray) -> int:
+    """Pairs of digits that chunks give: one, and one more for a run of equal ones."""
+    return int(np.count_nonzero(~same) + np.count_nonzero(same[1:] & ~same[:-1]))
+
+
+def _chunks(data: bytes, sums: _Sums, at: np.ndarray) -> str:
+    view, same = memoryview(data), sums.repeated(at)
+    heads = np.flatnonzero(~same)
+    ends = (at[heads] + 1).tolist()
+    starts = np.append(0, at + 1)[heads].tolist()
+    runs = np.diff(np.append(heads, len(at))).tolist()
+    out = []
+    for start, end, run in zip(starts, ends, runs, strict=True):
+        checksum = zlib.crc32(view[start:end])
+        out.append(PAIRS[checksum & 4095])
+        if run > 1:
+            out.append(PAIRS[zlib.crc32(b"%d" % run, checksum) & 4095])
+    rest = int(at[-1]) + 1 if len(at) else 0
+    if rest < len(data):
+        out.append(PAIRS[zlib.crc32(view[rest:]) & 4095])
     return "".join(out)
 
 
@@ -87,13 +118,14 @@ def signature(text: str | None) -> str:
     hashes = rolling(data)
     # boundaries of a block size hold those of its doublings, as 3 * 2^k - 1 is one less than a multiple of 3 * 2^(k-1)
     at = np.flatnonzero(hashes % np.uint32(size) == size - 1)
-    while len(at) >= MOST_CHUNKS and np.count_nonzero(_kept(hashes, at)) >= MOST_CHUNKS:
+    sums = _Sums(data)
+    while len(at) >= MOST_CHUNKS and _units(sums.repeated(at)) >= MOST_CHUNKS:
         size *= 2
         at = _at(hashes, at, size)
     signatures = []
     for level in range(LEVELS):
         at = _at(hashes, at, size << level)
-        signatures.append(_chunks(data, hashes, at))
+        signatures.append(_chunks(data, sums, at))
     return ":".join([str(size), *signatures])
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import zlib
 
 from hypothesis import given, settings, strategies as st
@@ -22,14 +24,17 @@ def plain_signature(text):
         hashes.append(h ^ h >> 13)
 
     def chunks(size, rest=True):
-        out, start, run = [], 0, []
+        pieces, start = [], 0
         for k, h in enumerate(hashes):
             if h % size == size - 1:
-                kind = (h, k + 1 - start)
-                run = [*run, kind] if run and run[-1] == kind else [kind]
-                if len(run) <= 3:
-                    out.append(ctph.PAIRS[zlib.crc32(data[start : k + 1]) % 4096])
+                pieces.append(data[start : k + 1])
                 start = k + 1
+        out = []
+        for piece, run in itertools.groupby(pieces):
+            n, checksum = len(list(run)), zlib.crc32(piece)
+            out.append(ctph.PAIRS[checksum % 4096])
+            if n > 1:
+                out.append(ctph.PAIRS[zlib.crc32(str(n).encode(), checksum) % 4096])
         if rest and start < len(data):
             out.append(ctph.PAIRS[zlib.crc32(data[start:]) % 4096])
         return out
@@ -74,6 +79,20 @@ def test_likeness():
     assert ctph.likeness(ctph.signature(periodic), ctph.signature("Retionly " * 500 + periodic)) > 0.8
 
 
+def test_lines_of_two_forms_are_told_apart():
+    some = random.Random(5)
+    for _ in range(400):
+        tail = "".join(some.choices("abcdefghijklmnopqrstuvwxyz 0123456789", k=20))
+        one, two = ("".join(some.choice(["yes", "no "]) + tail + "\n" for _ in range(600)) for _ in range(2))
+        assert ctph.likeness(ctph.signature(one), ctph.signature(two)) < 0.8
+
+
+def test_lengths_of_runs_count():
+    signatures = [ctph.signature("abcdefgh" * n) for n in (500, 501, 5_000)]
+    assert len(set(signatures)) == 3
+    assert len({ctph.signature("a" * n) for n in (500, 501, 5_000)}) == 3
+
+
 def expected(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     out = []
