@@ -64,9 +64,21 @@ TRUE_TEXTS = ("true", "t", "yes", "y", "on", "1")
 FALSE_TEXTS = ("false", "f", "no", "n", "off", "0")
 
 
-def top_level(json: Column) -> Column:
-    """The document's top-level keys, which tell an explicit null from a missing key."""
-    return F.from_json(json, "map<string,string>")
+#: Top-level keys that may be missing but not null.
+NOT_NULL = ("arguments", "requirements", "providerOverrides")
+
+
+def null_keys(json: Column, raw: Column) -> Column:
+    """Which of :data:`NOT_NULL` a document has with an explicit null.
+
+    Reading a document as a struct does not tell that from a missing key. It is read for its keys only where one of them is
+    NULL in ``raw`` (:func:`read_workload`) and yet written in the text, or may be with escapes.
+    """
+    written = lambda name: F.contains(json, F.lit(f'"{name}"')) | F.contains(json, F.lit("\\u"))
+    doubtful = [raw[name].isNull() & written(name) for name in NOT_NULL]
+    top = F.from_json(json, "map<string,string>")
+    found = F.filter(F.lit(list(NOT_NULL)), lambda name: F.array_contains(F.map_keys(top), name) & top[name].isNull())
+    return F.when(doubtful[0] | doubtful[1] | doubtful[2], found)
 
 
 def _whole(text: Column) -> Column:
@@ -79,7 +91,7 @@ def _truth(text: Column) -> Column:
     return F.when(lower.isin(*TRUE_TEXTS), F.lit(True)).when(lower.isin(*FALSE_TEXTS), F.lit(False))
 
 
-def _type_errors(raw: Column, top: Column | None) -> Column:
+def _type_errors(raw: Column, nulls: Column | None) -> Column:
     """What is there but not of its type. Compares each raw text with what became of it."""
     scaling = raw["resources"]["scaling"]
     numbers = {
@@ -95,9 +107,8 @@ def _type_errors(raw: Column, top: Column | None) -> Column:
         for fields, made, kind in ((numbers, _whole, "a whole number"), (flags, _truth, "true or false"))
         for name, text in fields.items()
     ]
-    if top is not None:
-        empty = lambda name: F.array_contains(F.map_keys(top), name) & top[name].isNull()
-        found += [F.when(empty(name), F.lit(f"{name} must not be null")) for name in ("arguments", "requirements", "providerOverrides")]
+    if nulls is not None:
+        found += [F.when(F.array_contains(nulls, name), F.lit(f"{name} must not be null")) for name in NOT_NULL]
 
     def unnamed(side: str) -> Column:
         entries = F.map_entries(F.coalesce(raw["datasets"][side], F.create_map().cast(_REFS)))
@@ -107,11 +118,11 @@ def _type_errors(raw: Column, top: Column | None) -> Column:
     return F.concat(F.array_compact(F.array(*found)), unnamed("inputs"), unnamed("outputs"))
 
 
-def with_defaults(raw: Column, top: Column | None = None) -> Column:
+def with_defaults(raw: Column, nulls: Column | None = None) -> Column:
     """The workload struct with defaults filled in, from a column that holds :func:`read_workload`.
 
     ``outputs`` keeps the declared order, which decides the output used when none is named. ``typeErrors`` lists what
-    could not be read as its type; ``top`` (:func:`top_level`) also finds explicit nulls.
+    could not be read as its type; ``nulls`` are the keys of :func:`null_keys`.
     """
     refs = lambda side: F.coalesce(raw["datasets"][side], F.create_map().cast(_REFS))
     number = _whole
@@ -148,7 +159,7 @@ def with_defaults(raw: Column, top: Column | None = None) -> Column:
         F.coalesce(raw["providerOverrides"], F.create_map().cast("map<string,map<string,string>>")).alias(
             "providerOverrides"
         ),
-        _type_errors(raw, top).alias("typeErrors"),
+        _type_errors(raw, nulls).alias("typeErrors"),
     )
 
 

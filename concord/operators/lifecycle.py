@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.functions.canonical import column
 from concord.functions.messages import CLAIMED
 from concord.functions.state import TERMINAL_STATES
 from concord.operators.ordered import HOT_ROWS, First, LastBefore, Previous, RunningSum, scan
@@ -74,7 +75,7 @@ def transitions(
     stored: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``previous_state``; with ``stored`` also ``consistent``: does the recorded from-state agree?"""
+    """Add ``previous_state`` (in place of a column of that name, as all operators here that add columns do); with ``stored`` also ``consistent``: does the recorded from-state agree?"""
     out = scan(events, [key], order, {"previous_state": Previous(state)}, hot_rows)
     if stored is None:
         return out
@@ -133,10 +134,13 @@ def submission_attempts(
 
     ``retryable`` is a SQL predicate that marks a retryable submission failure.
     """
-    flag = f"CASE WHEN {retryable} THEN 1L ELSE 0L END"
-    counted = scan(events, [key], order, {"attempts": RunningSum(flag)}, hot_rows)
-    return counted.filter(retryable).withColumn(
-        "next_state", F.when(F.col("attempts") >= cap, "FAILED").otherwise("ACCEPTED")
+    # the predicate may name columns that the added ones replace
+    flagged = events.withColumn("__failed", F.coalesce(F.expr(retryable), F.lit(False)))
+    counted = scan(flagged, [key], order, {"attempts": RunningSum("CAST(__failed AS BIGINT)")}, hot_rows)
+    return (
+        counted.filter("__failed")
+        .drop("__failed")
+        .withColumn("next_state", F.when(F.col("attempts") >= cap, "FAILED").otherwise("ACCEPTED"))
     )
 
 
@@ -240,8 +244,11 @@ def idempotent_first(
 
 def register_if_absent(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``existing`` plus the rows of ``new`` whose key it lacks; the first such row per key wins."""
-    fresh = first_per_key(new.join(existing.select(*keys), list(keys), "left_anti").select(*new.columns), keys, order)
-    return existing.unionByName(fresh)
+    taken = existing.select(*[column(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (column(k) == F.col(f"__k{i}"))
+    return existing.unionByName(first_per_key(new.join(taken, same, "left_anti"), keys, order))
 
 
 def full_replace_upsert(
@@ -253,11 +260,15 @@ def full_replace_upsert(
     """
     keys = list(keys)
     new = latest_per_key(new, keys, order)
-    packed = new.select(*keys, F.struct(*existing.columns).alias("__new"))
-    merged = existing.join(packed, keys, "left")
-    row = F.when(F.col("__new").isNotNull(), F.col("__new")).otherwise(F.struct(*existing.columns))
-    replaced = merged.select(row.alias("r")).select("r.*")
-    return replaced, new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+    whole = lambda: F.struct(*[column(c) for c in existing.columns])
+    packed = new.select(*[column(k).alias(f"__k{i}") for i, k in enumerate(keys)], whole().alias("__new"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (column(k) == F.col(f"__k{i}"))
+    merged = existing.join(packed, same, "left")
+    replaced = merged.select(F.coalesce(F.col("__new"), whole()).alias("r")).select("r.*")
+    taken = existing.select(*[column(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    return replaced, new.join(taken, same, "left_anti")
 
 
 def all_providers(

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from concord.functions.canonical import column
 from concord.session import scratch
 
 HOT_ROWS = 2_000_000
@@ -148,15 +149,17 @@ def scan(
 ) -> DataFrame:
     """Add one column per entry of ``specs``; rows of a key are taken in ``order``, which must be unique.
 
-    Keys are counted in a narrow scan; hot ones add a stored copy of their rows and a partial aggregate per slice.
+    A column of ``df`` that has the name of an entry gives way to it; names that begin with two underscores are kept for
+    columns of this module. Keys are counted in a narrow scan; hot ones add a stored copy of their rows and a partial aggregate per slice.
     Spec expressions are SQL text over the columns of ``df``.
     """
     sliced, heavy, by = _sliced(df, list(keys), list(order), hot_rows)
+    kept = [column(c) for c in df.columns if c not in specs]
     by = [*by, _SLICE]
     if heavy is None:
         window = Window.partitionBy(*by).orderBy(*order)
         scanned = sliced.select("*", *[_local(spec, window).alias(f"__l_{name}") for name, spec in specs.items()])
-        return scanned.select(*df.columns, *[_alone(spec, name).alias(name) for name, spec in specs.items()])
+        return scanned.select(*kept, *[_alone(spec, name).alias(name) for name, spec in specs.items()])
     ends = heavy.groupBy(*by).agg(
         *[_slice_end(spec, order).alias(f"__c_{name}") for name, spec in specs.items()]
     )
@@ -165,5 +168,5 @@ def scan(
     window = Window.partitionBy(*by).orderBy(*order)
     scanned = sliced.select("*", *[_local(spec, window).alias(f"__l_{name}") for name, spec in specs.items()])
     return scanned.join(carry, by, "left").select(
-        *df.columns, *[_combined(spec, name).alias(name) for name, spec in specs.items()]
+        *kept, *[_combined(spec, name).alias(name) for name, spec in specs.items()]
     )

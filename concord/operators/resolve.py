@@ -35,24 +35,23 @@ def resolve_datasets(
 
     ``bindings``: ``dataset_name, environment_name, kind, uri``, unique per (dataset, environment).
     """
-    known = bindings.select(F.col("dataset_name").alias("dataset")).distinct().withColumn("__known", F.lit(True))
-    bound = bindings.select(
-        F.col("dataset_name").alias("dataset"), F.col("environment_name").alias(environment), "kind", "uri"
+    # a row per dataset with all its bindings answers both questions, is the dataset known and is it bound here
+    bound = bindings.groupBy(F.col("dataset_name").alias("__dataset")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("environment_name").alias("environment"), "kind", "uri"))).alias("__bound")
     )
-    located = F.when(F.col("kind") == "table", F.concat(F.lit(f"{catalog}."), F.col("uri"))).otherwise(F.col("uri"))
-    error = F.when(F.col("__known").isNull(), M.say(M.UNKNOWN_DATASET, dataset=F.col("dataset"))).when(
-        F.col("uri").isNull(), M.say(M.UNBOUND_DATASET, dataset=F.col("dataset"), environment=F.col(environment))
+    here = F.get(F.filter("__bound", lambda b: b["environment"] == F.col(environment)), F.lit(0))
+    found = refs.join(bound, F.col("dataset") == F.col("__dataset"), "left").withColumn("__here", here)
+    kind, uri = F.col("__here.kind"), F.col("__here.uri")
+    located = F.when(kind == "table", F.concat(F.lit(f"{catalog}."), uri)).otherwise(uri)
+    error = F.when(F.col("__bound").isNull(), M.say(M.UNKNOWN_DATASET, dataset=F.col("dataset"))).when(
+        uri.isNull(), M.say(M.UNBOUND_DATASET, dataset=F.col("dataset"), environment=F.col(environment))
     )
-    return (
-        refs.join(bound, ["dataset", environment], "left")
-        .join(known, "dataset", "left")
-        .select(
-            *refs.columns,
-            "kind",
-            F.when(F.col("uri").isNotNull(), dataset_key(F.col("dataset"), F.col("kind"))).alias("config_key"),
-            located.alias("config_value"),
-            error.alias("error"),
-        )
+    return found.select(
+        *refs.columns,
+        kind.alias("kind"),
+        F.when(uri.isNotNull(), dataset_key(F.col("dataset"), kind)).alias("config_key"),
+        located.alias("config_value"),
+        error.alias("error"),
     )
 
 

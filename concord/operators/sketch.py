@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 MOST = 1 << 16
 LEVELS = 32
 LEVEL_CELLS = 64
+SHARE = 1 / 32
 #: Cells for each expected row; a table of three cells a row can be emptied with 1.23.
 SPARE = 2.0
 _LIMB, _WORD = 21, 1 << 64
@@ -43,7 +44,7 @@ _LEVEL_BITS = f"shiftrightunsigned(h2, 32) & {_PLACE}L"
 
 
 def _cells(left: DataFrame, right: DataFrame, size: int, levels: bool) -> list:
-    """Non-empty cells ``level, cell, n, a0..a2, b0..b2, c0, c1`` of the sketch of left less right (columns h1, h2)."""
+    """Cells ``level, cell, n, a0..a2, b0..b2, c0, c1, added`` of the sketch of left less right (columns h1, h2)."""
     both = left.select("h1", "h2", F.lit(1).cast("bigint").alias("sign")).unionByName(
         right.select("h1", "h2", F.lit(-1).cast("bigint").alias("sign"))
     )
@@ -54,9 +55,8 @@ def _cells(left: DataFrame, right: DataFrame, size: int, levels: bool) -> list:
     level = "31 - bit_count(bits)" if levels else "0"
     cells = ", ".join(f"int({k * size} + ({place}) % {size})" for k, place in enumerate(_PLACES))
     spread = both.selectExpr("sign", "h1", "h2", f"{_CHECK} AS c", f"{level} AS level", f"explode(array({cells})) AS cell")
-    sums = ["sum(sign) AS n", *_limbs("h1", "a", 3), *_limbs("h2", "b", 3), *_limbs("c", "c", 2)]
-    grouped = spread.groupBy("level", "cell").agg(*[F.expr(s) for s in sums])
-    return grouped.where(" OR ".join(f"{c} <> 0" for c in grouped.columns[2:])).collect()  # at most a row per cell
+    sums = ["sum(sign) AS n", *_limbs("h1", "a", 3), *_limbs("h2", "b", 3), *_limbs("c", "c", 2), "count(1) AS added"]
+    return spread.groupBy("level", "cell").agg(*[F.expr(s) for s in sums]).collect()  # at most a row per cell
 
 
 def _signed(value: int) -> int:
@@ -79,7 +79,9 @@ def peel(cells: Iterable, size: int) -> tuple[dict[tuple[int, int], int], bool]:
     table = {}
     for r in cells:
         join = lambda *parts: sum(p << k * _LIMB for k, p in enumerate(parts))
-        table[r.cell] = [r.n, join(r.a0, r.a1, r.a2), join(r.b0, r.b1, r.b2), join(r.c0, r.c1)]
+        values = [r.n, join(r.a0, r.a1, r.a2), join(r.b0, r.b1, r.b2), join(r.c0, r.c1)]
+        if any(values):
+            table[r.cell] = values
     found: dict[tuple[int, int], int] = {}
     open_ = list(table)
     while open_:
@@ -105,13 +107,16 @@ def peel(cells: Iterable, size: int) -> tuple[dict[tuple[int, int], int], bool]:
 
 
 def difference(left: DataFrame, right: DataFrame, most: int = MOST) -> dict[tuple[int, int], int] | None:
-    """Hashes that do not occur equally often -> surplus on the left; None if there are more than about ``most``.
+    """Hashes that do not occur equally often -> surplus on the left; None if there are too many for a sketch.
 
-    Both sides have the columns h1 and h2. Runs one job over them, and a second one if the difference is not small.
+    Both sides have the columns h1 and h2. Runs one job over them, and a second one if the difference is not small, but has
+    at most ``most`` rows and is a small part (``SHARE``) of all rows, so that its cells are fewer than the rows' hashes.
     """
     by_level: dict[int, list] = {}
+    rows = 0
     for r in _cells(left, right, LEVEL_CELLS, True):
         by_level.setdefault(r.level, []).append(r)
+        rows += r.added / len(_PLACES)
     found: dict[tuple[int, int], int] = {}
     for level in range(LEVELS - 1, -1, -1):
         part, whole = peel(by_level.get(level, ()), LEVEL_CELLS)
@@ -122,7 +127,7 @@ def difference(left: DataFrame, right: DataFrame, most: int = MOST) -> dict[tupl
         return found
     # this level and those before it hold about as much again, doubled for each of them
     expected = max(len(found), LEVEL_CELLS) << (level + 1)
-    if expected > 2 * most:
+    if expected > 2 * min(most, rows * SHARE):
         return None
     size = int(SPARE * expected / 3) + LEVEL_CELLS
     found, whole = peel(_cells(left, right, size, False), size)

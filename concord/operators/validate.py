@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concord.functions import definition as D
 from concord.functions import messages as M
@@ -13,15 +14,36 @@ from concord.functions.text import supported_versions
 _FLAGS = [offer for offer, _ in D.REQUIREMENTS.values()]
 
 
+# The expressions below have hundreds of terms, and making one takes longer than running it over a small table. They only
+# depend on names, so a session makes each of them once.
+
+
+@lru_cache(maxsize=64)
+def _parsed(session: SparkSession, json: str) -> Column:
+    raw = F.col("__raw")
+    return D.with_defaults(raw, D.null_keys(F.col(json), raw))
+
+
+@lru_cache(maxsize=64)
+def _workload_errors(session: SparkSession, definition: str, api_versions: tuple[str, ...]) -> Column:
+    return D.workload_errors(F.col(definition), api_versions)
+
+
+@lru_cache(maxsize=64)
+def _capability_errors(session: SparkSession, definition: str, capability: str) -> Column:
+    w = F.col(definition)
+    return D.capability_errors(w["runtime"]["spark"], w["application"]["type"], w["requirements"], F.col(capability))
+
+
 def parse_definitions(df: DataFrame, json: str = "definition", out: str = "definition") -> DataFrame:
     """Parse JSON workload documents, each exactly once.
 
     The raw struct comes out of a one-element generator. Field accesses and filters further up are not pushed
     through a generator, which would turn every one of them into another parse of the document.
     """
-    raw = F.struct(D.read_workload(F.col(json)).alias("__raw"), D.top_level(F.col(json)).alias("__top"))
     kept = [F.col(c) for c in df.columns if c != out]
-    return df.select("*", F.inline(F.array(raw))).select(*kept, D.with_defaults(F.col("__raw"), F.col("__top")).alias(out))
+    read = df.select("*", F.explode(F.array(D.read_workload(F.col(json)))).alias("__raw"))
+    return read.select(*kept, _parsed(df.sparkSession, json).alias(out))
 
 
 def validate_definitions(
@@ -29,7 +51,7 @@ def validate_definitions(
 ) -> DataFrame:
     """Add ``errors array<string>`` and ``deprecated`` to parsed workload definitions."""
     w = F.col(definition)
-    return df.withColumn("errors", D.workload_errors(w, api_versions)).withColumn(
+    return df.withColumn("errors", _workload_errors(df.sparkSession, definition, tuple(api_versions))).withColumn(
         "deprecated", F.coalesce(D.deprecated_version(w["apiVersion"]), F.lit(False))
     )
 
@@ -52,8 +74,8 @@ def upgrade_compatibility(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """``valid_before, still_valid`` under two sets of accepted API versions."""
-    w = F.col(definition)
-    before, after = (F.size(D.workload_errors(w, versions)) == 0 for versions in (old, new))
+    rules = lambda versions: _workload_errors(df.sparkSession, definition, tuple(versions))
+    before, after = (F.size(rules(versions)) == 0 for versions in (old, new))
     flagged = df.select(*by, before.alias("__b"), after.alias("__a"))
     return flagged.groupBy(*by).agg(
         F.count_if("__b").alias("valid_before"), F.count_if(F.col("__b") & F.col("__a")).alias("still_valid")
@@ -78,11 +100,10 @@ def match_capabilities(workloads: DataFrame, capabilities: DataFrame, on: str, d
     Which targets a workload is checked against is data (an environment or provider column of
     ``workloads``), so the output has one row per requested pair and nothing is multiplied out here.
     """
-    w = F.col(definition)
     caps = capabilities.select(
         on, F.struct("spark_versions", "languages", *_FLAGS).alias("__caps")
     )
-    errors = D.capability_errors(w["runtime"]["spark"], w["application"]["type"], w["requirements"], F.col("__caps"))
+    errors = _capability_errors(workloads.sparkSession, definition, "__caps")
     return workloads.join(caps, on, "left").withColumn("errors", errors).drop("__caps")
 
 

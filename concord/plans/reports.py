@@ -10,6 +10,7 @@ from concord.operators import events as E
 from concord.operators import lifecycle as L
 from concord.operators import reports as R
 from concord.plans import lifecycle as PL
+from concord.sources import datasets as S
 from concord.plans.registry import query, table
 
 
@@ -159,7 +160,8 @@ def _certification(spark, d, worst):
         F.expr("CASE n_regionkey WHEN 0 THEN 's3' WHEN 1 THEN 'adls' ELSE 'vast' END").alias("provider"),
         F.expr("""CASE WHEN n_regionkey = 2 THEN '{"protocol":"nfs"}' ELSE '{}' END""").alias("config"),
     )
-    evidence = spark.createDataFrame(
+    evidence = S.scan_rows(
+        spark,
         [("kubernetes", "s3"), ("databricks", "s3")], "execution_provider string, storage_protocol string"
     )
     return R.certification_report(environments, execution, storage, evidence, worst)
@@ -257,7 +259,8 @@ SUBSCRIPTIONS = [
 
 
 def subscriptions(spark):
-    return spark.createDataFrame(
+    return S.scan_rows(
+        spark,
         SUBSCRIPTIONS, "subscription_id string, event_types array<string>, secret string, enabled boolean"
     )
 

@@ -10,6 +10,7 @@ from concord.functions.text import joined_errors
 from concord.operators import validate as V
 from concord.plans import workloads as W
 from concord.plans.registry import query, table
+from concord.sources import datasets as S
 
 # Capabilities of the two execution providers.
 _CAPABILITIES = [
@@ -24,7 +25,7 @@ _TARGETS = ["kubernetes", "databricks"]
 
 
 def capabilities(spark):
-    return spark.createDataFrame(_CAPABILITIES, _CAPABILITY_SCHEMA)
+    return S.scan_rows(spark, _CAPABILITIES, _CAPABILITY_SCHEMA)
 
 
 @query(
@@ -188,7 +189,8 @@ def resolve_runtime(spark, d):
     parts = table(spark, d, "part").select(
         "p_partkey", F.expr(_VERSION).alias("spark_version"), F.expr(_OVERRIDE).alias("override")
     )
-    observed = spark.createDataFrame(
+    observed = S.scan_rows(
+        spark,
         [
             ("17.3.x-scala2.13", "17.3 LTS (includes Apache Spark 4.0.0)"),
             ("18.2.x-scala2.13", "18.2 (Spark 4.9)"),

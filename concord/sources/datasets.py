@@ -6,8 +6,9 @@ import os
 import sys
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from concord.functions.uri import dataset_key
 from concord.operators.resolve import DEFAULT_CATALOG, resolve_datasets
@@ -24,7 +25,13 @@ def scan_csv(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def scan_rows(spark: SparkSession, rows: Sequence, schema) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A caller's rows. They go in as an Arrow table, whose size the optimizer knows, so that a join with a short list
+    does not shuffle the other side."""
+    if not isinstance(schema, T.StructType):
+        schema = spark.createDataFrame([], schema).schema
+    columns = zip(*rows, strict=True) if rows else [() for _ in schema]
+    listed = pd.DataFrame({f.name: pd.Series(list(c), dtype=object) for f, c in zip(schema, columns, strict=True)})
+    return spark.createDataFrame(listed, schema)
 
 
 def scan(spark: SparkSession, kind: str, location: str, format: str = "parquet") -> DataFrame:
