@@ -244,11 +244,16 @@ def idempotent_first(
 
 def register_if_absent(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``existing`` plus the rows of ``new`` whose key it lacks; the first such row per key wins."""
+    return existing.unionByName(absent_rows(new, existing, keys, order))
+
+
+def absent_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of ``new`` per key that ``existing`` lacks."""
     taken = existing.select(*[column(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & (column(k) == F.col(f"__k{i}"))
-    return existing.unionByName(first_per_key(new.join(taken, same, "left_anti"), keys, order))
+    return first_per_key(new.join(taken, same, "left_anti"), keys, order)
 
 
 def full_replace_upsert(
