@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from concord.functions.canonical import column
 from concord.functions.messages import CLAIMED
 from concord.functions.state import STATES, event_type
 
@@ -36,11 +37,35 @@ def subscription_index(subscriptions: DataFrame, states: Sequence[str] = STATES)
     return listed.withColumns({"__key": F.col("__e.key"), "__heard": F.col("__e.heard")}).drop("__e")
 
 
-def heard_by(events: DataFrame, index: DataFrame, states: Sequence[str] = STATES) -> DataFrame:
-    """``events`` (with ``event_type``) joined with the subscriptions of :func:`subscription_index` that hear them."""
+def heard_by(
+    events: DataFrame, index: DataFrame, states: Sequence[str] = STATES, pieces: int | None = None, shares: DataFrame | None = None
+) -> DataFrame:
+    """``events`` (with ``event_type``) joined with the subscriptions of :func:`subscription_index` that hear them.
+
+    There are few event types, so joined on these alone an index that is too large to be broadcast gives few tasks. With
+    ``pieces`` the events of a type are dealt out to as many pieces as its share of all events asks for, ``pieces`` for all
+    types together and at least one for each, and the subscriptions to the type are copied to each of its pieces.
+    ``shares`` (:func:`type_shares`, of the events if not given) says how many events each type has; a stream needs it.
+    """
     keyed = events.withColumn("__key", _match_key(F.col("event_type"), states))
+    on = ["__key"]
+    if pieces is not None:
+        counted = type_shares(events, states) if shares is None else shares
+        total = F.sum("__events").over(Window.partitionBy())  # at most a row per state and one for all others
+        dealt = counted.select("__key", F.ceil(F.lit(pieces) * F.col("__events") / total).cast("int").alias("__pieces"))
+        dealt = F.broadcast(dealt)
+        row = F.xxhash64(*[column(c) for c, kind in events.dtypes if "map<" not in kind])
+        whole = F.coalesce("__pieces", F.lit(1))  # types that the shares do not know
+        keyed = keyed.join(dealt, "__key", "left").withColumn("__piece", F.pmod(row, whole).cast("int")).drop("__pieces")
+        index = index.join(dealt, "__key", "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), whole - 1))).drop("__pieces")
+        on = ["__key", "__piece"]
     hears = F.col("__heard").isNull() | (F.col("__heard") == F.col("event_type"))
-    return keyed.join(index, "__key").where(hears).drop("__key", "__heard")
+    return keyed.join(index, on).where(hears).drop("__heard", *on)
+
+
+def type_shares(events: DataFrame, states: Sequence[str] = STATES) -> DataFrame:
+    """``__key, __events``: how many events (with ``event_type``) there are for each key of the index."""
+    return events.groupBy(_match_key(F.col("event_type"), states).alias("__key")).agg(F.count(F.lit(1)).alias("__events"))
 
 
 def match_subscriptions(
@@ -50,9 +75,12 @@ def match_subscriptions(
     states: Sequence[str] = STATES,
     message: str | None = None,
     from_state: str | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One delivery row per event and matching subscription.
 
+    ``pieces``: see :func:`heard_by`; for subscriptions that are too many to be broadcast.
+
     With ``from_state`` and ``message`` given, a run's first event and its claim events are left out: they
     are written without notifying anybody.
     """
@@ -61,7 +89,7 @@ def match_subscriptions(
     if message is not None:
         events = events.filter(~F.col(message).eqNullSafe(F.lit(CLAIMED)))
     typed = events.withColumn("event_type", event_type(F.col(state)))
-    return heard_by(typed, subscription_index(subscriptions, states), states)
+    return heard_by(typed, subscription_index(subscriptions, states), states, pieces)
 
 
 def iso_timestamp(ts: Column) -> Column:

@@ -54,11 +54,22 @@ def dedupe_submissions(
 
 
 def stream_subscription_match(
-    events: DataFrame, subscriptions: DataFrame, state: str = "to_state", states: Sequence[str] = STATES
+    events: DataFrame,
+    subscriptions: DataFrame,
+    state: str = "to_state",
+    states: Sequence[str] = STATES,
+    pieces: int | None = None,
+    shares: DataFrame | None = None,
 ) -> DataFrame:
-    """One delivery per event and matching subscription; append mode, stateless."""
+    """One delivery per event and matching subscription; append mode, stateless.
+
+    ``pieces`` with ``shares``, the counts of an earlier time (:func:`~concord.operators.events.type_shares`), deal frequent
+    types out where the subscriptions are too many to be broadcast.
+    """
+    if pieces is not None and shares is None:
+        raise ValueError("a stream cannot be counted first: give the shares of an earlier time")
     typed = events.withColumn("event_type", event_type(F.col(state)))
-    return heard_by(typed, subscription_index(subscriptions, states), states)
+    return heard_by(typed, subscription_index(subscriptions, states), states, pieces, shares)
 
 
 def audit_export_stream(audit: DataFrame, equal: Mapping[str, object] | None = None) -> DataFrame:

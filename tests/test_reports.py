@@ -213,6 +213,35 @@ def test_wildcard_hears_states_outside_the_list(spark):
     assert sorted(map(tuple, matched)) == [(1, "all", "run.paused"), (1, "one", "run.paused"), (2, "all", "run.failed")]
 
 
+def test_a_frequent_type_is_dealt_out(spark):
+    subs = spark.range(60).selectExpr(
+        "CONCAT('s', id) AS subscription_id",
+        "CASE WHEN id % 3 = 0 THEN array('run.state_changed') WHEN id % 3 = 1 THEN array('run.failed') ELSE array('run.odd', 'run.queued') END AS event_types",
+        "'k' AS secret", "id % 7 > 0 AS enabled",
+    )
+    log = spark.range(20_000).selectExpr("id", "CASE WHEN id % 10 > 0 THEN 'FAILED' WHEN id % 20 = 0 THEN 'QUEUED' ELSE 'ODD' END AS to_state")
+    plain, dealt = (E.match_subscriptions(log, subs, pieces=p) for p in (None, 64))
+    assert dealt.columns == plain.columns
+    difference = plain.exceptAll(dealt).unionByName(dealt.exceptAll(plain))
+    assert difference.count() == 0 and dealt.count() == plain.count() > 0
+    # joined on event type alone nine of ten events meet in one task
+    typed = log.withColumn("event_type", F.concat(F.lit("run."), F.lower("to_state")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        def largest(pieces):
+            heard = E.heard_by(typed, E.subscription_index(subs), pieces=pieces).select("id", F.spark_partition_id().alias("task")).distinct()
+            sizes = [r["count"] for r in heard.groupBy("task").count().collect()]
+            return max(sizes) / (sum(sizes) / 8)
+
+        assert largest(None) > 5 and largest(512) < 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def test_payload(spark):
     import datetime as dt
 
