@@ -80,6 +80,17 @@ def test_short_prefixes_are_confirmed_by_whole_digests(spark, monkeypatch):
     assert {r.page_id: r.rule for r in rows} == {k: plain(u, queries.URL_RULES)[2] for k, u in enumerate(URLS)}
 
 
+def test_long_lists_cost_a_url_only_its_own_rules(spark):
+    """2,000 rules of 400 lengths for other hosts make no expression; those of a URL's host one for each length."""
+    rules = [(f"h{k % 97}.net", "/" + "p" * (k % 400), "block") for k in range(2_000)] + [("a.org", "/x", "block"), ("org", "/xy/z", "allow")]
+    urls = spark.createDataFrame([("b.a.org", "/xy/z" + "p" * 500), ("h5.com", "/" + "p" * 500)], "host string, path string")
+    known = urlfilter.hashed_rules(spark.createDataFrame(rules, RULES))
+    ruled = urlfilter.hosts_with_rules(urls.select("host").distinct(), known)
+    assert urlfilter.expressions(urls, ruled).count() == 2
+    rows = judged(spark, ["h://b.a.org/xy/z/p", "h://h5.com/ppp", "h://x.h5.net/" + "p" * 399], rules).collect()
+    assert [r.verdict for r in sorted(rows, key=lambda r: r.page_id)] == ["allow", "allow", "block"]
+
+
 def test_no_rules_and_no_pages(spark):
     rows = judged(spark, URLS, []).collect()
     assert {r.verdict for r in rows} == {urlfilter.DEFAULT}
