@@ -4,6 +4,8 @@ A fingerprint has one bit per position set in more than half the hashes of a tex
 two segments. Two fingerprints that differ in at most three bits differ in at most one bit in one of the segments, so
 each fingerprint probes that segment's table with its own value and the 32 values one bit away; whole distances are
 verified on what the tables return. Only distinct fingerprints are indexed and linked: copies meet in an aggregate first.
+A segment's value that more than ``HOT_KEY`` fingerprints share is looked up together with a quarter of the other segment, in
+the same way: of its two quarters one differs in at most one bit, so each probe has the quarter's value and the 16 next to it.
 Components are found by large-star and small-star steps over the links, each written below ``spark.checkpoint.dir``.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with a null ``doc_id`` are linked too and
@@ -27,6 +29,8 @@ SEGMENTS = 2
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
 SEED = 42
+#: Fingerprints that share a segment's value before the other segment is used to tell them apart.
+HOT_KEY = 4096
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
 CHUNK = 1 << 16
 
@@ -86,12 +90,30 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         lambda x, y: x & y,
         [(F.col("segment") <= k) | (F.bit_count(_segment(differ, k)) > 1) for k in range(SEGMENTS - 1)],
     )
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & earlier
     # sizes are estimated before the explosions: without the hint a probe table of any size may look fit for a broadcast
-    return (
-        probes.join(index.hint("merge"), ["segment", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & earlier)
-        .select("a", "b")
+    found = lambda probes, index, on: probes.join(index.hint("merge"), on).where(close).select("a", "b")
+    hot = written(index.groupBy("segment", "key").count().where(F.col("count") > HOT_KEY).drop("count"), "hot-keys")
+    if hot.isEmpty():
+        return found(probes, index, ["segment", "key"])
+    on, half = ["segment", "key"], width // 2
+    quarter = lambda fp, k: F.shiftrightunsigned(
+        F.when(F.col("segment") == 0, _segment(fp, 1)).otherwise(_segment(fp, 0)), k * half
+    ).bitwiseAND(F.lit((1 << half) - 1))
+    quarters = lambda fp: F.explode(F.array(*[F.struct(F.lit(k).alias("place"), quarter(fp, k).alias("value")) for k in range(2)]))
+    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << k).cast("bigint") for k in range(half)])
+    hot_index = index.join(hot, on).select(*on, "b", quarters(F.col("b")).alias("q")).select(*on, "b", "q.*")
+    hot_probes = (
+        probes.join(hot, on)
+        .select(*on, "a", quarters(F.col("a")).alias("q"))
+        .select(*on, "a", "q.*", F.explode(flips).alias("flip"))
+        .select(*on, "a", "place", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     )
+    # likewise for a pair that is close in the first quarter too
+    once = (F.col("place") == 0) | (F.bit_count(quarter(differ, 0)) > 1)
+    among = hot_probes.join(hot_index.hint("merge"), [*on, "place", "value"]).where(close & once).select("a", "b")
+    cold = found(probes.join(hot, on, "left_anti"), index.join(hot, on, "left_anti"), on)
+    return cold.union(among)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

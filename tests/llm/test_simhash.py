@@ -154,3 +154,41 @@ def test_the_row_that_stays_is_the_same_in_any_order(documents, spark):
     docs = documents([(1, "one text under one id")] * 12)
     kept = {tuple(simhash.deduplicate(docs.orderBy(c).repartition(n)).first()) for c in ("lang", "source") for n in (1, 5)}
     assert len(kept) == 1
+
+
+@pytest.mark.parametrize("hot_key", [4, 4096])
+def test_hot_segments_lose_and_repeat_no_link(spark, monkeypatch, hot_key):
+    monkeypatch.setattr(simhash, "HOT_KEY", hot_key)
+    some = random.Random(hot_key)
+    high, low = some.getrandbits(32), some.getrandbits(32)
+    values = {high << 32 | some.getrandbits(32) for _ in range(120)} | {some.getrandbits(32) << 32 | low for _ in range(120)}
+    for v in list(values):
+        for _ in range(2):
+            near = v
+            for k in some.sample(range(64), some.randint(1, 4)):
+                near ^= 1 << k
+            values.add(near)
+    signed = [v - (v >> 63 << 64) for v in values]
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    for distance in (1, 2, 3):
+        expected = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance)
+        assert sorted(map(tuple, simhash.links(nodes, distance).collect())) == expected
+
+
+def test_a_shared_half_does_not_pair_all(spark):
+    some = random.Random(2)
+    nodes = spark.createDataFrame([(some.getrandbits(32),) for _ in range(6_000)], "fp bigint").distinct()
+    met = simhash.links(nodes)
+    assert met.count() == met.distinct().count()
+    plan = met._jdf.queryExecution().executedPlan()
+    rows = []
+
+    def walk(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    met.collect()
+    walk(plan.executedPlan() if "Adaptive" in plan.nodeName() else plan)
+    assert sum(rows) < 6_000**2 / 10
