@@ -28,7 +28,7 @@ def fold_run_state(
 
     A streaming aggregate keeps one small buffer per run and combines rows before the shuffle, so neither a
     hot run nor late events need special care. State grows with the number of runs and is never dropped, as any run
-    may move again.
+    may move again; :func:`run_state_table` keeps none.
     """
     ts = order[0]
     return events.groupBy(key).agg(
@@ -39,6 +39,75 @@ def fold_run_state(
     )
 
 
+COMPACT_EVERY = 16
+
+
+def run_state_table(
+    events: DataFrame,
+    key: str = "run_id",
+    state: str = "to_state",
+    order: Sequence[str] = ("created_at", "id"),
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Drain the stream and return :func:`fold_run_state` of all its events as a table: ``key, state, first_at, last_at, events``.
+
+    No run is held in the stream's state. Each micro-batch hands its own fold, a row per run that it has events of, to
+    a table, and folds of one run add up whatever their order, so late events and runs that move again need nothing special.
+    Every ``compact_every`` batches the folds so far are added up and written as one; a repeated batch writes what it wrote
+    the first time.
+    """
+    spark: SparkSession = events.sparkSession
+    root = scratch(spark, "run-state")
+    columns = [key, *order, state]
+    at = T.StructType([T.StructField(c, events.schema[c].dataType) for c in order])
+    schema = T.StructType(
+        [
+            events.schema[key],
+            T.StructField("state", events.schema[state].dataType),
+            T.StructField("at", at),
+            T.StructField("first_at", events.schema[order[0]].dataType),
+            T.StructField("events", T.LongType()),
+        ]
+    )
+
+    def since(session: SparkSession, epoch: int, base: int) -> DataFrame:
+        """The folds up to ``epoch``: those added up before ``base`` and one of each batch from there on."""
+        paths = [f"{root}/folds/epoch={k}" for k in range(base, epoch + 1)]
+        return session.read.schema(schema).parquet(*([f"{root}/base={base}"] if base else []), *paths)
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        mine = batch.groupBy(key).agg(
+            F.max_by(F.col(state), F.struct(*order)).alias("state"),
+            F.max(F.struct(*order)).alias("at"),
+            F.min(order[0]).alias("first_at"),
+            F.count(F.lit(1)).alias("events"),
+        )
+        mine.write.mode("overwrite").parquet(f"{root}/folds/epoch={epoch}")
+        last[0] = epoch
+        if (epoch + 1) % compact_every == 0:
+            base = epoch + 1
+            _added(since(batch.sparkSession, epoch, base - compact_every), key).write.mode("overwrite").parquet(f"{root}/base={base}")
+
+    last = [-1]
+    run_available(events.select(*columns), f"{root}/checkpoint", process)
+    if last[0] < 0:
+        folds = spark.createDataFrame([], schema)
+    else:
+        base = (last[0] + 1) // compact_every * compact_every
+        folds = spark.read.schema(schema).parquet(f"{root}/base={base}") if base > last[0] else since(spark, last[0], base)
+    return _added(folds, key).select(key, "state", "first_at", F.col(f"at.{order[0]}").alias("last_at"), "events")
+
+
+def _added(folds: DataFrame, key: str) -> DataFrame:
+    """Folds of one run as one."""
+    return folds.groupBy(key).agg(
+        F.max_by("state", "at").alias("state"),
+        F.max("at").alias("at"),
+        F.min("first_at").alias("first_at"),
+        F.sum("events").alias("events"),
+    )
+
+
 def dedupe_submissions(
     submissions: DataFrame, key: str, ts: str, watermark: str, spread_by: str, salts: int = 32
 ) -> DataFrame:
@@ -122,23 +191,49 @@ def stuck_runs(
 class _RetryProcessor(StatefulProcessor):
     """Per delivery: its earliest tries, as many as count."""
 
-    def __init__(self, key: str, cap: int, tie: str):
-        self.key, self.cap, self.tie = key, cap, tie
+    def __init__(self, key: str, cap: int, tie: str, keep_ms: int | None):
+        self.key, self.cap, self.tie, self.keep_ms = key, cap, tie, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = f"tries array<struct<at_us:bigint,tie:{self.tie},won:boolean,tried:boolean>>"
         self.tries = handle.getValueState("tries", schema)
+        if self.keep_ms is not None:
+            self.due = handle.getValueState("due", "at_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.tries.get()
         seen = [tuple(t) for t in known[0]] if known else []
         # only the earliest tries can matter, whatever order they arrive in: memory is ``cap`` rows
-        arriving = ((r["at_us"], r["tie"], r["won"], r["tried"]) for r in rows)
-        kept = heapq.nsmallest(self.cap, chain(seen, arriving), key=lambda t: (t[0], t[1]))
+        latest = 0
+
+        def arriving() -> Iterator[tuple]:
+            nonlocal latest
+            for r in rows:
+                latest = max(latest, r["at_us"])
+                yield r["at_us"], r["tie"], r["won"], r["tried"]
+
+        kept = heapq.nsmallest(self.cap, chain(seen, arriving()), key=lambda t: (t[0], t[1]))
         self.tries.update((kept,))
+        if self.keep_ms is not None:
+            self._keep_until(-(-latest // 1000) + self.keep_ms)
         status, attempts = self._outcome(kept)
         yield Row(**{self.key: key[0], "status": status, "attempts": attempts})
 
+    def _keep_until(self, at_ms: int) -> None:
+        """One timer per delivery, which its latest try puts off."""
+        due = self.due.get()
+        if due is None or at_ms > due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self.handle.registerTimer(at_ms)
+            self.due.update((at_ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.tries.clear()
+        self.due.clear()
+        return iter(())
+
     def _outcome(self, tries: Sequence[tuple]) -> tuple[str, int]:
         for attempts, (_, _, won, tried) in enumerate(tries):
             if not tried:
@@ -158,25 +253,34 @@ def delivery_retry(
     key: str = "delivery_id",
     order: Sequence[str] = ("created_at", "id"),
     cap: int = MAX_ATTEMPTS,
+    watermark: str | None = None,
+    keep_ms: int | None = None,
 ) -> DataFrame:
     """``key, status, attempts`` whenever a delivery is tried; update mode. Memory per key is ``cap`` tries.
 
-    The tie column keeps its type, so text ids order as text. State stays as long as the stream lives.
+    The tie column keeps its type, so text ids order as text. With ``keep_ms`` (and a ``watermark``) a delivery's state
+    falls when the watermark is so far behind its latest try; a try after that is the first of a new delivery, and one later
+    than the watermark is dropped. Without it state stays as long as the stream lives.
     """
+    if (keep_ms is None) != (watermark is None):
+        raise ValueError("state has a lifetime by event time: give both watermark and keep_ms, or neither")
+    if watermark is not None:
+        tries = tries.withWatermark(order[0], watermark)
     rows = tries.select(
         key,
+        *([] if watermark is None else [order[0]]),
         F.unix_micros(F.col(order[0]).cast("timestamp")).alias("at_us"),
         F.col(order[1]).alias("tie"),
         F.expr(f"coalesce({enabled}, false) AND coalesce({success}, false)").alias("won"),
         F.expr(f"coalesce({enabled}, false)").alias("tried"),
     )
     return rows.groupBy(key).transformWithState(
-        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString()),
+        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString(), keep_ms),
         outputStructType=T.StructType(
             [tries.schema[key], T.StructField("status", T.StringType()), T.StructField("attempts", T.LongType())]
         ),
         outputMode="Update",
-        timeMode="None",
+        timeMode="None" if keep_ms is None else "EventTime",
     )
 
 

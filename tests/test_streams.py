@@ -152,6 +152,49 @@ def test_retries_equal_batch(spark, feed):
     assert got == [("d1", "delivered", 4), ("d2", "delivered", 1), ("d3", "failed", 0), ("d4", "failed", 5)]
 
 
+def state_rows(stream, mode, spark):
+    """Rows in the state store after each micro-batch."""
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: df.write.format("noop").mode("overwrite").save())
+        .trigger(availableNow=True).option("checkpointLocation", scratch(spark, "rows")).start()
+    )
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_retry_state_has_a_lifetime(spark, feed):
+    # deliveries of four hours, ten each; the last batch has a late try that still counts and one that is too late
+    tries = [[(b * 100 + k, f"{b}-{k}", at(b * 3600 + k), k % 2 == 0, True) for k in range(10)] for b in range(4)]
+    late = [(990, "3-1", at(3 * 3600 - 60), True, True), (991, "0-1", at(60), True, True)]
+    stream, batch = feed([*tries, late], TRY)
+    retries = lambda: S.delivery_retry(stream, "ok", "enabled", watermark="10 minutes", keep_ms=1_800_000)
+    log = I.epoch_log(retries(), "retry-life", "update")
+    got = {r["delivery_id"]: (r["status"], r["attempts"]) for r in I.newest_epoch(log, ["delivery_id"]).collect()}
+    expected = {
+        r["delivery_id"]: (r["status"], r["attempts"]) for r in L.delivery_outcomes(batch.where("id <> 991"), "ok", "enabled").collect()
+    }
+    assert got == expected and got["3-1"] == ("delivered", 1)
+    rows = state_rows(retries(), "update", spark)
+    kept = state_rows(S.delivery_retry(stream, "ok", "enabled"), "update", spark)
+    assert kept[-1] == 40 and rows[-1] < max(rows)
+
+
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_run_states_without_state(spark, feed, every):
+    log = [*LOG, (90, "a", "LATE", at(2))]
+    stream, batch = feed([LOG[:3], LOG[3:6], LOG[6:10], LOG[10:], [log[-1]]])
+    got = S.run_state_table(stream, compact_every=every)
+    expected = S.fold_run_state(batch)
+    assert got.columns == expected.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert {r["run_id"]: (r["state"], r["events"]) for r in got.collect()}["a"] == ("SUCCEEDED", 5)
+
+
+def test_run_states_of_no_events(spark, feed):
+    stream, _ = feed([[]])
+    assert S.run_state_table(stream).collect() == []
+
+
 def test_windows_and_export(spark, feed):
     stream, batch = feed(BATCHES)
     counted = I.newest_epoch(
