@@ -4,8 +4,10 @@ Training takes a bounded sample of labelled rows (``TRAINING_ROWS``) to one task
 ``EPOCHS`` times; the driver gets the weights that are not zero, at most ``2 ** BITS`` of them. Scoring is a sparse dot
 product per whole text, in Arrow batches. Inputs of a score are the text's n-gram counts alone.
 
-Null and empty texts have no n-grams: their score is that of the bias. Without labels every score is one half. Repeated
-rows get equal scores, null ids are scored and not held out, other columns are not looked at.
+Null, empty and blank texts have no n-grams: their score is that of the bias, the share of good labels, whatever that says about
+a text without words. Very long texts are scored whole; counts are scaled to length one, so their scores stay finite. A score
+equal to ``THRESHOLD`` is predicted 1. Without labels every score is one half. Repeated rows get equal scores, null ids are
+scored and not held out, an empty table gives an empty result, other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ labelled rows (``TRAINING_ROWS``, folds 2 to 4) by accelerated gradient descent;
 probabilities by a logistic curve fitted to labelled rows of fold 1 (``CALIBRATION_ROWS``). Fold 0 is left for tests.
 Whole texts are scored in Arrow batches against fixed thresholds.
 
-Null texts count as empty: no words, hence ``base_failed``. Without labels the probability is one half and the limits
-alone decide. Repeated rows get equal results; other columns are not looked at.
+Null texts count as empty: no words, hence ``base_failed``. Very long texts are counted and scored whole. A probability equal
+to ``MIN_QUALITY`` is enough; lines and windows that are equal count by their number, so ties do not arise elsewhere. Without
+labels the probability is one half and the limits alone decide. Repeated rows get equal results, an empty table an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
