@@ -34,3 +34,10 @@ def test_matches_sql(spark, con, sf_dir, name):
 def test_plan_has_no_product_and_no_python(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas", plan)
+
+
+@pytest.mark.parametrize(("name", "key"), [("match_capabilities", "provider"), ("validate_workloads", "provider"), ("match_subscriptions", "__key")])
+def test_facts_are_not_shuffled_for_a_short_list(spark, sf_dir, name, key):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and f"hashpartitioning({key}" not in plan
+    assert plan.count("from_json") <= 2  # the document, and its keys where a null is in doubt
