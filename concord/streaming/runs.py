@@ -2,14 +2,14 @@
 
 Hot keys: state folding and counters aggregate before the shuffle; duplicates are thinned per salt first; stuck-run
 detection keeps one session per run; latencies run the batch operator on each micro-batch,
-which slices hot runs. Only delivery retries are folded row by row, and a delivery has at most five tries.
+which slices hot runs. Only delivery retries are folded row by row, and a delivery has at most five tries; deliveries are
+processed by slices of a hash, many to a group.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import chain
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -189,51 +189,58 @@ def stuck_runs(
 
 
 class _RetryProcessor(StatefulProcessor):
-    """Per delivery: its earliest tries, as many as count."""
+    """Per slice of the deliveries: the earliest tries of each one, as many as count.
 
-    def __init__(self, key: str, cap: int, tie: str, keep_ms: int | None):
-        self.key, self.cap, self.tie, self.keep_ms = key, cap, tie, keep_ms
+    A slice is a group of Spark's, so what a group costs (its messages to the state store, a batch of output) is shared by
+    all its deliveries; each of them has an entry of its own in the slice's map.
+    """
+
+    def __init__(self, key: str, schema: str, cap: int, tie: str, keep_ms: int | None):
+        self.key, self.schema, self.cap, self.tie, self.keep_ms = key, schema, cap, tie, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        schema = f"tries array<struct<at_us:bigint,tie:{self.tie},won:boolean,tried:boolean>>"
-        self.tries = handle.getValueState("tries", schema)
-        if self.keep_ms is not None:
-            self.due = handle.getValueState("due", "at_ms bigint")
+        value = f"tries array<struct<at_us:bigint,tie:{self.tie},won:boolean,tried:boolean>>, due bigint"
+        self.known = handle.getMapState("tries", self.schema, value)
+        self.swept: set = set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.tries.get()
-        seen = [tuple(t) for t in known[0]] if known else []
-        # only the earliest tries can matter, whatever order they arrive in: memory is ``cap`` rows
-        latest = 0
-
-        def arriving() -> Iterator[tuple]:
-            nonlocal latest
-            for r in rows:
-                latest = max(latest, r["at_us"])
-                yield r["at_us"], r["tie"], r["won"], r["tried"]
-
-        kept = heapq.nsmallest(self.cap, chain(seen, arriving()), key=lambda t: (t[0], t[1]))
-        self.tries.update((kept,))
-        if self.keep_ms is not None:
-            self._keep_until(-(-latest // 1000) + self.keep_ms)
-        status, attempts = self._outcome(kept)
-        yield Row(**{self.key: key[0], "status": status, "attempts": attempts})
-
-    def _keep_until(self, at_ms: int) -> None:
-        """One timer per delivery, which its latest try puts off."""
-        due = self.due.get()
-        if due is None or at_ms > due[0]:
-            if due is not None:
-                self.handle.deleteTimer(due[0])
-            self.handle.registerTimer(at_ms)
-            self.due.update((at_ms,))
+        # only the earliest tries can matter, whatever order they arrive in: memory is ``cap`` rows a delivery
+        arrived: dict = {}
+        for r in rows:
+            id_ = r[self.key]
+            name = id_ if id_ is None or isinstance(id_, str | int | bytes) else repr(id_)
+            entry = arrived.setdefault(name, [id_, r["at_us"], []])
+            entry[1] = max(entry[1], r["at_us"])
+            entry[2].append((r["at_us"], r["tie"], r["won"], r["tried"]))
+            if len(entry[2]) >= 4 * self.cap:
+                entry[2] = self._earliest(entry[2])
+        old, timers = self.known.exists(), set()
+        for id_, latest, tries in arrived.values():
+            seen, due = (old and self.known.getValue((id_,))) or ((), None)
+            kept = self._earliest([*map(tuple, seen), *tries])
+            if self.keep_ms is not None:
+                due = max(due or 0, -(-latest // 1000) + self.keep_ms)
+                timers.add(due)
+            self.known.updateValue((id_,), (kept, due))
+            status, attempts = self._outcome(kept)
+            yield Row(**{self.key: id_, "status": status, "attempts": attempts})
+        for due in timers:
+            self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.tries.clear()
-        self.due.clear()
+        """Deliveries whose time is over leave the slice, all at its first timer; one that was tried since has a later timer."""
+        now, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        if key not in self.swept or now >= watermark:
+            over = [id_ for id_, (_, due) in self.known.iterator() if due < watermark or due <= now]
+            for id_ in over:
+                self.known.removeKey(id_)
+            self.swept.add(key)
         return iter(())
 
+    def _earliest(self, tries: list[tuple]) -> list[tuple]:
+        return heapq.nsmallest(self.cap, tries, key=lambda t: (t[0], t[1]))
+
     def _outcome(self, tries: Sequence[tuple]) -> tuple[str, int]:
         for attempts, (_, _, won, tried) in enumerate(tries):
             if not tried:
@@ -246,6 +253,10 @@ class _RetryProcessor(StatefulProcessor):
         pass
 
 
+#: Groups that the deliveries of a stream are dealt out to: many for any number of tasks, few beside the deliveries.
+SLICES = 1 << 14
+
+
 def delivery_retry(
     tries: DataFrame,
     success: str,
@@ -255,9 +266,13 @@ def delivery_retry(
     cap: int = MAX_ATTEMPTS,
     watermark: str | None = None,
     keep_ms: int | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
     """``key, status, attempts`` whenever a delivery is tried; update mode. Memory per key is ``cap`` tries.
 
+    Deliveries are processed by ``slices`` of a hash, since a group costs much more than a delivery in it. The number must
+    stay the same as long as a checkpoint is used.
+
     The tie column keeps its type, so text ids order as text. With ``keep_ms`` (and a ``watermark``) a delivery's state
     falls when the watermark is so far behind its latest try; a try after that is the first of a new delivery, and one later
     than the watermark is dropped. Without it state stays as long as the stream lives.
@@ -268,14 +283,16 @@ def delivery_retry(
         tries = tries.withWatermark(order[0], watermark)
     rows = tries.select(
         key,
+        F.pmod(F.xxhash64(key), F.lit(slices)).alias("__slice"),
         *([] if watermark is None else [order[0]]),
         F.unix_micros(F.col(order[0]).cast("timestamp")).alias("at_us"),
         F.col(order[1]).alias("tie"),
         F.expr(f"coalesce({enabled}, false) AND coalesce({success}, false)").alias("won"),
         F.expr(f"coalesce({enabled}, false)").alias("tried"),
     )
-    return rows.groupBy(key).transformWithState(
-        statefulProcessor=_RetryProcessor(key, cap, tries.schema[order[1]].dataType.simpleString(), keep_ms),
+    kinds = [tries.schema[c].dataType.simpleString() for c in (key, order[1])]
+    return rows.groupBy("__slice").transformWithState(
+        statefulProcessor=_RetryProcessor(key, f"`{key}` {kinds[0]}", cap, kinds[1], keep_ms),
         outputStructType=T.StructType(
             [tries.schema[key], T.StructField("status", T.StringType()), T.StructField("attempts", T.LongType())]
         ),

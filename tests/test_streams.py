@@ -179,6 +179,22 @@ def test_retry_state_has_a_lifetime(spark, feed):
     assert kept[-1] == 40 and rows[-1] < max(rows)
 
 
+def test_retries_by_slice(spark, feed):
+    """Deliveries of one slice have tries, outcomes and lifetimes of their own; a delivery without an id is one too."""
+    ids = [None, *[f"d{k}" for k in range(11)]]
+    tries = [(n * 20 + k, d, at(n * 600 + k), (n + k) % 5 == 4, (n + k) % 7 != 6) for n in range(6) for k, d in enumerate(ids)]
+    stream, batch = feed([tries[30:50], tries[:30], tries[50:]], TRY)
+    log = I.epoch_log(S.delivery_retry(stream, "ok", "enabled", slices=1), "retry-slices", "update")
+    got = I.newest_epoch(log, ["delivery_id"]).select("delivery_id", "status", "attempts")
+    expected = L.delivery_outcomes(batch, "ok", "enabled").select("delivery_id", "status", "attempts")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect())) and got.count() == 12
+    old = [(k, f"old{k}", at(k), False, True) for k in range(5)]
+    new = [(100 + n, "old0", at(3600 + n * 1500), False, True) for n in range(2)]
+    stream, _ = feed([old, new[:1], new[1:], [(200, "end", at(9000), False, True)], [(201, "end", at(9001), False, True)]], TRY)
+    rows = state_rows(S.delivery_retry(stream, "ok", "enabled", watermark="1 second", keep_ms=1_800_000, slices=1), "update", spark)
+    assert rows[-1] < rows[0]
+
+
 @pytest.mark.parametrize("every", [1, 2, 16])
 def test_run_states_without_state(spark, feed, every):
     log = [*LOG, (90, "a", "LATE", at(2))]
