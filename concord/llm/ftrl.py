@@ -12,7 +12,7 @@ scored and not held out, an empty table gives an empty result, other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from concord.llm.base import prepared
-from concord.llm.hashing import fold, labelled_sample, ngram_slots, word_hashes
+from concord.llm.hashing import fold, labelled_sample, ngram_slots, packed, word_hashes
 
 BITS = 20
 LONGEST = 2
@@ -51,7 +51,7 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[slots] @ values))))
 
 
-def train(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> Model:
+def train(rows: Iterable[tuple[str, float]], epochs: int = EPOCHS) -> Model:
     """Follow-the-regularised-leader with a learning rate per weight, over ``rows`` in their order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
@@ -62,9 +62,11 @@ def train(rows: list[tuple[str, float]], epochs: int = EPOCHS) -> Model:
     def bias() -> float:
         return -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
 
-    examples = [(s.astype(np.int32), v.astype(np.float32), y) for (s, v), y in ((features(t), y) for t, y in rows)]
+    labels: list[float] = []
+    all_slots, all_values, borders = packed(labels.append(y) or features(t) for t, y in rows)
     for _ in range(epochs):
-        for slots, values, label in examples:
+        for label, start, end in zip(labels, borders, borders[1:], strict=False):
+            slots, values = all_slots[start:end], all_values[start:end]
             old_z, old_n = z[slots], n[slots]
             w, b = weight(old_z, old_n), bias()
             error = 1 / (1 + np.exp(-(b + w @ values))) - label
@@ -84,8 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     sample = labelled_sample(docs, labels, label, folds, rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        model = train(examples)
+        model = train(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         used = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_pydict({"slot": np.append(used, -1), "weight": np.append(model.weights[used], model.bias)})
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A run of letters, digits and underscores, or a run of other characters without white space.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 #: Outside the 32 bits of the hashes of tokens.
 REPEATED = np.uint64(1 << 32)
 FOLDS = 5
@@ -52,6 +53,19 @@ def ngram_slots(hashes: np.ndarray, longest: int, bits: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
+def packed(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and values (four bytes each) of all rows, one after the other, and the border before and behind each row.
+
+    Two large blocks go back to the system when a model is learnt; thousands of small arrays would stay with the worker.
+    """
+    slots, values, borders = bytearray(), bytearray(), [0]
+    for of_row, with_values in rows:
+        slots += of_row.astype(np.int32).data
+        values += with_values.astype(np.float32).data
+        borders.append(borders[-1] + len(of_row))
+    return np.frombuffer(slots, np.int32), np.frombuffer(values, np.float32), np.array(borders)
+
+
 def char_slots(text: str, n: int, bits: int) -> np.ndarray:
     """Slots of all runs of ``n`` characters (code points) of a text, with repeats."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)

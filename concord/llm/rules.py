@@ -14,7 +14,7 @@ result; other columns are not looked at.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from concord.llm.base import prepared
-from concord.llm.hashing import char_slots, labelled_sample, ngram_slots, word_hashes
+from concord.llm.hashing import char_slots, labelled_sample, ngram_slots, packed, word_hashes
 
 WORD_BITS, CHAR_BITS = 18, 18
 LONGEST, CHARS = 2, 4
@@ -96,17 +96,15 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * self.margin(text) + self.shift))))
 
 
-def train(rows: list[tuple[str, float]]) -> Model:
+def train(rows: Iterable[tuple[str, float]]) -> Model:
     """Logistic loss with a quadratic penalty, minimised over all ``rows`` by accelerated gradient descent."""
     size = (1 << WORD_BITS) + (1 << CHAR_BITS)
-    if not rows:
+    given: list[float] = []
+    slots, values, borders = packed(given.append(y) or features(text) for text, y in rows)
+    if not given:
         return Model(0.0, np.zeros(size))
-    labels = np.array([y for _, y in rows])
-    # the sample's features take eight bytes each, once
-    found = [(s.astype(np.int32), v.astype(np.float32)) for s, v in (features(text) for text, _ in rows)]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s, _ in found])
-    slots, values = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    del found
+    labels = np.array(given)
+    row = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(borders))
     used = np.flatnonzero(np.bincount(slots, minlength=size))
     numbers = np.zeros(size, np.int32)
     numbers[used] = np.arange(len(used))
@@ -115,8 +113,8 @@ def train(rows: list[tuple[str, float]]) -> Model:
     w = ahead = np.zeros(len(used))
     b = ahead_b = 0.0
     for k in range(ROUNDS):
-        margin = ahead_b + np.bincount(row, values * ahead[place], len(rows))
-        error = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
+        margin = ahead_b + np.bincount(row, values * ahead[place], len(labels))
+        error = (1 / (1 + np.exp(-margin)) - labels) / len(labels)
         new = ahead - RATE * (np.bincount(place, values * error[row], len(used)) + PENALTY * ahead)
         new_b = ahead_b - RATE * error.sum()
         speed = k / (k + 3)
@@ -162,9 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     test = labelled_sample(docs, labels, label, (1,), CALIBRATION_ROWS).withColumn("lesson", F.lit(0))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)]
-        model = train([(t, y) for t, y, lesson in rows if lesson])
-        model = calibrate(model, [(t, y) for t, y, lesson in rows if not lesson])
+        test = []
+
+        def lessons() -> Iterator[tuple[str, float]]:
+            for b in batches:
+                for t, y, lesson in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                    if lesson:
+                        yield t, y
+                    else:
+                        test.append((t, y))
+
+        model = calibrate(train(lessons()), test)
         used = np.flatnonzero(model.weights)
         rest = [model.bias, model.slope, model.shift]
         yield pa.RecordBatch.from_pydict({"slot": np.append(used, [-1, -2, -3]), "weight": np.append(model.weights[used], rest)})

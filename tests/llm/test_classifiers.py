@@ -104,6 +104,21 @@ def test_updates_follow_the_published_rule(monkeypatch):
         assert model.weights[i] == pytest.approx(weight(i))
 
 
+def test_rows_may_come_one_at_a_time():
+    rows = [("good words here", 1.0), ("", 1.0), ("bad ### words", 0.0), ("good good day", 1.0), ("### bad", 0.0)] * 3
+    for train in (ftrl.train, rules.train):
+        listed, read = train(rows), train(r for r in rows)
+        assert read.bias == listed.bias != 0 and np.array_equal(read.weights, listed.weights) and read.weights.any()
+    assert rules.train(iter(())).bias == 0
+
+
+def test_packed_rows():
+    given = [(np.array([3, 5]), np.array([0.5, 1.0])), (np.empty(0, np.int64), np.empty(0)), (np.array([1]), np.array([2.0]))]
+    slots, values, borders = hashing.packed(iter(given))
+    assert (slots.dtype, values.dtype) == (np.int32, np.float32)
+    assert (slots.tolist(), values.tolist(), borders.tolist()) == ([3, 5, 1], [0.5, 1.0, 2.0], [0, 2, 2, 3])
+
+
 def test_sample_is_bounded_and_excludes_folds(spark, documents):
     docs = documents([(k, f"text {k}") for k in range(40)] + [(3, "other"), (None, "none")])
     marks = [(k, k % 2, 0) for k in range(40)] + [(5, 0, 0), (6, None, 0), (None, 1, 0), (99, 1, 0), (7, 1, 1)]
